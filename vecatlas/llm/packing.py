@@ -11,7 +11,9 @@ each. Other columns of the input are not looked at.
 
 from __future__ import annotations
 
-from collections import Counter
+import re
+import sys
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +23,10 @@ from pyspark.sql import functions as F
 from vecatlas.llm.common import documents
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
-CACHED = 250_000  # words a task remembers; only speed depends on it
+REMEMBERED = 400_000  # chunks, and pieces of chunks, that a task remembers
+
+# The splitting pattern of the tokenizer file, for lower-case ASCII text.
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 
 
 def cuts(n: int, longest: int = 2048) -> list[int]:
@@ -30,33 +35,65 @@ def cuts(n: int, longest: int = 2048) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
+def _packed(ids: list[int]) -> bytes:
+    a = array("I", ids)
+    if sys.byteorder == "big":
+        a.byteswap()
+    return a.tobytes()
+
+
 class Encoder:
     """Ids of a text as packed little-endian 32-bit integers.
 
     The tokenizer drops white space and never joins what stands on its two sides, so each chunk between
-    ASCII blanks is encoded once and remembered while it is frequent.
+    ASCII blanks is encoded by itself and remembered. A lower-cased ASCII chunk is cut further, by the tokenizer's own
+    splitting pattern, into words and signs, which recur more often and need no normalising. When a memory is
+    full it is emptied; only speed depends on it.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.kept = Tokenizer.from_file(path), {}
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()) or r"(?!)", re.IGNORECASE)
+        self.chunks: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    @staticmethod
+    def _encode(tokenizer, words: list[str]) -> list[bytes]:
+        return [_packed(e.ids) for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(self, new: list[bytes]) -> None:
+        lower = ((c, c.decode().lower()) for c in new if c.isascii())
+        cut = {c: _ASCII.findall(t) for c, t in lower if not self.special.search(t)}
+        unseen = list({p for ps in cut.values() for p in ps if p not in self.pieces})
+        self.pieces.update(zip(unseen, self._encode(self.plain, unseen), strict=True))
+        self.chunks.update((c, b"".join(map(self.pieces.__getitem__, ps))) for c, ps in cut.items())
+        rest = [c for c in new if c not in cut]
+        self.chunks.update(zip(rest, self._encode(self.whole, [c.decode() for c in rest]), strict=True))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        chunks = [t.split() for t in texts]
-        seen: Counter = Counter()
-        for c in chunks:
-            seen.update(c)
-        new = [w for w in seen if w not in self.kept]
-        got = [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-        known = self.kept | dict(zip(new, got, strict=True)) if new else self.kept
-        out = [b"".join(map(known.__getitem__, c)) for c in chunks]
-        for w, ids in zip(new, got, strict=True):
-            if len(self.kept) >= CACHED:
-                break
-            if seen[w] > 1:
-                self.kept[w] = ids
-        return out
+        """Texts of a few megabytes at most come at a time, but for a longer single one."""
+        for memory in (self.chunks, self.pieces):
+            if len(memory) > REMEMBERED:
+                memory.clear()
+        cut = [t.split() for t in texts]
+        self.learn(list(set().union(*cut).difference(self.chunks)))
+        return [b"".join(map(self.chunks.__getitem__, c)) for c in cut]
+
+
+def _few(sizes: list[int], most: int = 1 << 21):
+    """Neighbouring texts of about so many bytes together, as (first, end)."""
+    first, size = 0, 0
+    for i, n in enumerate(sizes):
+        size += n
+        if size >= most:
+            yield first, i + 1
+            first, size = i + 1, 0
+    if first < len(sizes):
+        yield first, len(sizes)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, longest: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,21 +104,22 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = 2048, end_id: int
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("the longest length must be a power of two")
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = _packed([end_id])
 
     def run(batches):
         encode = Encoder(tokenizer_path)
         for batch in batches:
-            names, encoded = batch.column(0).to_pylist(), encode(batch.column(1).to_pylist())
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for name, ids in zip(names, encoded, strict=True):
-                ids += end
-                n, at = len(ids) // 4, 0
-                for length in cuts(n, longest):
-                    for column, value in zip(out, (name, at, length, ids[4 * at : 4 * (at + length)], n), strict=True):
-                        column.append(value)
-                    at += length
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens"])
+            names, texts = batch.column(0).to_pylist(), batch.column(1)
+            for lo, hi in _few([len(t) for t in texts.to_pylist()]):
+                out: tuple[list, ...] = ([], [], [], [], [])
+                for name, ids in zip(names[lo:hi], encode(texts[lo:hi].to_pylist()), strict=True):
+                    ids += end
+                    n, at = len(ids) // 4, 0
+                    for length in cuts(n, longest):
+                        for column, value in zip(out, (name, at, length, ids[4 * at : 4 * (at + length)], n), strict=True):
+                            column.append(value)
+                        at += length
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens"])
 
     pieces = documents(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SCHEMA)
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
