@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecatlas.llm import packing, sharding, url_filter
+from vecatlas.llm import decontaminate, near_dup, packing, sharding, url_filter
 from vecatlas.llm.common import table
 
 #: The host rules of the contract, and the words that block any other url.
@@ -26,6 +26,10 @@ def op1_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "is_kept")
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [url_filter.host_rule(*r) for r in HOST_RULES] + [url_filter.word_rule(w) for w in WORD_RULES]
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
@@ -35,7 +39,11 @@ def op9_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_power_of_two_packing, op8_url_rules, op9_sampled_splitters)}
+def op10_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_power_of_two_packing, op3_bag_minhash, op8_url_rules, op9_sampled_splitters, op10_simhash_windows)}
 
 _HOST = "translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FITS = " ".join(f"WHEN ('.' || host) LIKE '%.{n.partition('/')[0]}' AND starts_with(path, '/{n.partition('/')[2]}') THEN '{n}'" for n, _ in sorted(HOST_RULES, key=lambda r: -len(r[0])))
