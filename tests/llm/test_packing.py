@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 from vecatlas.llm.packing import cuts, pack, unpack_ids
 
 PATH = str(public_tokenizers.path("word_bpe_49k.json"))
-TEXTS = [None, "", "   ", "One two.", "É\u0301a b\u00a0c\x1cd <|endoftext|> 's it's X'RE\tİstanbul ΣΑΣ \u2003end", "word " * 5000, "thé " * 2047, "One two."]
+TEXTS = [None, "", "   ", "One two.", "É\u0301a b\u00a0c\x1cd <|endoftext|> 's it's X'RE\tİstanbul ΣΑΣ \u2003end", "word " * 5000, "thé " * 2047, "One two.", "ªº µm ¼½ x²y 3½% \u00adsoft Ÿ ŉ ǅ ǆe ß ẞ fi ﬁ İx e\u0301 <|startofTEXT|>a'LL\u0085b ƒ_~€¤§ Ñandú's ÀÉ!!"]
 
 
 def test_cuts():

@@ -11,22 +11,29 @@ each. Other columns of the input are not looked at.
 
 from __future__ import annotations
 
+import os
 import re
 import sys
+import unicodedata
 from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, pre_tokenizers
 
 from vecatlas.llm.common import documents
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
-REMEMBERED = 400_000  # chunks, and pieces of chunks, that a task remembers
+REMEMBERED = 200_000  # chunks, and pieces of chunks, that a task remembers
 
-# The splitting pattern of the tokenizer file, for lower-case ASCII text.
-_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+# The splitting pattern of the tokenizer file, for lower-case text of Latin letters.
+_LATIN = [(chr(c), unicodedata.category(chr(c))[0]) for c in range(0x21, 0x180) if c not in range(0x7F, 0xA1)]
+_LETTERS, _NUMBERS, _OTHERS = ("".join(re.escape(c) for c, kind in _LATIN if kind in kinds) for kinds in ("L", "N", "CMPSZ"))
+_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[{_OTHERS}]+")
+_ODD = "[^\u0021-\u007e\u00a1-\u012f\u0131-\u017f]"  # what else the fast way leaves to the tokenizer
 
 
 def cuts(n: int, longest: int = 2048) -> list[int]:
@@ -42,49 +49,56 @@ def _packed(ids: list[int]) -> bytes:
     return a.tobytes()
 
 
+class Pieces(dict):
+    """Ids of the words and signs that chunks consist of; emptied when full, on which only speed depends."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenize, self.as_bytes = tokenizer.model.tokenize, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        shown = piece if piece.isascii() else self.as_bytes(piece)[0][0]
+        ids = self[piece] = _packed([t.id for t in self.tokenize(shown)])
+        return ids
+
+
 class Encoder:
     """Ids of a text as packed little-endian 32-bit integers.
 
     The tokenizer drops white space and never joins what stands on its two sides, so each chunk between
-    ASCII blanks is encoded by itself and remembered. A lower-cased ASCII chunk is cut further, by the tokenizer's own
-    splitting pattern, into words and signs, which recur more often and need no normalising. When a memory is
-    full it is emptied; only speed depends on it.
+    ASCII blanks is encoded by itself and remembered, for good if it came twice in one group of texts. A chunk of
+    Latin letters is lower-cased and cut by the tokenizer's own splitting pattern into words and signs, which recur more often.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
-
-        self.whole, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()) or r"(?!)", re.IGNORECASE)
+        self.whole = Tokenizer.from_file(path)
+        self.odd = re.compile("|".join([_ODD, *(f"(?i:{re.escape(t.content)})" for t in self.whole.get_added_tokens_decoder().values())]))
         self.chunks: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    @staticmethod
-    def _encode(tokenizer, words: list[str]) -> list[bytes]:
-        return [_packed(e.ids) for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        self.frequent: dict[bytes, bytes] = {}
+        self.pieces = Pieces(self.whole)
 
-    def learn(self, new: list[bytes]) -> None:
-        lower = ((c, c.decode().lower()) for c in new if c.isascii())
-        cut = {c: _ASCII.findall(t) for c, t in lower if not self.special.search(t)}
-        unseen = list({p for ps in cut.values() for p in ps if p not in self.pieces})
-        self.pieces.update(zip(unseen, self._encode(self.plain, unseen), strict=True))
-        self.chunks.update((c, b"".join(map(self.pieces.__getitem__, ps))) for c, ps in cut.items())
-        rest = [c for c in new if c not in cut]
-        self.chunks.update(zip(rest, self._encode(self.whole, [c.decode() for c in rest]), strict=True))
+    def _encode(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if self.odd.search(text):
+            return _packed(self.whole.encode(text, add_special_tokens=False).ids)
+        return b"".join([self.pieces[p] for p in _SPLIT.findall(text.lower())])
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """Texts of a few megabytes at most come at a time, but for a longer single one."""
-        for memory in (self.chunks, self.pieces):
-            if len(memory) > REMEMBERED:
-                memory.clear()
-        cut = [t.split() for t in texts]
-        self.learn(list(set().union(*cut).difference(self.chunks)))
-        return [b"".join(map(self.chunks.__getitem__, c)) for c in cut]
-
-
-def _few(sizes: list[int], most: int = 1 << 21):
+        """Texts of about a megabyte come at a time, or a longer single one."""
+        if len(self.chunks) > REMEMBERED:
+            self.chunks = dict(self.frequent)
+        known, cut = self.chunks, [t.split() for t in texts]
+        new = Counter([w for c in cut for w in c if w not in known])
+        for w, n in new.items():
+            ids = known[w] = self._encode(w)
+            if n > 1 and len(self.frequent) < REMEMBERED // 2:
+                self.frequent[w] = ids
+        return [b"".join([known[w] for w in c]) for c in cut]
+
+
+def _few(sizes: list[int], most: int = 1 << 20):
     """Neighbouring texts of about so many bytes together, as (first, end)."""
     first, size = 0, 0
     for i, n in enumerate(sizes):
@@ -107,6 +121,7 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = 2048, end_id: int
     end = _packed([end_id])
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         encode = Encoder(tokenizer_path)
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
