@@ -27,7 +27,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 from vecatlas.llm.common import documents
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
-REMEMBERED = 200_000  # chunks, and pieces of chunks, that a task remembers
+REMEMBERED = 600_000  # chunks, and pieces of chunks, that a task remembers
 
 # The splitting pattern of the tokenizer file, for lower-case text of Latin letters.
 _LATIN = [(chr(c), unicodedata.category(chr(c))[0]) for c in range(0x21, 0x180) if c not in range(0x7F, 0xA1)]
