@@ -1,7 +1,9 @@
-"""Connected components of links, as joins and partial aggregates."""
+"""Links from shared buckets and their connected components, as joins and partial aggregates."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +26,28 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("v", "label")
         if new.where("label < old").isEmpty():
             return labels
+
+
+def linked(places: DataFrame, link: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """(v, label) of the rows that links join, from their places (row, band) in buckets.
+
+    link(pairs, name) returns those of the pairs (a, b) that are links, as a stored table. First every row of a bucket is tried
+    with one leader, the member with the most bucket mates: no more pairs than places, however large a bucket is. Then
+    members of a bucket that the links so far leave in different components are tried pair by pair, until no bucket holds an
+    untried pair that could join components; so no link between components is lost.
+    """
+    mates = places.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stash(places.join(mates, "band"), "shared-bands")
+    degree = shared.groupBy("row").agg(F.sum("n").alias("degree"))
+    leaders = shared.join(degree, "row").groupBy("band").agg(F.max(F.struct("degree", (-F.col("row")).alias("back"))).alias("top")).select("band", (-F.col("top.back")).alias("b"))
+    pairs = stash(shared.select("band", F.col("row").alias("a")).join(leaders, "band").where("a <> b").select("a", "b").distinct(), "pairs")
+    links = link(pairs, "led")
+    labels = components(links)
+    placed = shared.select("band", "row").join(labels.withColumnRenamed("v", "row"), "row", "left").select("band", "row", F.coalesce("label", "row").alias("label"))
+    open_ = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
+    apart = stash(placed.join(open_, "band", "left_semi"), "apart")
+    x, y = apart.toDF("band", "a", "la"), apart.toDF("band", "b", "lb")
+    rest = x.join(y, "band").where("la < lb").select("a", "b").distinct()
+    tried = pairs.union(pairs.select("b", "a"))
+    more = link(rest.join(tried, ["a", "b"], "left_anti"), "apart")
+    return labels if more.isEmpty() else components(links.union(more))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecatlas.llm.common import documents, stash
-from vecatlas.llm.graph import components
+from vecatlas.llm.graph import linked
 from vecatlas.llm.shingles import WordHashes, mix, multiset, similarity
 
 COMPONENTS, BANDS, ROWS = 128, 25, 5
@@ -157,26 +157,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     reps = same.where("weight > 0").select(F.col("rep").alias("row"))
     sigs = profiles.select("row", "sig", "bands").join(reps, "row", "left_semi")
     places = stash(sigs.select("row", F.explode("bands").alias("band")), "bands")
-    mates = places.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stash(places.join(mates, "band"), "shared-bands")
-    degree = shared.groupBy("row").agg(F.sum("n").alias("degree"))
-    ranked = shared.join(degree, "row")
-    leaders = ranked.groupBy("band").agg(F.max(F.struct("degree", -F.col("row"))).alias("top")).select("band", (-F.col("top.col2")).alias("b"))
-    pairs = shared.select("band", F.col("row").alias("a")).join(leaders, "band").where("a <> b").select("a", "b").distinct()
-    sigs = profiles.select("row", "sig")
-    texts = source.select("row", "text")
-    links = _links(pairs, sigs, texts, "led")
-    labels = components(links)
-    # what stands apart in a bucket still
-    placed = shared.select("band", "row").join(labels.withColumnRenamed("v", "row"), "row", "left").select("band", "row", F.coalesce("label", "row").alias("label"))
-    open_ = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    apart = stash(placed.join(open_, "band", "left_semi"), "apart")
-    x, y = apart.toDF("band", "a", "la"), apart.toDF("band", "b", "lb")
-    rest = x.join(y, "band").where("la < lb").select("a", "b").distinct()
-    rest = rest.join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    more = _links(rest, sigs, texts, "apart")
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    sigs, texts = profiles.select("row", "sig"), source.select("row", "text")
+    labels = linked(places, lambda pairs, name: _links(pairs, sigs, texts, name))
     group = same.join(labels, same["rep"] == labels["v"], "left").select("one", "two", "weight", F.coalesce("label", "rep").alias("label"))
     rows = stash(profiles.select("row", "doc_id", "one", "two", "weight").join(group, ["one", "two", "weight"]).select("row", "doc_id", "label"), "classes")
     first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count("*").alias("class_size"))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecatlas.llm import decontaminate, near_dup, packing, quality, sharding, toxicity, url_filter
-from vecatlas.llm.common import fold, table
+from vecatlas.llm import decontaminate, edit_embedding, near_dup, packing, quality, sharding, toxicity, url_filter, warc
+from vecatlas.llm.common import fold, folder, table
 
 #: The host rules of the contract, and the words that block any other url.
 HOST_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
@@ -39,6 +39,16 @@ def op3_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "is_kept")
 
 
+def op5_index_first_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = folder(spark, "warc")
+    index = warc.write(warc.plan_records(table(spark, sf_dir, "pages")), place)
+    return warc.read(index, place).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_embedding.against_next(table(spark, sf_dir, "documents"))
+
+
 def op7_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), fold("doc_id", 3) == 1
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -58,13 +68,20 @@ def op10_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_power_of_two_packing, op2_co_training, op3_bag_minhash, op7_nnpu_toxicity, op8_url_rules, op9_sampled_splitters, op10_simhash_windows)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_power_of_two_packing, op2_co_training, op3_bag_minhash, op5_index_first_warc, op6_edit_embedding, op7_nnpu_toxicity, op8_url_rules, op9_sampled_splitters, op10_simhash_windows)}
 
 _HOST = "translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FITS = " ".join(f"WHEN ('.' || host) LIKE '%.{n.partition('/')[0]}' AND starts_with(path, '/{n.partition('/')[2]}') THEN '{n}'" for n, _ in sorted(HOST_RULES, key=lambda r: -len(r[0])))
 _VERDICTS = " ".join(f"WHEN '{n}' THEN '{v}'" for n, v in HOST_RULES)
 
 ORACLE: dict[str, str] = {
+    "op5_index_first_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM q""",
     "op8_url_rules": f"""
 WITH u AS (SELECT page_id, url, {_HOST} AS host, coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 r AS (SELECT *, CASE {_FITS} END AS rule FROM u)
