@@ -2,7 +2,9 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
+from vecatlas.llm import graph
 from vecatlas.llm.near_dup import bag_signatures, classes
 from vecatlas.llm.shingles import WordHashes, multiset, similarity
 
@@ -49,7 +51,9 @@ def test_similarity_counts_repeats():
     assert similarity(multiset(b"", w), multiset(b" \n", w)) == 1.0
 
 
-def test_classes_against_brute_force(spark):
+@pytest.mark.parametrize("small", [64, 3])  # with 3 most buckets go the way of large ones
+def test_classes_against_brute_force(spark, small, monkeypatch):
+    monkeypatch.setattr(graph, "SMALL", small)
     rnd = random.Random(11)
     vocab = [f"v{i}" for i in range(400)]
     texts = [None, "", "  ", "one", "One", "one two three", "one two", "z " * 3000, "z " * 2500]

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from vecatlas.llm.common import stash
 
+SMALL = 64
+BROADCAST_IDS = 2_000_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """(v, label) for every vertex of the links (a, b), both long; the label is the least vertex of its component.
@@ -28,13 +31,22 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def linked(places: DataFrame, link: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+def semi(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of df whose key is in ids (a stored table of one column); few ids are broadcast after counting them, more are shuffled."""
+    few = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
+
+
+def linked(places: DataFrame, link: Callable[[DataFrame, str], DataFrame], common: Callable[[DataFrame], DataFrame] | None = None, like: float = 0.8) -> DataFrame:
     """(v, label) of the rows that links join, from their places (row, band) in buckets.
 
     link(pairs, name) returns those of the pairs (a, b) that are links, as a stored table. First every row of a bucket is tried
     with one leader, the member with the most bucket mates: no more pairs than places, however large a bucket is. Then
-    members of a bucket that the links so far leave in different components are tried pair by pair, until no bucket holds an
-    untried pair that could join components; so no link between components is lost.
+    members of a bucket that the links so far leave in different components are tried pair by pair, so no link between components is lost.
+
+    In buckets of more than SMALL members, common(rows) tells (row, own, shared): the weight of a row's multiset, and of what it has in
+    common with any other of these rows. Two rows have no more in common than the lesser shared; where that is too little for a similarity of like, they
+    are no pair. This takes out the many that a large group of loosely alike texts holds, exactly.
     """
     mates = places.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = stash(places.join(mates, "band"), "shared-bands")
@@ -43,11 +55,23 @@ def linked(places: DataFrame, link: Callable[[DataFrame, str], DataFrame]) -> Da
     pairs = stash(shared.select("band", F.col("row").alias("a")).join(leaders, "band").where("a <> b").select("a", "b").distinct(), "pairs")
     links = link(pairs, "led")
     labels = components(links)
-    placed = shared.select("band", "row").join(labels.withColumnRenamed("v", "row"), "row", "left").select("band", "row", F.coalesce("label", "row").alias("label"))
+    placed = shared.select("band", "row", "n").join(labels.withColumnRenamed("v", "row"), "row", "left").select("band", "row", "n", F.coalesce("label", "row").alias("label"))
     open_ = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
     apart = stash(placed.join(open_, "band", "left_semi"), "apart")
-    x, y = apart.toDF("band", "a", "la"), apart.toDF("band", "b", "lb")
-    rest = x.join(y, "band").where("la < lb").select("a", "b").distinct()
+
+    def sides(df: DataFrame, *more: str) -> DataFrame:
+        x, y = (df.select("band", F.col("row").alias(k), F.col("label").alias(f"l{k}"), *(F.col(c).alias(f"{c}_{k}") for c in more)) for k in ("a", "b"))
+        met = (x["band"] == y["band"]) & (F.col("la") < F.col("lb"))
+        if more:
+            met &= F.least("shared_a", "shared_b") * (1 + like) >= (F.col("own_a") + F.col("own_b")) * like - 1e-6
+        return x.join(y, met).select("a", "b")
+
+    large = apart.where(F.col("n") > SMALL)
+    if common is None:
+        rest = sides(apart)
+    else:
+        weights = stash(common(stash(large.select("row").distinct(), "large-rows")), "common")
+        rest = sides(apart.where(F.col("n") <= SMALL)).union(sides(large.join(weights, "row").where(F.col("shared") >= F.col("own") * like - 1e-6), "own", "shared"))
     tried = pairs.union(pairs.select("b", "a"))
-    more = link(rest.join(tried, ["a", "b"], "left_anti"), "apart")
+    more = link(rest.distinct().join(tried, ["a", "b"], "left_anti"), "apart")
     return labels if more.isEmpty() else components(links.union(more))

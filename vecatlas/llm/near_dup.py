@@ -13,7 +13,8 @@ to the time by which its components are likely full (about 9 m points whatever i
 Search. 25 bands of 5 components (of 128) miss a pair at exactly 0.8 once in 20,000 pairs. Equal multisets are one
 representative from the start. In every bucket the others are compared with one leader, the member with the most bucket mates:
 as many pairs as rows, however large the bucket. What the leaders' links leave apart in a bucket is then compared pair by pair across
-its components. All candidates whose signatures agree in 60 % or more (7 standard errors below 0.8) are verified on whole texts.
+its components; in large buckets only where the shingles that both have in common with anything there would do (see :func:`graph.linked`).
+All candidates whose signatures (a byte of each component's point) agree in 60 % or more (5 standard errors below 0.8) are verified on whole texts.
 
 Texts without words are one class. Null texts are empty ones. Repeated rows are rows of the same class. An empty table gives an
 empty result. The input must be a stable source (tables or files), for rows are told apart by their place in it.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecatlas.llm.common import documents, stash
-from vecatlas.llm.graph import linked
+from vecatlas.llm.graph import linked, semi
 from vecatlas.llm.shingles import WordHashes, mix, multiset, similarity
 
 COMPONENTS, BANDS, ROWS = 128, 25, 5
@@ -105,7 +106,7 @@ def _profiles(batches):
                     band = mix(band * np.uint64(5) + sig[:, i : BANDS * ROWS : ROWS])
             weights = np.bincount(doc, weights=c, minlength=len(got)).astype(np.int64)
             for i, t in enumerate(order[start:stop]):
-                sets[t] = (ones[i].astype(np.int64), twos[i].astype(np.int64), weights[i], sig[i].astype("<u4").tobytes() if weights[i] else None, band[i].astype(np.int64) if weights[i] else [])
+                sets[t] = (ones[i].astype(np.int64), twos[i].astype(np.int64), weights[i], sig[i].astype(np.uint8).tobytes() if weights[i] else None, band[i].astype(np.int64) if weights[i] else [])
             start = stop
         out = [sets[t] for t in texts]
         yield pa.RecordBatch.from_arrays(
@@ -114,11 +115,23 @@ def _profiles(batches):
         )
 
 
+def _elements(batches):
+    """A row for each element of a multiset, its second occurrence another element than its first."""
+    words = WordHashes()
+    for batch in batches:
+        for row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            h, n = multiset(text, words)
+            turn = np.concatenate([np.arange(k) for k in n]) if len(n) else np.zeros(0)
+            with np.errstate(over="ignore"):
+                element = mix(np.repeat(h, n) + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(element), row), pa.int64()), pa.array(element.astype(np.int64))], ["row", "element"])
+
+
 def _agreeing(batches):
     """Pairs whose signatures agree often enough."""
     for batch in batches:
         if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype="<u4").reshape(-1, COMPONENTS) for i in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, COMPONENTS) for i in (2, 3))
             yield batch.filter(pa.array((a == b).mean(axis=1) >= LEAST_AGREEING)).select(["a", "b"])
 
 
@@ -141,8 +154,8 @@ def _links(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, name: str) -> Da
     side = lambda df, k, v: df.select(F.col("row").alias(k), F.col(v).alias(f"{v}_{k}"))
     likely = pairs.join(side(sigs, "a", "sig"), "a").join(side(sigs, "b", "sig"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing, "a long, b long")
     likely = stash(likely, f"{name}-likely")
-    used = likely.select(F.col("a").alias("row")).union(likely.select(F.col("b").alias("row"))).distinct()
-    some = texts.join(used, "row", "left_semi")
+    used = stash(likely.select(F.col("a").alias("row")).union(likely.select(F.col("b").alias("row"))).distinct(), "used")
+    some = semi(texts, used, "row")
     return stash(likely.join(side(some, "a", "text"), "a").join(side(some, "b", "text"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_alike, "a long, b long"), f"{name}-links")
 
 
@@ -158,7 +171,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sigs = profiles.select("row", "sig", "bands").join(reps, "row", "left_semi")
     places = stash(sigs.select("row", F.explode("bands").alias("band")), "bands")
     sigs, texts = profiles.select("row", "sig"), source.select("row", "text")
-    labels = linked(places, lambda pairs, name: _links(pairs, sigs, texts, name))
+
+    def common(rows: DataFrame) -> DataFrame:
+        parts = semi(texts, rows, "row").mapInArrow(_elements, "row long, element long")
+        many = parts.groupBy("element").agg(F.count("*").alias("n")).where("n > 1").select("element")
+        both = parts.join(many, "element").groupBy("row").agg(F.count("*").alias("shared"))
+        return rows.join(profiles.select("row", F.col("weight").alias("own")), "row").join(both, "row")
+
+    labels = linked(places, lambda pairs, name: _links(pairs, sigs, texts, name), common, LIKE)
     group = same.join(labels, same["rep"] == labels["v"], "left").select("one", "two", "weight", F.coalesce("label", "rep").alias("label"))
     rows = stash(profiles.select("row", "doc_id", "one", "two", "weight").join(group, ["one", "two", "weight"]).select("row", "doc_id", "label"), "classes")
     first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count("*").alias("class_size"))
