@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecatlas.llm import decontaminate, edit_embedding, near_dup, packing, quality, sharding, toxicity, url_filter, warc
+from vecatlas.llm import decontaminate, edit_embedding, gated_lm, near_dup, packing, quality, sharding, toxicity, url_filter, warc
 from vecatlas.llm.common import fold, folder, table
 
 #: The host rules of the contract, and the words that block any other url.
@@ -39,6 +39,12 @@ def op3_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "is_kept")
 
 
+def op4_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold_of = fold("doc_id", 7)
+    scored = gated_lm.score(table(spark, sf_dir, "documents"), fold_of != 2)
+    return scored.select("doc_id", (fold_of == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_index_first_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = folder(spark, "warc")
     index = warc.write(warc.plan_records(table(spark, sf_dir, "pages")), place)
@@ -68,7 +74,7 @@ def op10_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_power_of_two_packing, op2_co_training, op3_bag_minhash, op5_index_first_warc, op6_edit_embedding, op7_nnpu_toxicity, op8_url_rules, op9_sampled_splitters, op10_simhash_windows)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_power_of_two_packing, op2_co_training, op3_bag_minhash, op4_gated_lm, op5_index_first_warc, op6_edit_embedding, op7_nnpu_toxicity, op8_url_rules, op9_sampled_splitters, op10_simhash_windows)}
 
 _HOST = "translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FITS = " ".join(f"WHEN ('.' || host) LIKE '%.{n.partition('/')[0]}' AND starts_with(path, '/{n.partition('/')[2]}') THEN '{n}'" for n, _ in sorted(HOST_RULES, key=lambda r: -len(r[0])))
