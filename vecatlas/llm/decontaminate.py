@@ -46,7 +46,8 @@ def _fingerprinted(df: DataFrame, keys: list[str]) -> DataFrame:
     sums = [F.sum(F.expr(f"(x & 1) | shiftleft(x & 2, 15) | shiftleft(x & 4, 30) | shiftleft(x & 8, 45)".replace("x", f"shiftrightunsigned(s, {4 * g})"))).alias(f"c{g}") for g in range(16)]
     counted = rows.groupBy(*keys).agg(F.count("*").alias("n_sh"), *sums)
     bits = [F.expr(f"if(2 * (shiftrightunsigned(c{b // 4}, {16 * (b % 4)}) & 65535) > n_sh, shiftleft(1L, {b}), 0L)") for b in range(64)]
-    return counted.select(*keys, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("simhash"))
+    # written, so that the long expression is planned and computed once and not once for each block
+    return stash(counted.select(*keys, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("simhash")), "simhash")
 
 
 def _blocks(df: DataFrame) -> DataFrame:
@@ -65,7 +66,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     bounded = F.broadcast if small else (lambda df: df)
 
     keyed = documents(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"))
-    places = _hashed(keyed.select("k1", "k2", "text")).select("k1", "k2", F.size("sh").alias("n_sh"), F.posexplode("sh").alias("at", "s")).join(bounded(wanted), "s")
+    places = _hashed(keyed.select("k1", "k2", "text")).select("k1", "k2", F.explode(F.expr("transform(sh, (s, i) -> struct(size(sh) as n_sh, i as at, s as s))")).alias("p")).select("k1", "k2", "p.*").join(bounded(wanted), "s")
     seeds = places.select("k1", "k2", "n", F.greatest(F.lit(0), F.least("at", F.col("n_sh") - (F.col("n") - WORDS + 1))).alias("start"))
     seeds = stash(seeds.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n")).alias("windows")), "seeds")
     texts = keyed.select("k1", "k2", "text").join(seeds.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
