@@ -58,3 +58,19 @@ def keep(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def fold(id_col: str, parts: int):
     """The fold number that the contracts use: crc32 of the id written as text, modulo parts; null ids count as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % parts
+
+
+def sampled(docs: DataFrame, judged: DataFrame, strata: list, seed: int, train=None) -> DataFrame:
+    """Rows of docs with the columns of judged: for each (condition, n) of strata the n ids of least hash that meet it.
+
+    Only ids pass through shuffles; the picked ones, of number at most the sum of the n, are then broadcast to fetch their rows.
+    An id that occurs twice gives one row; null ids are never picked.
+    """
+    ids = docs.where(F.lit(True) if train is None else train).select("doc_id").where("doc_id is not null").distinct()
+    ids = ids.join(judged, "doc_id", "left").withColumn("__draw", F.xxhash64("doc_id", F.lit(seed)))
+    picked = None
+    for met, n in strata:
+        some = ids.where(met).orderBy("__draw", "doc_id").limit(n)
+        picked = some if picked is None else picked.unionByName(some)
+    picked = stash(picked.drop("__draw"), "sampled")
+    return docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecatlas.llm.common import sampled
 from vecatlas.llm.linear import apply, logistic, logit, platt, sigmoid
 
 PAIRS, NAMES = 256, 64
@@ -141,8 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, *, labe
     """train says which documents may teach (all by default)."""
     judged = labels.select(F.col(label_id_col).alias("doc_id"), F.col(label_col).alias("y")).where(F.col("y").isNotNull()).groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     rows = _columns(docs, id_col, text_col, lang_col, source_col, chars_col)
-    rows = (rows if train is None else rows.where(train)).join(judged, "doc_id", "left").withColumn("draw", F.xxhash64("doc_id", "text", F.lit(seed)))
-    drawn = rows.where("y is not null").orderBy("draw").limit(labelled).unionByName(rows.where("y is null").orderBy("draw").limit(pool))
+    drawn = sampled(rows, judged, [("y is not null", labelled), ("y is null", pool)], seed, train)
     got = drawn.select(F.col("text").cast("binary").alias("text"), "lang", "source", "n_chars", F.coalesce("y", F.lit(-1)).alias("y")).mapInArrow(_packed, "x binary, m binary, y int").toArrow()
     x, m = (np.frombuffer(b"".join(got[c].to_pylist()), dtype=np.float32).reshape(-1, n) for c, n in (("x", CONTENT), ("m", META)))
     return co_train(x, m, np.array(got["y"].to_pylist(), dtype=np.int64))

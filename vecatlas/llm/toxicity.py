@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecatlas.llm.common import documents
+from vecatlas.llm.common import documents, sampled
 from vecatlas.llm.linear import logit, platt, sigmoid
 
 SIGNS = bytes(c for c in range(128) if not chr(c).isalnum())
@@ -111,15 +111,15 @@ def _hashed_words(batches):
 def fit(docs: DataFrame, labels: DataFrame, train: Column, *, positives: int = 4000, unlabelled: int = 8000, rounds: int = 3, features: int = 4096, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str = "doc_id", seed: int = 7) -> Model:
     """train says, of ``doc_id`` (the id's name here), which documents may teach."""
     judged = labels.select(F.col(label_id_col).alias("doc_id"), F.col(label_col).alias("toxic")).where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = documents(docs, id_col, text_col).where(train).join(judged, "doc_id", "left").select(F.col("text").cast("binary").alias("text"), F.coalesce(F.col("toxic") > 0, F.lit(False)).alias("toxic"), F.col("toxic").isNotNull().alias("known"), F.xxhash64("doc_id", "text", F.lit(seed)).alias("draw"))
-    counts = rows.groupBy("toxic", "known").count().collect()
+    source = documents(docs, id_col, text_col)
+    counts = source.where(train).select("doc_id").join(judged, "doc_id", "left").groupBy((F.coalesce("toxic", F.lit(0)) > 0).alias("toxic"), F.col("toxic").isNotNull().alias("known")).count().collect()
     known = sum(r["count"] for r in counts if r["known"])
     toxic = sum(r["count"] for r in counts if r["toxic"])
     prior = min(0.5, max(1e-3, toxic / known)) if known else 1e-3
     if not toxic or toxic == sum(r["count"] for r in counts):
         return Model({}, 0.0, 1.0, 0.0, prior if known else 0.0)
-    drawn = rows.where("toxic").orderBy("draw").limit(positives).unionByName(rows.where("not toxic").orderBy("draw").limit(unlabelled)).drop("draw")
-    got = drawn.mapInArrow(_hashed_words, "words array<long>, toxic boolean, known boolean").toArrow()
+    drawn = sampled(source, judged, [("toxic > 0", positives), ("coalesce(toxic, 0) <= 0", unlabelled)], seed, train)
+    got = drawn.select(F.col("text").cast("binary").alias("text"), (F.coalesce("toxic", F.lit(0)) > 0).alias("toxic"), F.col("toxic").isNotNull().alias("known")).mapInArrow(_hashed_words, "words array<long>, toxic boolean, known boolean").toArrow()
     bags, is_pos, is_known = got["words"].to_pylist(), np.array(got["toxic"].to_pylist()), np.array(got["known"].to_pylist())
     in_pos: Counter = Counter(w for b, p in zip(bags, is_pos, strict=True) if p for w in b)
     in_unl: Counter = Counter(w for b, p in zip(bags, is_pos, strict=True) if not p for w in b)
