@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecatlas.llm.common import stash
@@ -37,16 +37,15 @@ def semi(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
 
 
-def linked(places: DataFrame, link: Callable[[DataFrame, str], DataFrame], common: Callable[[DataFrame], DataFrame] | None = None, like: float = 0.8) -> DataFrame:
+def linked(places: DataFrame, link: Callable[[DataFrame, str], DataFrame], traits: Callable[[DataFrame], DataFrame] | None = None, fits: Callable[[Callable[[str, str], Column]], Column] | None = None) -> DataFrame:
     """(v, label) of the rows that links join, from their places (row, band) in buckets.
 
     link(pairs, name) returns those of the pairs (a, b) that are links, as a stored table. First every row of a bucket is tried
     with one leader, the member with the most bucket mates: no more pairs than places, however large a bucket is. Then
     members of a bucket that the links so far leave in different components are tried pair by pair, so no link between components is lost.
 
-    In buckets of more than SMALL members, common(rows) tells (row, own, shared): the weight of a row's multiset, and of what it has in
-    common with any other of these rows. Two rows have no more in common than the lesser shared; where that is too little for a similarity of like, they
-    are no pair. This takes out the many that a large group of loosely alike texts holds, exactly.
+    In buckets of more than SMALL members, traits(rows) gives columns of the rows (without those that can't link to any other of these rows), and fits(of),
+    with of(column, side), says which two can be a link at all: a condition of the join, so that a large group of loosely alike texts makes few pairs.
     """
     mates = places.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     shared = stash(places.join(mates, "band"), "shared-bands")
@@ -59,19 +58,17 @@ def linked(places: DataFrame, link: Callable[[DataFrame, str], DataFrame], commo
     open_ = placed.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
     apart = stash(placed.join(open_, "band", "left_semi"), "apart")
 
-    def sides(df: DataFrame, *more: str) -> DataFrame:
+    def sides(df: DataFrame, more: list[str]) -> DataFrame:
         x, y = (df.select("band", F.col("row").alias(k), F.col("label").alias(f"l{k}"), *(F.col(c).alias(f"{c}_{k}") for c in more)) for k in ("a", "b"))
         met = (x["band"] == y["band"]) & (F.col("la") < F.col("lb"))
-        if more:
-            met &= F.least("shared_a", "shared_b") * (1 + like) >= (F.col("own_a") + F.col("own_b")) * like - 1e-6
-        return x.join(y, met).select("a", "b")
+        return x.join(y, met & fits(lambda c, k: F.col(f"{c}_{k}")) if more else met).select("a", "b")
 
     large = apart.where(F.col("n") > SMALL)
-    if common is None:
-        rest = sides(apart)
+    if traits is None:
+        rest = sides(apart, [])
     else:
-        weights = stash(common(stash(large.select("row").distinct(), "large-rows")), "common")
-        rest = sides(apart.where(F.col("n") <= SMALL)).union(sides(large.join(weights, "row").where(F.col("shared") >= F.col("own") * like - 1e-6), "own", "shared"))
+        known = stash(traits(stash(large.select("row").distinct(), "large-rows")), "traits")
+        rest = sides(apart.where(F.col("n") <= SMALL), []).union(sides(large.join(known, "row"), [c for c in known.columns if c != "row"]))
     tried = pairs.union(pairs.select("b", "a"))
     more = link(rest.distinct().join(tried, ["a", "b"], "left_anti"), "apart")
     return labels if more.isEmpty() else components(links.union(more))

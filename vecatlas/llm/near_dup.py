@@ -14,7 +14,7 @@ Search. 25 bands of 5 components (of 128) miss a pair at exactly 0.8 once in 20,
 representative from the start. In every bucket the others are compared with one leader, the member with the most bucket mates:
 as many pairs as rows, however large the bucket. What the leaders' links leave apart in a bucket is then compared pair by pair across
 its components; in large buckets only where the shingles that both have in common with anything there would do (see :func:`graph.linked`).
-All candidates whose signatures (a byte of each component's point) agree in 60 % or more (5 standard errors below 0.8) are verified on whole texts.
+All candidates whose signatures (a byte of each component's point) agree in 66 % or more (4 standard errors below 0.8) are verified on whole texts.
 
 Texts without words are one class. Null texts are empty ones. Repeated rows are rows of the same class. An empty table gives an
 empty result. The input must be a stable source (tables or files), for rows are told apart by their place in it.
@@ -22,6 +22,8 @@ empty result. The input must be a stable source (tables or files), for rows are
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +34,7 @@ from vecatlas.llm.graph import linked, semi
 from vecatlas.llm.shingles import WordHashes, mix, multiset, similarity
 
 COMPONENTS, BANDS, ROWS = 128, 25, 5
-LIKE, LEAST_AGREEING = 0.8, 0.6
+LIKE, LEAST_AGREEING = 0.8, 0.66
 AT_ONCE = 400_000  # shingles whose points are made together
 
 
@@ -105,13 +107,15 @@ def _profiles(batches):
                 for i in range(ROWS):
                     band = mix(band * np.uint64(5) + sig[:, i : BANDS * ROWS : ROWS])
             weights = np.bincount(doc, weights=c, minlength=len(got)).astype(np.int64)
+            bits = (sig[:, :, None] >> np.arange(4, dtype=np.uint32) & 1).astype(np.uint8).transpose(0, 2, 1)
+            planes = np.packbits(np.ascontiguousarray(bits).reshape(len(got), -1), axis=1).view("<i8")
             for i, t in enumerate(order[start:stop]):
-                sets[t] = (ones[i].astype(np.int64), twos[i].astype(np.int64), weights[i], sig[i].astype(np.uint8).tobytes() if weights[i] else None, band[i].astype(np.int64) if weights[i] else [])
+                sets[t] = (ones[i].astype(np.int64), twos[i].astype(np.int64), weights[i], sig[i].astype(np.uint8).tobytes() if weights[i] else None, band[i].astype(np.int64) if weights[i] else [], planes[i])
             start = stop
         out = [sets[t] for t in texts]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.int64()), names.cast(pa.int64()), *(pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))))],
-            ["row", "doc_id", "one", "two", "weight", "sig", "bands"],
+            [pa.array(rows, pa.int64()), names.cast(pa.int64()), *(pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))))],
+            ["row", "doc_id", "one", "two", "weight", "sig", "bands", "planes"],
         )
 
 
@@ -165,20 +169,28 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     row is the row's place (``monotonically_increasing_id`` over the same input). Null ids come after all others.
     """
     source = documents(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    profiles = stash(source.mapInArrow(_profiles, "row long, doc_id long, one long, two long, weight long, sig binary, bands array<long>"), "profiles")
+    profiles = stash(source.mapInArrow(_profiles, "row long, doc_id long, one long, two long, weight long, sig binary, bands array<long>, planes array<long>"), "profiles")
     same = profiles.groupBy("one", "two", "weight").agg(F.min("row").alias("rep"))
     reps = same.where("weight > 0").select(F.col("rep").alias("row"))
     sigs = profiles.select("row", "sig", "bands").join(reps, "row", "left_semi")
     places = stash(sigs.select("row", F.explode("bands").alias("band")), "bands")
     sigs, texts = profiles.select("row", "sig"), source.select("row", "text")
 
-    def common(rows: DataFrame) -> DataFrame:
+    def traits(rows: DataFrame) -> DataFrame:
+        """Weight, what of it other rows have too, and four bits of every signature component."""
         parts = semi(texts, rows, "row").mapInArrow(_elements, "row long, element long")
         many = parts.groupBy("element").agg(F.count("*").alias("n")).where("n > 1").select("element")
         both = parts.join(many, "element").groupBy("row").agg(F.count("*").alias("shared"))
-        return rows.join(profiles.select("row", F.col("weight").alias("own")), "row").join(both, "row")
+        own = profiles.select("row", F.col("weight").alias("own"), *(F.col("planes")[i].alias(f"p{i}") for i in range(8)))
+        return rows.join(own, "row").join(both, "row").where(F.col("shared") >= F.col("own") * LIKE - 1e-6)
+
+    def fits(of):
+        """Two rows have no more in common than the lesser shared; and they agree in enough components."""
+        enough = F.least(of("shared", "a"), of("shared", "b")) * (1 + LIKE) >= (of("own", "a") + of("own", "b")) * LIKE - 1e-6
+        differ = [reduce(lambda x, y: x.bitwiseOR(y), (of(f"p{2 * i + h}", "a").bitwiseXOR(of(f"p{2 * i + h}", "b")) for i in range(4))) for h in (0, 1)]
+        return enough & (F.bit_count(differ[0]) + F.bit_count(differ[1]) <= int((1 - LEAST_AGREEING) * COMPONENTS))
 
-    labels = linked(places, lambda pairs, name: _links(pairs, sigs, texts, name), common, LIKE)
+    labels = linked(places, lambda pairs, name: _links(pairs, sigs, texts, name), traits, fits)
     group = same.join(labels, same["rep"] == labels["v"], "left").select("one", "two", "weight", F.coalesce("label", "rep").alias("label"))
     rows = stash(profiles.select("row", "doc_id", "one", "two", "weight").join(group, ["one", "two", "weight"]).select("row", "doc_id", "label"), "classes")
     first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count("*").alias("class_size"))
