@@ -74,3 +74,12 @@ def sampled(docs: DataFrame, judged: DataFrame, strata: list, seed: int, train=N
         picked = some if picked is None else picked.unionByName(some)
     picked = stash(picked.drop("__draw"), "sampled")
     return docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
+
+
+BROADCAST_IDS = 2_000_000
+
+
+def semi(df: DataFrame, ids: DataFrame, *keys: str) -> DataFrame:
+    """The rows of df whose keys are in ids (a stored table of just these); few ids are broadcast after counting them, more are shuffled."""
+    few = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, list(keys), "left_semi")

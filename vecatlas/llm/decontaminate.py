@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecatlas.llm.common import documents, stash
+from vecatlas.llm.common import documents, semi, stash
 
 WORDS, LIKE, RADIUS = 5, 0.8, 21
 BROADCAST_SHINGLES = 1_000_000  # a longer list of the items' shingles is joined by shuffling
@@ -69,7 +69,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     places = _hashed(keyed.select("k1", "k2", "text")).select("k1", "k2", F.explode(F.expr("transform(sh, (s, i) -> struct(size(sh) as n_sh, i as at, s as s))")).alias("p")).select("k1", "k2", "p.*").join(bounded(wanted), "s")
     seeds = places.select("k1", "k2", "n", F.greatest(F.lit(0), F.least("at", F.col("n_sh") - (F.col("n") - WORDS + 1))).alias("start"))
     seeds = stash(seeds.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n")).alias("windows")), "seeds")
-    texts = keyed.select("k1", "k2", "text").join(seeds.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    texts = semi(keyed.select("k1", "k2", "text"), seeds.select("k1", "k2"), "k1", "k2").groupBy("k1", "k2").agg(F.first("text").alias("text"))
     cut = _hashed(texts.join(seeds, ["k1", "k2"])).select("k1", "k2", F.explode(F.expr(f"transform(windows, w -> struct(w.start, w.n, slice(sh, w.start + 1, w.n - {WORDS - 1}) as sh))")).alias("w"))
     windows = stash(cut.select("k1", "k2", "w.start", "w.n", "w.sh"), "windows")
 

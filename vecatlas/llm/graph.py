@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from vecatlas.llm.common import stash
 
 SMALL = 64
-BROADCAST_IDS = 2_000_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -31,12 +30,6 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def semi(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of df whose key is in ids (a stored table of one column); few ids are broadcast after counting them, more are shuffled."""
-    few = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
-
-
 def linked(places: DataFrame, link: Callable[[DataFrame, str], DataFrame], traits: Callable[[DataFrame], DataFrame] | None = None, fits: Callable[[Callable[[str, str], Column]], Column] | None = None) -> DataFrame:
     """(v, label) of the rows that links join, from their places (row, band) in buckets.
 

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecatlas.llm.common import documents, stash
-from vecatlas.llm.graph import linked, semi
+from vecatlas.llm.common import documents, semi, stash
+from vecatlas.llm.graph import linked
 from vecatlas.llm.shingles import WordHashes, mix, multiset, similarity
 
 COMPONENTS, BANDS, ROWS = 128, 25, 5
