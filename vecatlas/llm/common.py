@@ -1,43 +1,11 @@
-"""What the text operators share: scratch tables, bounded samples and document columns."""
+"""What the text operators share: bounded samples and document columns, beside the library's scratch tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession) -> str:
-    """The shared folder of this session (``spark.checkpoint.dir``).
-
-    Only a purely local session without that setting gets a temporary folder; on a cluster its
-    absence is an error, since executors could not see each other's files.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root.rstrip("/")
-    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
-    if not (master == "local" or master.startswith("local[")):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
-    return _LOCAL[app]
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new path for one scratch table or archive."""
-    return f"{scratch(spark)}/vecatlas/{name}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
-    path = folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from vecatlas.sources.scratch import folder, scratch, stash  # noqa: F401
 
 
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

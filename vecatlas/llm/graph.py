@@ -8,28 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecatlas.llm.common import stash
+from vecatlas.operators.graph import components
 
 SMALL = 64
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(v, label) for every vertex of the links (a, b), both long; the label is the least vertex of its component.
-
-    Each round takes the least label among the neighbours and then the label of that label, so long
-    chains halve. Rounds go on until nothing changes; each is written to the shared folder.
-    """
-    both = stash(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
-    labels = stash(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("n")).select("v", F.least("v", "n").alias("label")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = step.select(F.col("v").alias("label"), F.col("label").alias("up"))
-        new = stash(step.join(jump, "label", "left").select("v", "old", F.coalesce(F.least("up", "label"), "label").alias("label")), "labels")
-        labels = new.select("v", "label")
-        if new.where("label < old").isEmpty():
-            return labels
-
-
 def linked(places: DataFrame, link: Callable[[DataFrame, str], DataFrame], traits: Callable[[DataFrame], DataFrame] | None = None, fits: Callable[[Callable[[str, str], Column]], Column] | None = None) -> DataFrame:
     """(v, label) of the rows that links join, from their places (row, band) in buckets.
 
