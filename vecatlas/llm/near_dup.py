@@ -179,10 +179,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def traits(rows: DataFrame) -> DataFrame:
         """Weight, what of it other rows have too, and four bits of every signature component."""
         parts = semi(texts, rows, "row").mapInArrow(_elements, "row long, element long")
-        many = parts.groupBy("element").agg(F.count("*").alias("n")).where("n > 1").select("element")
-        both = parts.join(many, "element").groupBy("row").agg(F.count("*").alias("shared"))
+        alone = parts.groupBy("element").agg(F.count("*").alias("n"), F.min("row").alias("row")).where("n = 1").groupBy("row").agg(F.count("*").alias("alone"))
         own = profiles.select("row", F.col("weight").alias("own"), *(F.col("planes")[i].alias(f"p{i}") for i in range(8)))
-        return rows.join(own, "row").join(both, "row").where(F.col("shared") >= F.col("own") * LIKE - 1e-6)
+        known = rows.join(own, "row").join(alone, "row", "left").withColumn("shared", F.col("own") - F.coalesce("alone", F.lit(0))).drop("alone")
+        return known.where(F.col("shared") >= F.col("own") * LIKE - 1e-6)
 
     def fits(of):
         """Two rows have no more in common than the lesser shared; and they agree in enough components."""
