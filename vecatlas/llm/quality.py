@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecatlas.llm.common import sampled
-from vecatlas.llm.linear import apply, logistic, logit, platt, sigmoid
+from vecatlas.llm.linear import apply, logistic, platt, sigmoid
 
 PAIRS, NAMES = 256, 64
 CONTENT, META = 256 + PAIRS + 5, 2 * NAMES + 7
