@@ -1,8 +1,8 @@
 """Registered queries of the library and the SQL that says what each must return."""
 
-from vecatlas.plans import ledger, library, more, scoring, search, series
+from vecatlas.plans import extra, ledger, library, more, scoring, search, series
 from vecatlas.plans import layout as layouts
 
-MODULES = (search, library, scoring, series, ledger, layouts, more)
+MODULES = (search, library, scoring, series, ledger, layouts, more, extra)
 QUERIES = {k: f for m in MODULES for k, f in m.book.queries.items()}
 ORACLE = {k: s for m in MODULES for k, s in m.book.sql.items()}
