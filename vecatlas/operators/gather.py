@@ -60,25 +60,26 @@ def gather(items: DataFrame, features: DataFrame, weights: dict[str, float] = WE
     return out, used
 
 
-def statistics(df: DataFrame, column: str) -> tuple[list[float], list[float]]:
-    """Mean and population deviation of each dimension: as many numbers as the vector is wide."""
-    rows = df.select(F.posexplode(column).alias("d", "x")).groupBy("d").agg(F.avg("x").alias("mu"), F.stddev_pop("x").alias("sd")).orderBy("d").collect()
-    return [r["mu"] for r in rows], [1.0 if r["sd"] < 1e-9 else r["sd"] for r in rows]
+def statistics(df: DataFrame, columns: list[str]) -> dict[str, tuple[list[float], list[float]]]:
+    """Mean and population deviation of each dimension of each column in one job: as many numbers as the vectors are wide."""
+    tagged = F.concat(*(F.expr(f"transform({c}, (x, i) -> struct({k} AS s, i AS d, CAST(x AS DOUBLE) AS x))") for k, c in enumerate(columns)))
+    rows = df.select(F.explode(tagged).alias("e")).groupBy("e.s", "e.d").agg(F.avg("e.x").alias("mu"), F.stddev_pop("e.x").alias("sd")).orderBy("s", "d").collect()
+    return {c: ([r["mu"] for r in rows if r["s"] == k], [1.0 if r["sd"] < 1e-9 else r["sd"] for r in rows if r["s"] == k]) for k, c in enumerate(columns)}
 
 
-def standardize(df: DataFrame, column: str) -> DataFrame:
-    mu, sd = statistics(df, column)
-    if not mu:
-        return df
-    moments = f"arrays_zip(array({','.join(f'{m!r}D' for m in mu)}), array({','.join(f'{s!r}D' for s in sd)}))"
-    return df.withColumn(column, F.expr(f"zip_with({column}, {moments}, (x, m) -> (CAST(x AS DOUBLE) - m['0']) / m['1'])"))
+def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
+    for column, (mu, sd) in statistics(df, columns).items():
+        if mu:
+            moments = f"arrays_zip(array({','.join(f'{m!r}D' for m in mu)}), array({','.join(f'{s!r}D' for s in sd)}))"
+            df = df.withColumn(column, F.expr(f"zip_with({column}, {moments}, (x, m) -> (CAST(x AS DOUBLE) - m['0']) / m['1'])"))
+    return df
 
 
 def composite(df: DataFrame, used: list[str], weights: dict[str, float] = WEIGHTS, *, standard: bool = True, out: str = "vec") -> DataFrame:
     """df with out = the unit source blocks times the roots of their weights, one after the other; so squared distances add up by weight. Blocks are standardised first, or taken as they are."""
+    if standard:
+        df = standardize(df, used)
     for s in used:
-        if standard:
-            df = standardize(df, s)
         df = unit(df, s, s)
         df = df.withColumn(s, F.expr(f"transform({s}, x -> x * {math.sqrt(weights[s])!r}D)"))
     return df.withColumn(out, F.concat(*used)).drop(*used)

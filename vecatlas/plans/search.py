@@ -71,7 +71,7 @@ def _sums(df):
 
 @book.query("SELECT d, round(avg(x::DOUBLE), 6) AS mu, round(stddev_pop(x::DOUBLE), 6) AS sd FROM (SELECT generate_subscripts(vec, 1) - 1 AS d, unnest(vec) AS x FROM features WHERE version = 2 AND source = 'main') GROUP BY d")
 def a1_column_statistics(t):
-    mu, sd = g.statistics(g.read_features(t.features, "main"), "vec")
+    mu, sd = g.statistics(g.read_features(t.features, "main"), ["vec"])["vec"]
     return t.spark.createDataFrame([(d, round(m, 6), round(v, 6)) for d, (m, v) in enumerate(zip(mu, sd, strict=True))], "d long, mu double, sd double")
 
 
