@@ -25,6 +25,7 @@ from vecatlas.llm.common import documents, stash
 from vecatlas.llm.graph import linked
 
 BITS, SEED, BLOCK = 512, 20, 512
+AT_ONCE = 2000  # texts that walk side by side; memory grows with them, speed as well
 PART_BYTES, MOST_PARTS = 16 << 20, 2048
 LEAST_ID = -(1 << 63)
 
@@ -82,14 +83,15 @@ def fingerprints(texts: list[str], walk: Walk) -> np.ndarray:
             sums[:, who[~live]] = own[:, ~live]
             place, end, who, own = place[live], end[live], who[live], own[:, live]
     bits = sums > 0
-    empty = sums == 0
-    if empty.any():
+    some = np.flatnonzero((sums == 0).any(axis=0) & (sums != 0).any(axis=0))
+    if len(some):
         # the next slot that has something, going round
-        at = np.where(empty, 2 * BITS, np.arange(BITS)[:, None])
-        at = np.minimum.accumulate(np.vstack([at, at + np.where(empty, 0, BITS)])[::-1])[::-1][:BITS]
-        near = np.take_along_axis(bits, at % BITS, axis=0)
+        empty = sums[:, some] == 0
+        at = np.where(empty, 2 * BITS, np.arange(BITS, dtype=np.int32)[:, None]).astype(np.int32)
+        at = np.minimum.accumulate(np.vstack([at, at + np.where(empty, 0, BITS).astype(np.int32)])[::-1])[::-1][:BITS]
+        near = np.take_along_axis(bits[:, some], at % BITS, axis=0)
         turn = (np.random.Generator(np.random.PCG64(SEED)).integers(0, 2, BITS) > 0)[:, None]
-        bits = np.where(empty & ~empty.all(axis=0), near ^ turn, bits)
+        bits[:, some] = np.where(empty, near ^ turn, bits[:, some])
     out = np.empty((len(texts), BITS), dtype=bool)
     out[order] = bits.T
     return out
@@ -109,7 +111,7 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches):
         walk = Walk()
-        for batch in batches:
+        for batch in (b.slice(lo, AT_ONCE) for b in batches for lo in range(0, b.num_rows, AT_ONCE)):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(to_hex(fingerprints(batch.column(1).to_pylist(), walk)), pa.string())], ["doc_id", "fingerprint"])
 
     source = documents(docs, id_col, text_col)
@@ -145,7 +147,7 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         walk, kept = Walk(), ([], [], [])
-        for batch in batches:
+        for batch in (b.slice(lo, AT_ONCE) for b in batches for lo in range(0, b.num_rows, AT_ONCE)):
             extra, names, texts = (k + batch.column(i).to_pylist() for i, k in enumerate(kept))
             n = len(texts) - 1
             own = [i for i in range(n) if not extra[i]]
