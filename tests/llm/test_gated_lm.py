@@ -2,6 +2,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -83,3 +84,32 @@ def test_nothing_to_learn_from(spark):
     assert none.count() == 0
     rows = lm.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), fold("doc_id", 7) == 99).collect()
     assert rows[0]["n_tokens"] == 3 and rows[0]["n_known"] == 0 and rows[0]["train_tokens"] == 0 and math.isfinite(rows[0]["score"])
+
+
+def test_every_training_text_teaches(spark):
+    docs = corpus()
+    frame = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "coalesce(text, '') as text")
+    voc = lm.vocabulary(lm.count(frame.where(fold("doc_id", 7) != 2)))
+    large = replace(voc, total=40 * lm.HEAD * 100_000)  # as of a corpus of which a bounded sample would be a small part
+    assert lm.fit(frame, fold("doc_id", 7) != 2, large).taught == voc.total
+
+
+def test_stream_of_texts_is_gone_through_to_its_end():
+    rng = np.random.Generator(np.random.PCG64(1))
+    held, most = 0, 0
+
+    def stream():
+        nonlocal held, most
+        for i in range(50):
+            n = int(rng.integers(1, 200))
+            held += n
+            yield np.full(n, 1 + i, dtype=np.int32), np.full(n, i % lm.CLASSES, dtype=np.int32), np.zeros(n, dtype=np.int32)
+
+    first = lm.Gru(lm.HEAD + lm.GROUPS + 1, lm.CLASSES + lm.GROUPS + 1)
+    model, n = lm.train(first, stream(), 0, chunk=500)
+    assert n == held
+    moved = np.abs(model.e - first.e).sum(axis=1) > 0
+    assert moved[1:51].sum() >= 48  # a text of one token has no later one to teach its input for
+    one, n = lm.train(first, iter([(np.arange(1, 131, dtype=np.int32), np.full(130, 5, dtype=np.int32), np.arange(130, dtype=np.int32) % 32)]), 0, chunk=1)
+    assert n == 130
+    assert (one.e - first.e)[1:131].any(axis=1).sum() >= 130 - lm.LANES and one.bv[5].any()

@@ -6,8 +6,8 @@ symbols of a whole text, its state carried from window to window. The output is
 of head tokens, the groups, the rest); within a class of head tokens a second softmax; within a group the tokens' share of its counts; within the rest
 a mixture of the counts' share and a spelling model (runs of four bytes), so that any word has a probability.
 
-Training: truncated backpropagation over windows, in every task on its own share of the training texts (a fixed part of them by hash, at least
-LEAST_TOKENS in all), starting from the same weights; the tasks' weights are averaged, twice. Scoring is one narrow pass; only rare words are shuffled, to meet
+Training: truncated backpropagation over windows, in every task on a stream of all its training texts, CHUNK tokens at a time, starting from the
+same weights; the tasks' weights are averaged. Every training text teaches in one of ROUNDS such rounds, by hash. Scoring is one narrow pass; only rare words are shuffled, to meet
 their counts. At no point does anything that grows with the corpus reach the driver: it sees HEAD + MID words,
 the spelling table and averaged weights.
 
@@ -17,6 +17,7 @@ Null and empty texts have the end as their one token. Without training texts all
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,8 +29,8 @@ from vecatlas.llm.common import documents, stash
 
 END = b"\n"  # no word
 HEAD, CLASSES, MID, GROUPS = 1024, 32, 200_000, 16
-STATE, WINDOW, LANES = 16, 20, 64
-SHARE, LEAST_TOKENS, ROUNDS, RATE = 1 / 40, 2_000_000, 2, 0.01
+STATE, WINDOW, LANES = 24, 20, 64
+CHUNK, ROUNDS, RATE = 200_000, 2, 0.01
 LETTERS = 40
 
 
@@ -40,6 +41,8 @@ def tokens(text: bytes) -> list[bytes]:
 class Gru:
     """Weights as one float32 vector with named views."""
 
+    taught = 0  # tokens
+
     def __init__(self, inputs: int, classes: int, flat: np.ndarray | None = None):
         h, per = STATE, HEAD // CLASSES
         self.sizes = {"e": (inputs, 3 * h), "u": (h, 3 * h), "wc": (h, classes), "bc": (classes,), "wv": (CLASSES, h, per), "bv": (CLASSES, per)}
@@ -101,21 +104,25 @@ class Gru:
         return out
 
 
-def train(model: Gru, texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], end: int, least: int = 100_000) -> Gru:
-    """Continue from the model's weights on encoded texts (inputs, classes, words); texts follow each other in lanes, the state starts anew after an end."""
-    if not texts:
-        return model
+def train(model: Gru, texts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], end: int, chunk: int = CHUNK) -> tuple[Gru, int]:
+    """Continue from the model's weights on a stream of encoded texts (inputs, classes, words); also the number of tokens in it.
+
+    Texts follow each other in lanes, the state starts anew after an end. No more than a chunk and one text are held; a stream shorter than a chunk is gone through again.
+    """
     rng = np.random.Generator(np.random.PCG64(4))
     model = model.like(model.flat.copy())
     m, v, t = np.zeros_like(model.flat), np.zeros_like(model.flat), 0
-    size = sum(len(x[0]) for x in texts)
     k = STATE
-    for _ in range(max(1, min(20, -(-least // size)))):
-        order = rng.permutation(len(texts))
-        x, cls, word = (np.concatenate([texts[i][j] for i in order]) for j in range(3))
-        steps = max(1, len(x) // LANES)
-        lanes = min(LANES, len(x))
-        x, cls, word = (a[: steps * lanes].reshape(lanes, steps).T for a in (x, cls, word))
+
+    def learn(part: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        nonlocal m, v, t
+        order = rng.permutation(len(part))
+        x, cls, word = (np.concatenate([part[i][j] for i in order]) for j in range(3))
+        lanes, size = min(LANES, len(x)), len(x)
+        steps = -(-size // lanes)
+        x = np.pad(x, (0, steps * lanes - size), constant_values=end)
+        cls, word = (np.pad(a, (0, steps * lanes - size)) for a in (cls, word))
+        x, cls, word, real = (a.reshape(lanes, steps).T for a in (x, cls, word, np.arange(steps * lanes) < size))
         h = np.zeros((lanes, k), dtype=np.float32)
         for s in range(0, steps, WINDOW):
             xs, keep = x[s : s + WINDOW], (x[s : s + WINDOW] != end).astype(np.float32)[:, :, None]
@@ -126,8 +133,10 @@ def train(model: Gru, texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], en
                 cache.append(rest)
                 h = new * keep[i]
             hs, grads = np.concatenate(states), model.like(np.zeros_like(model.flat))
-            dh = np.zeros_like(hs)
-            model.log_probs(hs, cls[s : s + n].ravel(), word[s : s + n].ravel(), grads, dh)
+            on = np.flatnonzero(real[s : s + n])  # what fills up the last lane teaches nothing
+            dh, own = np.zeros_like(hs), np.zeros((len(on), k), dtype=np.float32)
+            model.log_probs(hs[on], cls[s : s + n].ravel()[on], word[s : s + n].ravel()[on], grads, own)
+            dh[on] = own
             dh, carry, dgs = dh.reshape(n, lanes, k), np.zeros((lanes, k), dtype=np.float32), np.empty((n, lanes, 3 * k), dtype=np.float32)
             for i in range(n - 1, -1, -1):
                 z, r, c, un = cache[i]
@@ -146,7 +155,18 @@ def train(model: Gru, texts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], en
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             model.flat -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
-    return model
+
+    part, size, before = [], 0, 0
+    for text in texts:
+        part.append(text)
+        size += len(text[0])
+        if size >= chunk:
+            learn(part)
+            part, size, before = [], 0, before + size
+    if part:
+        for _ in range(1 if before else min(20, -(-chunk // size))):
+            learn(part)
+    return model, before + size
 
 
 @dataclass
@@ -294,25 +314,24 @@ def start(voc: Vocabulary, counts_of: np.ndarray) -> Gru:
 
 
 def fit(docs: DataFrame, train_on: Column, voc: Vocabulary) -> Gru:
-    """docs: (doc_id, text); train_on says which may teach."""
+    """docs: (doc_id, text); all that train_on says may teach do, in one round each; ``taught`` of the result is the number of their tokens."""
     n = np.round(10.0**voc.base * (voc.total + voc.distinct + 1) - 1)
     model = start(voc, np.maximum(n, 1))
     if not voc.total:
         return model
-    share = min(1.0, max(SHARE, LEAST_TOKENS / voc.total))
-    drawn = docs.where(train_on).where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1 << 20)) < int(share * (1 << 20)))
     spark = docs.sparkSession
     known = spark.sparkContext.broadcast(voc)
-    for _ in range(ROUNDS):
+    taught = 0
+    for turn in range(ROUNDS):
+        drawn = docs.where(train_on).where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(ROUNDS)) == turn)
         now = spark.sparkContext.broadcast(model.flat)
 
         def local(batches, now=now):
             voc = known.value
-            texts = [_encoded(tokens(t), voc)[1:] for b in batches for t in b.column(0).to_pylist()]
-            if texts:
-                own = train(Gru(HEAD + GROUPS + 1, CLASSES + GROUPS + 1, now.value), texts, int(voc.symbol[0]))
-                weight = float(sum(len(t[0]) for t in texts))
-                yield pa.RecordBatch.from_arrays([pa.array([(own.flat * weight).astype(np.float32).tobytes()], pa.binary()), pa.array([weight])], ["flat", "weight"])
+            texts = (_encoded(tokens(t), voc)[1:] for b in batches for t in b.column(0).to_pylist())
+            own, n = train(Gru(HEAD + GROUPS + 1, CLASSES + GROUPS + 1, now.value), texts, int(voc.symbol[0]))
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([(own.flat * float(n)).astype(np.float32).tobytes()], pa.binary()), pa.array([float(n)])], ["flat", "weight"])
 
         def added(batches):
             total, weight = None, 0.0
@@ -326,7 +345,9 @@ def fit(docs: DataFrame, train_on: Column, voc: Vocabulary) -> Gru:
         parts = drawn.select(F.col("text").cast("binary").alias("text")).mapInArrow(local, "flat binary, weight double").repartition(8).mapInArrow(added, "flat binary, weight double").collect()
         if parts:
             total = sum(np.frombuffer(p["flat"], dtype=np.float32).astype(np.float64) for p in parts)
-            model = model.like((total / sum(p["weight"] for p in parts)).astype(np.float32))
+            weight = sum(p["weight"] for p in parts)
+            model, taught = model.like((total / weight).astype(np.float32)), taught + int(weight)
+    model.taught = taught
     return model
 
 
