@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecatlas.llm import decontaminate, near_dup, packing, quality, toxicity
-from vecatlas.llm.common import folder, keep, table
+from vecatlas.llm.common import folder, keep, stash, table
 from vecatlas.llm.queries import QUALITY_AT_LEAST, tokenizer_path
 
 
@@ -29,8 +29,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = near_dup.classes(docs).where("is_kept").select("row")
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    numbered = stash(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    kept = near_dup.classes(numbered, row_col="__row").where("is_kept").select("row")
     return numbered.join(kept, numbered["__row"] == kept["row"], "left_semi").drop("__row")
 
 

@@ -93,3 +93,26 @@ def test_classes_against_brute_force(spark, small, monkeypatch):
 
 def test_empty_table(spark):
     assert classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def reordered(frame):
+    """The rows in another order at every scan, as when files are split in another way."""
+
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+
+        whole = pa.Table.from_batches(list(batches))
+        if whole.num_rows:
+            yield from whole.take(sorted(range(whole.num_rows), key=lambda i: os.urandom(8))).to_batches()
+
+    return frame.coalesce(1).mapInArrow(run, frame.schema)
+
+
+def test_order_of_scans_does_not_matter(spark):
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choices([f"v{i}" for i in range(400)], k=100)) for _ in range(60)]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t + " end") for i, t in enumerate(texts)]
+    rows = classes(reordered(spark.createDataFrame(docs, "doc_id long, text string"))).collect()
+    assert {r["doc_id"]: r["class_id"] for r in rows} == {i: i % 100 for i, _ in docs}

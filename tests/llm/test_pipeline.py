@@ -64,3 +64,26 @@ def test_filtering_stages_return_documents(spark, tmp_path):
     for _, stage in p.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def reordered(frame):
+    """The rows in another order at every scan, as when files are split in another way."""
+
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+
+        whole = pa.Table.from_batches(list(batches))
+        if whole.num_rows:
+            yield from whole.take(sorted(range(whole.num_rows), key=lambda i: os.urandom(8))).to_batches()
+
+    return frame.coalesce(1).mapInArrow(run, frame.schema)
+
+
+def test_near_duplicates_go_in_any_order_of_scans(spark, tmp_path):
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choices(WORDS, k=100)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = p.drop_near_duplicates(spark, reordered(docs), str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in rows) == list(enumerate(texts))

@@ -53,3 +53,24 @@ def test_empty(spark):
     place = folder(spark, "warc")
     index = warc.write(warc.plan_records(spark.createDataFrame([], "page_id long, url string, html string")), place)
     assert warc.read(index, place).count() == 0
+
+
+def reordered(frame):
+    """The rows in another order at every scan, as when files are split in another way."""
+
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+
+        whole = pa.Table.from_batches(list(batches))
+        if whole.num_rows:
+            yield from whole.take(sorted(range(whole.num_rows), key=lambda i: os.urandom(8))).to_batches()
+
+    return frame.coalesce(1).mapInArrow(run, frame.schema)
+
+
+def test_order_of_scans_does_not_matter(spark):
+    pages = spark.createDataFrame([(i, f"u{i}", "same" * 50 if i < 40 else f"own{i}" * 50) for i in range(80)], "page_id long, url string, html string")
+    rows = warc.plan_records(reordered(pages)).collect()
+    assert {r["page_id"]: (r["kind"], r["refers_to"]) for r in rows} == {i: ("revisit", 0) if 0 < i < 40 else ("response", None) for i in range(80)}

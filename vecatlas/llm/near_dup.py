@@ -17,7 +17,7 @@ its components; in large buckets only where the shingles that both have in commo
 All candidates whose signatures (a byte of each component's point) agree in 66 % or more (4 standard errors below 0.8) are verified on whole texts.
 
 Texts without words are one class. Null texts are empty ones. Repeated rows are rows of the same class. An empty table gives an
-empty result. The input must be a stable source (tables or files), for rows are told apart by their place in it.
+empty result. Rows are numbered once and stored with their texts, so that a number is the same row in every later scan.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecatlas.llm.common import documents, semi, stash
+from vecatlas.llm.common import semi, stash
 from vecatlas.llm.graph import linked
 from vecatlas.llm.shingles import WordHashes, mix, multiset, similarity
 
@@ -163,12 +163,15 @@ def _links(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, name: str) -> Da
     return stash(likely.join(side(some, "a", "text"), "a").join(side(some, "b", "text"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_alike, "a long, b long"), f"{name}-links")
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """(row, doc_id, class_id, class_size, is_kept): class_id is the least doc_id of the class; is_kept marks one row of each, the first of that id.
 
-    row is the row's place (``monotonically_increasing_id`` over the same input). Null ids come after all others.
+    row is the number of the row: that in row_col, of a frame that is stored already, or else one given here. Null ids come after all others.
     """
-    source = documents(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    number = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    source = docs.select(number.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    if not row_col:
+        source = stash(source, "texts")
     profiles = stash(source.mapInArrow(_profiles, "row long, doc_id long, one long, two long, weight long, sig binary, bands array<long>, planes array<long>"), "profiles")
     same = profiles.groupBy("one", "two", "weight").agg(F.min("row").alias("rep"))
     reps = same.where("weight > 0").select(F.col("rep").alias("row"))

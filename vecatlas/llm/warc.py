@@ -67,9 +67,9 @@ def parse(record: bytes) -> dict:
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 100) -> DataFrame:
-    """(page_id, url, payload, digest, kind, refers_to). Only digests that occur twice are joined back, without payloads passing through a shuffle."""
+    """(page_id, url, payload, digest, kind, refers_to). Rows are numbered once and stored; only digests that occur twice are joined back, without payloads passing through a shuffle."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
-    rows = rows.select("*", F.sha2(F.col("payload").cast("binary"), 256).alias("digest"), F.monotonically_increasing_id().alias("row"))
+    rows = stash(rows.select("*", F.sha2(F.col("payload").cast("binary"), 256).alias("digest"), F.monotonically_increasing_id().alias("row")), "pages")
     long_ = F.octet_length("payload") >= least
     first = rows.where(long_).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
     first = stash(first.select(F.col("digest").alias("same"), F.col("first.page_id").alias("to"), F.col("first.row").alias("first_row")), "payloads")
