@@ -1,4 +1,4 @@
-"""Retrieval reports, centroids, predictions, cohorts."""
+"""Retrieval reports, centroids, predictions, cohorts."""
 
 from __future__ import annotations
 
