@@ -6,6 +6,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vecatlas.llm import gated_lm as lm
 from vecatlas.llm.common import fold
@@ -113,3 +114,9 @@ def test_stream_of_texts_is_gone_through_to_its_end():
     one, n = lm.train(first, iter([(np.arange(1, 131, dtype=np.int32), np.full(130, 5, dtype=np.int32), np.arange(130, dtype=np.int32) % 32)]), 0, chunk=1)
     assert n == 130
     assert (one.e - first.e)[1:131].any(axis=1).sum() >= 130 - lm.LANES and one.bv[5].any()
+
+
+def test_long_unknown_words_cost_what_their_letters_cost(spark):
+    docs = [(i, t) for i, t in corpus(50) if i is not None and i < 50] + [(100, "q" * 1000), (101, "q" * 2000)]
+    rows = {r["doc_id"]: r["score"] for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id") < 50).where("doc_id >= 100").collect()}
+    assert rows[101] - rows[100] < 0.9 * rows[100] < -290 and math.isfinite(rows[101])

@@ -425,7 +425,10 @@ def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: s
     scored = stash(source.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, known long, base double, model double, rare array<struct<word: binary, times: int, spell: float>>"), "scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(counts, "word", "left")
     c = F.coalesce("n", F.lit(0))
-    share = F.lit(voc.known_share) * c / F.lit(float(max(1, voc.rare_total))) + F.lit(1 - voc.known_share) * F.pow(F.lit(10.0), F.greatest("spell", F.lit(-290.0)))
-    sums = rare.groupBy("row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"), F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(voc.total + voc.distinct + 1)))).alias("rare_base"), F.sum(F.col("times") * F.log10(share)).alias("rare_model"))
+    # log10 of the mixture, without leaving log space: a long word's spelling is less than any double
+    seen, spelt = F.log10(F.lit(voc.known_share) * c / F.lit(float(max(1, voc.rare_total)))), F.log10(F.lit(1 - voc.known_share)) + F.col("spell").cast("double")
+    top = F.greatest(seen, spelt)  # seen is null where the share is 0
+    share = top + F.log10(F.coalesce(F.pow(F.lit(10.0), seen - top), F.lit(0.0)) + F.pow(F.lit(10.0), spelt - top))
+    sums = rare.groupBy("row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"), F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(voc.total + voc.distinct + 1)))).alias("rare_base"), F.sum(F.col("times") * share).alias("rare_model"))
     total = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
     return scored.drop("rare").join(sums, "row", "left").select("doc_id", "n_tokens", total("known", "rare_known").alias("n_known"), F.lit(voc.total).cast("long").alias("train_tokens"), total("base", "rare_base").alias("base_score"), total("model", "rare_model").alias("score"))
