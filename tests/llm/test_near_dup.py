@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from vecatlas.llm import graph
+from vecatlas.llm import common, near_dup
 from vecatlas.llm.near_dup import bag_signatures, classes
 from vecatlas.llm.shingles import WordHashes, multiset, similarity
 
@@ -51,9 +51,11 @@ def test_similarity_counts_repeats():
     assert similarity(multiset(b"", w), multiset(b" \n", w)) == 1.0
 
 
-@pytest.mark.parametrize("small", [64, 3])  # with 3 most buckets go the way of large ones
-def test_classes_against_brute_force(spark, small, monkeypatch):
-    monkeypatch.setattr(graph, "SMALL", small)
+@pytest.mark.parametrize("bound", [None, 0])  # with 0 nothing is broadcast and hot keys are salted
+def test_classes_against_brute_force(spark, bound, monkeypatch):
+    if bound is not None:
+        monkeypatch.setattr(common, "BROADCAST_IDS", bound)
+        monkeypatch.setattr(near_dup, "BROADCAST_IDS", bound)
     rnd = random.Random(11)
     vocab = [f"v{i}" for i in range(400)]
     texts = [None, "", "  ", "one", "One", "one two three", "one two", "z " * 3000, "z " * 2500]

@@ -2,25 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecatlas.sources.scratch import folder, scratch, stash  # noqa: F401
 
 
-def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) with null texts as empty ones; whatever else the frame holds is left out, so no name can clash."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def documents(docs: DataFrame, id_col: str | None = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text) with null texts as empty ones; whatever else the frame holds is left out, so no name can clash. Without id_col (text) only."""
+    ids = [] if id_col is None else [F.col(id_col).alias("doc_id")]
+    return docs.select(*ids, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id occurs in the one column of ids; null ids match null ids."""
-    right = ids.toDF("__kept")
-    return docs.join(right, docs[id_col].eqNullSafe(right["__kept"]), "left_semi")
+def accepted(docs: DataFrame, judge: Callable[[list[list]], np.ndarray], *cols: str) -> DataFrame:
+    """The rows of docs that judge accepts, as they are: nothing is shuffled and every row has its own decision.
+
+    judge takes the values of cols of some rows, a list for each column, and returns a boolean for each row; strings come as UTF-8, a null text as an empty one.
+    """
+    at = [docs.columns.index(c) for c in cols]
+
+    def run(batches):
+        for batch in (b.slice(lo, 500) for b in batches for lo in range(0, b.num_rows, 500)):
+            values = [batch.column(i) for i in at]
+            values[0] = pc.fill_null(values[0].cast(pa.binary()), b"")
+            yield batch.filter(pa.array(judge([v.to_pylist() for v in values]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def fold(id_col: str, parts: int):
@@ -45,9 +61,23 @@ def sampled(docs: DataFrame, judged: DataFrame, strata: list, seed: int, train=N
 
 
 BROADCAST_IDS = 2_000_000
+SALTS = 16
 
 
 def semi(df: DataFrame, ids: DataFrame, *keys: str) -> DataFrame:
     """The rows of df whose keys are in ids (a stored table of just these); few ids are broadcast after counting them, more are shuffled."""
     few = ids.count() <= BROADCAST_IDS
     return df.join(F.broadcast(ids) if few else ids, list(keys), "left_semi")
+
+
+def attach(df: DataFrame, small: DataFrame, *keys: str, how: str = "left") -> DataFrame:
+    """df with the columns of small, a stored table whose keys occur once.
+
+    Few rows are broadcast after counting them. More are shuffled, and as one key may have a large part of df,
+    each key then has SALTS copies, among which its rows of df are dealt by a hash of the row.
+    """
+    if small.count() <= BROADCAST_IDS // 4:
+        return df.join(F.broadcast(small), list(keys), how)
+    dealt = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+    copies = small.withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    return dealt.join(copies, [*keys, "__salt"], how).drop("__salt")

@@ -6,13 +6,16 @@ windows that begin with a shingle of an item (or are the text's last, where that
 fingerprinted: all that can matter, whatever the number of other windows.
 
 Every such window and every item gets a 64-bit SimHash of its weighted five-word shingles. Fingerprints are cut into RADIUS + 1
-blocks; two that differ in at most RADIUS bits agree in one block at least, so a join on block number, block and length finds
-all of them. Similarity 0.8 means 9.7 differing bits on average; 21 is four standard deviations more. The exact
+blocks; two that differ in at most RADIUS bits agree in one block at least, so block number and block value find
+all of them. Blocks of so few bits select little by themselves; therefore the key of the search also holds the shingle that
+seeded the window, and an item is filed under each of its shingles: a window meets only items of its length that have its seed and a block
+in common. A pair is compared at its first common block. Similarity 0.8 means 9.7 differing bits on average; 21 is four standard deviations more. The exact
 weighted Jaccard similarity of the shingle multisets then decides.
 
-Equal texts are looked at once. Words are runs between ASCII blanks of the lower-cased text. Items of fewer
-than five words have no shingle and match nothing; a text shorter than an item is a window as a whole. Null texts and null items
-match nothing; null ids are ordinary values. Repeated rows give repeated rows of the result. Empty tables give an empty result.
+Equal texts are looked at once. Words are runs between ASCII blanks of the lower-cased text. An item of fewer
+than five words is one shingle of all its words, found where a text has these words in a row; a text shorter than an item is a window as a whole.
+Items without words, null texts and null items match nothing; null ids are ordinary values. Texts and items may be of any length, and a shingle may occur any number
+of times in them. Repeated rows give repeated rows of the result. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -22,65 +25,117 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecatlas.llm.common import documents, semi, stash
+from vecatlas.llm.common import attach, documents, semi, stash
 
 WORDS, LIKE, RADIUS = 5, 0.8, 21
-BROADCAST_SHINGLES = 1_000_000  # a longer list of the items' shingles is joined by shuffling
+BROADCAST_ROWS = 1_000_000  # a longer list of what belongs to items is joined by shuffling
 BLANKS = " \t\n\x0b\f\r"
+EDGES = [64 * i // (RADIUS + 1) for i in range(RADIUS + 2)]
 
 
-def _hashed(df: DataFrame) -> DataFrame:
-    """text replaced by sh, the hashes of its shingles in order."""
-    words = df.withColumn("h", F.transform(F.split(F.btrim(F.lower("text"), F.lit(BLANKS)), r"[ \t\n\x0B\f\r]+"), lambda w: F.xxhash64(w))).drop("text")
-    return words.withColumn("sh", F.expr(f"if(size(h) < {WORDS}, array(), transform(sequence(0, size(h) - {WORDS}), i -> xxhash64({', '.join(f'h[i + {j}]' for j in range(WORDS))})))").cast("array<long>")).drop("h")
+def _words(df: DataFrame) -> DataFrame:
+    """text replaced by h, the hashes of its words."""
+    plain = F.btrim(F.lower("text"), F.lit(BLANKS))
+    return df.withColumn("h", F.when(plain == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(plain, r"[ \t\n\x0B\f\r]+"), lambda w: F.xxhash64(w)))).drop("text")
 
 
-def _numbered(sh: str) -> Column:
-    """A multiset as a set: the second occurrence of a shingle becomes another value, and so on."""
-    return F.expr(f"if(size(array_distinct({sh})) = size({sh}), {sh}, transform({sh}, (e, i) -> if(array_position({sh}, e) = i + 1, e, xxhash64(e, size(filter(slice({sh}, 1, i + 1), x -> x = e))))))")
+def _rows_of(k: int) -> str:
+    """The hashes of all k words in a row, as an expression."""
+    return f"if(size(h) < {k}, cast(array() as array<bigint>), transform(sequence(0, size(h) - {k}), i -> xxhash64({', '.join(f'h[i + {j}]' for j in range(k))})))"
+
+
+def _shingles(df: DataFrame) -> DataFrame:
+    """h replaced by sh, the hashes of its five-word shingles in order."""
+    return df.withColumn("sh", F.expr(_rows_of(WORDS))).drop("h")
 
 
 def _fingerprinted(df: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and simhash: bit b is set if more than half of the shingles have it. Four 16-bit counters share a long."""
+    """keys and simhash: bit b is set if more than half of the shingles have it. Two 32-bit counters share a long."""
     rows = df.select(*keys, F.explode("sh").alias("s"))
-    sums = [F.sum(F.expr(f"(x & 1) | shiftleft(x & 2, 15) | shiftleft(x & 4, 30) | shiftleft(x & 8, 45)".replace("x", f"shiftrightunsigned(s, {4 * g})"))).alias(f"c{g}") for g in range(16)]
+    sums = [F.sum(F.expr("(x & 1) | shiftleft(x & 2, 31)".replace("x", f"shiftrightunsigned(s, {2 * g})"))).alias(f"c{g}") for g in range(32)]
     counted = rows.groupBy(*keys).agg(F.count("*").alias("n_sh"), *sums)
-    bits = [F.expr(f"if(2 * (shiftrightunsigned(c{b // 4}, {16 * (b % 4)}) & 65535) > n_sh, shiftleft(1L, {b}), 0L)") for b in range(64)]
+    bits = [F.expr(f"if(2 * (shiftrightunsigned(c{b // 2}, {32 * (b % 2)}) & 4294967295L) > n_sh, shiftleft(1L, {b}), 0L)") for b in range(64)]
     # written, so that the long expression is planned and computed once and not once for each block
     return stash(counted.select(*keys, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("simhash")), "simhash")
 
 
+def _block(i: int, value: str) -> str:
+    a, b = EDGES[i], EDGES[i + 1]
+    return f"shiftrightunsigned({value}, {a}) & {(1 << (b - a)) - 1}L"
+
+
 def _blocks(df: DataFrame) -> DataFrame:
     """A row for each block of the fingerprint."""
-    edges = [64 * i // (RADIUS + 1) for i in range(RADIUS + 2)]
-    values = F.array(*(F.expr(f"shiftrightunsigned(simhash, {a}) & {(1 << (b - a)) - 1}L") for a, b in zip(edges, edges[1:], strict=False)))
-    return df.select("*", F.posexplode(values).alias("block", "value"))
+    return df.select("*", F.posexplode(F.array(*(F.expr(_block(i, "simhash")) for i in range(RADIUS + 1)))).alias("block", "value"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, item_id, start, words, similarity): for each document and item that it holds, the first of its most similar windows; start counts words."""
-    items = _hashed(documents(benchmark, item_col, item_text_col).withColumnRenamed("doc_id", "item_id")).where("size(sh) > 0")
-    items = stash(items.withColumn("n", F.size("sh") + (WORDS - 1)).withColumn("item", F.monotonically_increasing_id()), "items")
+def _first_common() -> Column:
+    """The number of the first block in which two fingerprints agree."""
+    differ = "(simhash ^ item_simhash)"
+    return F.expr("case " + " ".join(f"when ({_block(i, differ)}) = 0 then {i}" for i in range(RADIUS + 1)) + " end")
+
+
+def _sets(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """keys and the multiset sh as a set: the second occurrence of a shingle becomes another value, and so on. Where none recurs nothing is moved."""
+    single = F.size(F.array_distinct("sh")) == F.size("sh")
+    times = df.where(~single).select(*keys, F.explode("sh").alias("s")).groupBy(*keys, "s").count()
+    turns = times.select(*keys, F.explode(F.expr("transform(sequence(1, cast(count as int)), t -> if(t = 1, s, xxhash64(s, t)))")).alias("e"))
+    return df.where(single).select(*keys, F.col("sh").alias(name)).unionByName(turns.groupBy(*keys).agg(F.collect_list("e").alias(name)))
+
+
+def found(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(k1, k2, item_id, start, words, similarity), stored: for each different text, named by two hashes (see :func:`keyed`), and each item that it holds."""
+    raw = _words(documents(benchmark, item_col, item_text_col).withColumnRenamed("doc_id", "item_id")).where("size(h) > 0")
+    whole = F.when(F.size("h") < WORDS, F.array(F.expr("xxhash64(size(h), h)"))).otherwise(F.expr(_rows_of(WORDS)))
+    items = stash(raw.select("item_id", F.size("h").alias("n"), whole.alias("sh"), F.monotonically_increasing_id().alias("item")), "items")
     wanted = stash(items.select("n", F.explode("sh").alias("s")).distinct(), "item-shingles")
-    small = wanted.count() <= BROADCAST_SHINGLES
-    bounded = F.broadcast if small else (lambda df: df)
-
-    keyed = documents(docs, id_col, text_col).select("doc_id", "text", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(7), "text").alias("k2"))
-    places = _hashed(keyed.select("k1", "k2", "text")).select("k1", "k2", F.explode(F.expr("transform(sh, (s, i) -> struct(size(sh) as n_sh, i as at, s as s))")).alias("p")).select("k1", "k2", "p.*").join(bounded(wanted), "s")
-    seeds = places.select("k1", "k2", "n", F.greatest(F.lit(0), F.least("at", F.col("n_sh") - (F.col("n") - WORDS + 1))).alias("start"))
-    seeds = stash(seeds.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n")).alias("windows")), "seeds")
-    texts = semi(keyed.select("k1", "k2", "text"), seeds.select("k1", "k2"), "k1", "k2").groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    cut = _hashed(texts.join(seeds, ["k1", "k2"])).select("k1", "k2", F.explode(F.expr(f"transform(windows, w -> struct(w.start, w.n, slice(sh, w.start + 1, w.n - {WORDS - 1}) as sh))")).alias("w"))
+    bounded = F.broadcast if wanted.count() <= BROADCAST_ROWS else (lambda df: df)
+    short = sorted(r["n"] for r in items.where(F.col("n") < WORDS).select("n").distinct().collect())  # four values at most
+
+    texts = documents(docs, None, text_col).select("text", *keyed("text"))
+    hashed = _words(texts)
+    rows = F.expr("transform(sh, (s, i) -> struct(size(sh) as n_sh, i as at, s as s))")
+    full = _shingles(hashed).select("k1", "k2", F.explode(rows).alias("p")).select("k1", "k2", "p.*").join(bounded(wanted.where(F.col("n") >= WORDS)), "s")
+    seeds = full.select("k1", "k2", "n", F.greatest(F.lit(0), F.least("at", F.col("n_sh") - (F.col("n") - WORDS + 1))).alias("start"), "s")
+    for k in short:  # all windows that are the item are equally alike, so the first is enough
+        some = hashed.select("k1", "k2", F.explode(F.expr(f"if(size(h) < {k}, cast(array() as array<struct<at: int, s: bigint>>), transform(sequence(0, size(h) - {k}), i -> struct(cast(i as int) as at, xxhash64({k}, slice(h, i + 1, {k})) as s)))")).alias("p"))
+        seeds = seeds.union(some.select("k1", "k2", "p.*").join(bounded(wanted.where(F.col("n") == k)), "s").groupBy("k1", "k2", "n", "s").agg(F.min("at").alias("start")).select("k1", "k2", "n", "start", "s"))
+    seeds = stash(seeds.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n", "s")).alias("seeds")), "seeds")
+    held = semi(texts, seeds.select("k1", "k2"), "k1", "k2").groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    windows = F.expr(f"transform(array_distinct(transform(seeds, w -> struct(w.start, w.n))), w -> struct(w.start, w.n, if(w.n < {WORDS}, array(xxhash64(w.n, slice(h, w.start + 1, w.n))), slice(sh, w.start + 1, w.n - {WORDS - 1})) as sh))")
+    cut = _words(held.join(seeds, ["k1", "k2"])).withColumn("sh", F.expr(_rows_of(WORDS))).select("k1", "k2", F.explode(windows).alias("w"))
     windows = stash(cut.select("k1", "k2", "w.start", "w.n", "w.sh"), "windows")
 
     key = ["k1", "k2", "start", "n"]
-    of_items = _blocks(_fingerprinted(items, ["item", "n"])).withColumnRenamed("simhash", "item_simhash")
-    near = _blocks(_fingerprinted(windows, key)).join(bounded(of_items), ["n", "block", "value"]).where(F.bit_count(F.col("simhash").bitwiseXOR(F.col("item_simhash"))) <= RADIUS)
-    pairs = near.select(*key, "item").distinct()
-    item_sets = items.select("item", "item_id", _numbered("sh").alias("item_set"))
-    exact = pairs.join(windows.select(*key, _numbered("sh").alias("own")), key).join(bounded(item_sets), "item")
+    seeded = seeds.select("k1", "k2", F.explode("seeds").alias("w")).select("k1", "k2", "w.start", "w.n", "w.s")
+    of_windows = _blocks(_fingerprinted(windows, key)).join(seeded, key)
+    of_items = stash(_blocks(_fingerprinted(items, ["item", "n"]).withColumnRenamed("simhash", "item_simhash").withColumn("simhash", F.col("item_simhash"))).drop("simhash").join(items.select("item", F.explode(F.array_distinct("sh")).alias("s")), "item"), "item-blocks")
+    met = of_windows.join(F.broadcast(of_items) if of_items.count() <= BROADCAST_ROWS else of_items, ["s", "n", "block", "value"])
+    near = met.where((F.bit_count(F.col("simhash").bitwiseXOR(F.col("item_simhash"))) <= RADIUS) & (F.col("block") == _first_common()))
+    pairs = stash(near.select(*key, "item").distinct(), "near-windows")
+    item_sets = _sets(items, ["item", "item_id"], "item_set")
+    own = _sets(windows.join(pairs.select(*key).distinct(), key, "left_semi"), key, "own")
+    exact = pairs.join(own, key).join(bounded(item_sets), "item")
     exact = exact.withColumn("common", F.size(F.array_intersect("own", "item_set")).cast("double"))
     exact = exact.withColumn("similarity", F.col("common") / (F.size("own") + F.size("item_set") - F.col("common"))).where(F.col("similarity") >= LIKE)
     best = exact.groupBy("k1", "k2", "item").agg(F.first("item_id").alias("item_id"), F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("best"))
-    found = best.select("k1", "k2", "item_id", (-F.col("best.back")).alias("start"), F.col("best.n").alias("words"), "best.similarity")
-    return keyed.select("doc_id", "k1", "k2").join(stash(found, "leaks"), ["k1", "k2"]).select("doc_id", "item_id", "start", "words", "similarity")
+    return stash(best.select("k1", "k2", "item_id", (-F.col("best.back")).alias("start"), F.col("best.n").alias("words"), "best.similarity"), "leaks")
+
+
+def keyed(text_col: str) -> tuple[Column, Column]:
+    """The two hashes that name a text; a null text is an empty one."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(7), text).alias("k2")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """(doc_id, item_id, start, words, similarity): for each document and item that it holds, the first of its most similar windows; start counts words."""
+    held = found(docs, benchmark, text_col, item_col, item_text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), *keyed(text_col)).join(held, ["k1", "k2"]).select("doc_id", "item_id", "start", "words", "similarity")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text holds no item; each row is judged by its own text, whatever its id."""
+    held = stash(found(docs, benchmark, text_col).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct().withColumn("__held", F.lit(True)), "leaking")
+    one, two = keyed(text_col)
+    return attach(docs.withColumn("__k1", one).withColumn("__k2", two), held, "__k1", "__k2").where("__held is null").select(*docs.columns)

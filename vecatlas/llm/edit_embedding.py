@@ -21,8 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecatlas.llm.common import documents, stash
-from vecatlas.llm.graph import linked
+from vecatlas.llm.common import attach, documents, stash
+from vecatlas.llm.graph import Overlap, linked, numbered
+from vecatlas.llm.shingles import mix
 
 BITS, SEED, BLOCK = 512, 20, 512
 AT_ONCE = 2000  # texts that walk side by side; memory grows with them, speed as well
@@ -172,13 +173,68 @@ def against_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return lined.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
+def _runs_of_three(text: bytes) -> np.ndarray:
+    """The runs of three characters, with two ends before and behind; one more than the characters plus one."""
+    c = np.frombuffer(text.decode().encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
+    c = np.pad(c, 2)
+    return numbered(*np.unique(mix((c[:-2] << np.uint64(42)) | (c[1:-1] << np.uint64(21)) | c[2:]), return_counts=True))
+
+
+def within(x: str, y: str, most: int) -> bool:
+    """Whether the edit distance is at most ``most``: the furthest reach on each diagonal, edit by edit, so work grows with length plus most squared."""
+    if abs(len(x) - len(y)) > most:
+        return False
+    size = max(len(x), len(y)) + 1
+    a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64) for t in (x, y))
+    a, b = np.append(a, np.full(size - len(a), -1)), np.append(b, np.full(size - len(b), -2))
+
+    def slide(i: int, k: int) -> int:
+        """The end of the equal run of a[i:] and b[i + k:]."""
+        step = 32
+        while True:
+            u, v = a[i : i + step], b[i + k : i + k + step]
+            n = min(len(u), len(v))
+            unlike = np.flatnonzero(u[:n] != v[:n])
+            if len(unlike):
+                return i + int(unlike[0])
+            i += n
+            if n < step:
+                return i
+            step *= 4
+
+    reach = {0: slide(0, 0)}
+    if len(x) == len(y) and reach[0] >= len(x):
+        return True
+    for e in range(1, most + 1):
+        new = {}
+        for k in range(-e, e + 1):
+            if abs(k) > most:
+                continue
+            i = max(reach.get(k, -2) + 1, reach.get(k - 1, -2), reach.get(k + 1, -2) + 1)
+            i = min(i, len(x), len(y) - k)
+            if i < 0 or i + k < 0:
+                continue
+            new[k] = slide(i, k) if i < len(x) and i + k < len(y) else i
+        reach = new
+        if reach.get(len(y) - len(x), -1) >= len(x):
+            return True
+    return False
+
+
+def _near(batches):
+    """Pairs within their distance."""
+    for batch in batches:
+        near = [within(x.decode(), y.decode(), most) for x, y, most in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+        yield batch.filter(pa.array(near, pa.bool_())).select(["a", "b"])
+
+
 def classes(docs: DataFrame, share: float = 0.1, *, bands: int = 64, sampled: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id): texts linked by an edit distance of at most share of the longer one's length have the least row place of their class as class_id.
 
     Each band is a seeded sample of the fingerprint's bits. Verification is exact; recall is the method's (an edit after which the walk
     goes astray for long may be missed: 8 in 10 one-character edits of 500 characters are found at the least). The input must be a stable source.
     """
-    source = documents(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    source = stash(documents(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "edit-texts")
     prints = fingerprint(source, "row", "text").withColumnRenamed("doc_id", "row")
     rng = np.random.Generator(np.random.PCG64(SEED + 1))
     picks = [sorted(rng.choice(BITS, sampled, replace=False).tolist()) for _ in range(bands)]
@@ -191,10 +247,14 @@ def classes(docs: DataFrame, share: float = 0.1, *, bands: int = 64, sampled: in
 
     def link(pairs: DataFrame, name: str) -> DataFrame:
         x, y = source.select(F.col("row").alias("a"), F.col("text").alias("ta")), source.select(F.col("row").alias("b"), F.col("text").alias("tb"))
-        most = F.floor(share * F.greatest(F.length("ta"), F.length("tb")))
+        most = F.floor(share * F.greatest(F.length("ta"), F.length("tb"))).cast("int")
         likely = pairs.join(x, "a").join(y, "b").where(F.abs(F.length("ta") - F.length("tb")) <= most)
-        return stash(likely.where(F.levenshtein("ta", "tb") <= most).select("a", "b"), name)
+        near = likely.select("a", "b", F.col("ta").cast("binary"), F.col("tb").cast("binary"), most.alias("most")).mapInArrow(_near, "a long, b long")
+        return stash(near, name)
 
     places = stash(prints.mapInArrow(sample, "row long, bands array<long>").select("row", F.explode("bands").alias("band")), "edit-bands")
-    labels = linked(places, link)
-    return source.select("row", "doc_id").join(labels, F.col("row") == F.col("v"), "left").select("doc_id", F.coalesce("label", "row").alias("class_id"))
+    texts = source.select("row", F.col("text").cast("binary").alias("text"))
+    # an edit changes three runs of three characters at most
+    how = Overlap(_runs_of_three, lambda small, large: large - 3 * share * (large - 2), lambda size: size - 3 * share * (size - 2))
+    labels = linked(places, texts, link, how)
+    return attach(source.select("row", "doc_id"), stash(labels.withColumnRenamed("v", "row"), "edit-labels"), "row").select("doc_id", F.coalesce("label", "row").alias("class_id"))

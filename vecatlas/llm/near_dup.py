@@ -12,25 +12,23 @@ to the time by which its components are likely full (about 9 m points whatever i
 
 Search. 25 bands of 5 components (of 128) miss a pair at exactly 0.8 once in 20,000 pairs. Equal multisets are one
 representative from the start. In every bucket the others are compared with one leader, the member with the most bucket mates:
-as many pairs as rows, however large the bucket. What the leaders' links leave apart in a bucket is then compared pair by pair across
-its components; in large buckets only where the shingles that both have in common with anything there would do (see :func:`graph.linked`).
+as many pairs as rows, however large the bucket. Rows that the leaders' links leave apart in a bucket then meet by an exact prefix filter on
+their rarest shingles (see :func:`graph.meetings`), not member by member.
 All candidates whose signatures (a byte of each component's point) agree in 66 % or more (4 standard errors below 0.8) are verified on whole texts.
 
-Texts without words are one class. Null texts are empty ones. Repeated rows are rows of the same class. An empty table gives an
-empty result. Rows are numbered once and stored with their texts, so that a number is the same row in every later scan.
+Texts without words are one class. Null texts are empty ones. Repeated rows are rows of the same class. Very long texts are read whole, and a shingle may
+occur any number of times. An empty table gives an empty result. Rows are numbered once and stored with their texts, so that a number is the same row in every later scan.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecatlas.llm.common import semi, stash
-from vecatlas.llm.graph import linked
+from vecatlas.llm.common import BROADCAST_IDS, attach, semi, stash
+from vecatlas.llm.graph import Overlap, linked, numbered
 from vecatlas.llm.shingles import WordHashes, mix, multiset, similarity
 
 COMPONENTS, BANDS, ROWS = 128, 25, 5
@@ -107,28 +105,23 @@ def _profiles(batches):
                 for i in range(ROWS):
                     band = mix(band * np.uint64(5) + sig[:, i : BANDS * ROWS : ROWS])
             weights = np.bincount(doc, weights=c, minlength=len(got)).astype(np.int64)
-            bits = (sig[:, :, None] >> np.arange(4, dtype=np.uint32) & 1).astype(np.uint8).transpose(0, 2, 1)
-            planes = np.packbits(np.ascontiguousarray(bits).reshape(len(got), -1), axis=1).view("<i8")
             for i, t in enumerate(order[start:stop]):
-                sets[t] = (ones[i].astype(np.int64), twos[i].astype(np.int64), weights[i], sig[i].astype(np.uint8).tobytes() if weights[i] else None, band[i].astype(np.int64) if weights[i] else [], planes[i])
+                sets[t] = (ones[i].astype(np.int64), twos[i].astype(np.int64), weights[i], sig[i].astype(np.uint8).tobytes() if weights[i] else None, band[i].astype(np.int64) if weights[i] else [])
             start = stop
         out = [sets[t] for t in texts]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rows, pa.int64()), names.cast(pa.int64()), *(pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))))],
-            ["row", "doc_id", "one", "two", "weight", "sig", "bands", "planes"],
+            [pa.array(rows, pa.int64()), names.cast(pa.int64()), *(pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))))],
+            ["row", "doc_id", "one", "two", "weight", "sig", "bands"],
         )
 
 
-def _elements(batches):
-    """A row for each element of a multiset, its second occurrence another element than its first."""
-    words = WordHashes()
-    for batch in batches:
-        for row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            h, n = multiset(text, words)
-            turn = np.concatenate([np.arange(k) for k in n]) if len(n) else np.zeros(0)
-            with np.errstate(over="ignore"):
-                element = mix(np.repeat(h, n) + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(element), row), pa.int64()), pa.array(element.astype(np.int64))], ["row", "element"])
+def _elements(text: bytes, words: WordHashes = WordHashes()) -> np.ndarray:  # noqa: B008  remembered on purpose
+    return numbered(*multiset(text, words))
+
+
+def _overlap() -> Overlap:
+    """Weighted Jaccard similarity of LIKE: a + b - common <= common / LIKE."""
+    return Overlap(_elements, lambda small, large: (small + large) * (LIKE / (1 + LIKE)), lambda size: LIKE * size)
 
 
 def _agreeing(batches):
@@ -172,29 +165,26 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
     source = docs.select(number.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     if not row_col:
         source = stash(source, "texts")
-    profiles = stash(source.mapInArrow(_profiles, "row long, doc_id long, one long, two long, weight long, sig binary, bands array<long>, planes array<long>"), "profiles")
-    same = profiles.groupBy("one", "two", "weight").agg(F.min("row").alias("rep"))
-    reps = same.where("weight > 0").select(F.col("rep").alias("row"))
-    sigs = profiles.select("row", "sig", "bands").join(reps, "row", "left_semi")
+    profiles = stash(source.mapInArrow(_profiles, "row long, doc_id long, one long, two long, weight long, sig binary, bands array<long>"), "profiles")
+    same = profiles.groupBy("one", "two", "weight").agg(F.min("row").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    same = stash(same.select("one", "two", "weight", "rep"), "equal")  # of multisets that one row has nothing is stored
+    members = stash(attach(profiles.select("row", "doc_id", "one", "two", "weight"), same, "one", "two", "weight").select("row", "doc_id", "weight", F.coalesce("rep", "row").alias("rep")), "members")
+    others = stash(members.where("row <> rep OR weight = 0").select("row"), "others")
+    few = others.count() <= BROADCAST_IDS
+    sigs = profiles.select("row", "sig", "bands").join(F.broadcast(others) if few else others, "row", "left_anti")
     places = stash(sigs.select("row", F.explode("bands").alias("band")), "bands")
     sigs, texts = profiles.select("row", "sig"), source.select("row", "text")
-
-    def traits(rows: DataFrame) -> DataFrame:
-        """Weight, what of it other rows have too, and four bits of every signature component."""
-        parts = semi(texts, rows, "row").mapInArrow(_elements, "row long, element long")
-        alone = parts.groupBy("element").agg(F.count("*").alias("n"), F.min("row").alias("row")).where("n = 1").groupBy("row").agg(F.count("*").alias("alone"))
-        own = profiles.select("row", F.col("weight").alias("own"), *(F.col("planes")[i].alias(f"p{i}") for i in range(8)))
-        known = rows.join(own, "row").join(alone, "row", "left").withColumn("shared", F.col("own") - F.coalesce("alone", F.lit(0))).drop("alone")
-        return known.where(F.col("shared") >= F.col("own") * LIKE - 1e-6)
-
-    def fits(of):
-        """Two rows have no more in common than the lesser shared; and they agree in enough components."""
-        enough = F.least(of("shared", "a"), of("shared", "b")) * (1 + LIKE) >= (of("own", "a") + of("own", "b")) * LIKE - 1e-6
-        differ = [reduce(lambda x, y: x.bitwiseOR(y), (of(f"p{2 * i + h}", "a").bitwiseXOR(of(f"p{2 * i + h}", "b")) for i in range(4))) for h in (0, 1)]
-        return enough & (F.bit_count(differ[0]) + F.bit_count(differ[1]) <= int((1 - LEAST_AGREEING) * COMPONENTS))
-
-    labels = linked(places, lambda pairs, name: _links(pairs, sigs, texts, name), traits, fits)
-    group = same.join(labels, same["rep"] == labels["v"], "left").select("one", "two", "weight", F.coalesce("label", "rep").alias("label"))
-    rows = stash(profiles.select("row", "doc_id", "one", "two", "weight").join(group, ["one", "two", "weight"]).select("row", "doc_id", "label"), "classes")
-    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count("*").alias("class_size"))
-    return rows.join(first, "label").select("row", "doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("is_kept"))
+    labels = stash(linked(places, texts, lambda pairs, name: _links(pairs, sigs, texts, name), _overlap()).select(F.col("v").alias("rep"), "label"), "representatives")
+    rows = stash(attach(members.select("row", "doc_id", "rep"), labels, "rep").select("row", "doc_id", F.coalesce("label", "rep").alias("label")), "classes")
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = stash(first.select("label", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("first_row"), "n"), "firsts")
+    alone = F.col("n").isNull()
+    return attach(rows, first, "label").select("row", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n", F.lit(1)).cast("long").alias("class_size"), (alone | (F.col("row") == F.col("first_row"))).alias("is_kept"))
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are kept, one of each class; with all their columns."""
+    numbered_docs = stash(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    gone = stash(classes(numbered_docs, id_col, text_col, "__row").where("NOT is_kept").select(F.col("row").alias("__row")), "copies")
+    few = gone.count() <= BROADCAST_IDS
+    return numbered_docs.join(F.broadcast(gone) if few else gone, "__row", "left_anti").select(*docs.columns)

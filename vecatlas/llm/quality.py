@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecatlas.llm.common import sampled
+from vecatlas.llm.common import accepted, sampled
 from vecatlas.llm.linear import apply, logistic, platt, sigmoid
 
 PAIRS, NAMES = 256, 64
@@ -160,3 +160,8 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     source = _columns(docs, id_col, text_col, lang_col, source_col, chars_col)
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {kind}, score double")
+
+
+def of_quality(docs: DataFrame, model: Model, least: float, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
+    """The rows of docs that are good with a probability of ``least`` or more."""
+    return accepted(docs, lambda columns: model.score(*_features(*columns)) >= least, text_col, lang_col, source_col, chars_col)

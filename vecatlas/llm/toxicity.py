@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecatlas.llm.common import documents, sampled
+from vecatlas.llm.common import accepted, documents, sampled
 from vecatlas.llm.linear import logit, platt, sigmoid
 
 SIGNS = bytes(c for c in range(128) if not chr(c).isalnum())
@@ -161,3 +161,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     source = documents(docs, id_col, text_col)
     kind = source.schema["doc_id"].dataType.simpleString()
     return source.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of docs whose score is below the threshold."""
+    return accepted(docs, lambda columns: model.score(columns[0]) < threshold, text_col)
