@@ -3,7 +3,7 @@
 Toxic documents go, then documents of low quality, then all but one of each class of near duplicates, then documents that hold a
 benchmark item; the last stage packs what is left. The filtering stages return the columns that they were given, the last one packed pieces.
 Null texts count as empty ones: they are neither toxic nor benchmark items, and one text without words is kept as the one of its class
-if the quality stage keeps it. Rows with equal ids share the decisions about that id, but for the near-duplicate stage, which keeps one row.
+if the quality stage keeps it. Every row is judged by itself, whatever its id. Texts are read whole in each stage and shuffled in none, but for the few that are compared with others.
 """
 
 from __future__ import annotations
@@ -14,29 +14,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecatlas.llm import decontaminate, near_dup, packing, quality, toxicity
-from vecatlas.llm.common import folder, keep, stash, table
+from vecatlas.llm.common import folder, table
 from vecatlas.llm.queries import QUALITY_AT_LEAST, tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    return keep(docs, toxicity.score(docs, model).where("predicted = 0").select("doc_id"))
+    return toxicity.without_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), F.lit(True)))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return keep(docs, quality.score(docs, model).where(F.col("score") >= QUALITY_AT_LEAST).select("doc_id"))
+    return quality.of_quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")), QUALITY_AT_LEAST)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    numbered = stash(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    kept = near_dup.classes(numbered, row_col="__row").where("is_kept").select("row")
-    return numbered.join(kept, numbered["__row"] == kept["row"], "left_semi").drop("__row")
+    return near_dup.without_copies(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["__found"]), "left_anti")
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
