@@ -53,7 +53,39 @@ def test_held_out_labels_do_not_matter(spark):
     docs, labels, _ = tables(spark)
     flipped = labels.selectExpr("doc_id", "quality", "if(crc32(coalesce(cast(doc_id as string), '')) % 3 = 1, 1 - toxic, toxic) as toxic")
     a, b = (toxicity.fit(docs, x, fold("doc_id", 3) != 1) for x in (labels, flipped))
-    assert a == b
+    assert a.prior == b.prior and a.weights.keys() == b.weights.keys()
+    assert all(abs(w - b.weights[k]) < 1e-6 for k, w in a.weights.items()) and abs(a.slope - b.slope) < 1e-6
+
+
+def test_risk_and_gradient_against_brute_force():
+    """One step with a tiny rate goes down the risk as written in the docstring, or up its second part where that is negative."""
+    rng = np.random.default_rng(6)
+    for prior in (0.05, 0.9):  # with the second most second parts are negative
+        pos, unl = ([rng.integers(0, 5, rng.integers(0, 4)) for _ in range(n)] for n in (30, 80))
+        start = (rng.normal(size=5) * 2, 0.3)
+        w, b = toxicity.nn_pu(pos, unl, 5, prior, start, steps=1, rate=1e-3, l2=0)
+
+        def parts(w, b):
+            z = [np.array([sum(w[i] for i in r) + b for r in rows]) for rows in (pos, unl)]
+            loss = lambda z: np.log1p(np.exp(-z))
+            return prior * loss(z[0]).mean(), loss(-z[1]).mean() - prior * loss(-z[0]).mean()
+
+        eps = 1e-6
+        grad = []
+        for i in range(6):
+            hi, lo = (parts(start[0] + s * eps * (np.arange(5) == i), start[1] + s * eps * (i == 5)) for s in (1, -1))
+            a, c = ((hi[k] - lo[k]) / (2 * eps) for k in (0, 1))
+            grad.append(a + c if parts(*start)[1] >= 0 else -c)
+        assert (np.sign(np.append(w - start[0], b - start[1])) == -np.sign(grad)).all()  # the first step of Adam is the gradient's sign
+
+
+def test_calibration_needs_no_confirmed_harmless_texts():
+    rng = np.random.default_rng(7)
+    toxic = rng.random(40_000) < 0.2
+    z = rng.normal(size=40_000) + 3 * toxic
+    slope, offset = toxicity.calibrated(3 + rng.normal(size=3000), *np.unique(np.round(z, 2), return_counts=True), 0.2)
+    p = 1 / (1 + np.exp(-(slope * z + offset)))
+    assert abs(p.mean() - 0.2) < 0.03 and abs(toxic[(p > 0.4) & (p < 0.6)].mean() - 0.5) < 0.1
 
 
 def test_toxicity_without_teachers(spark):
@@ -86,11 +118,22 @@ def test_views_teach_each_other():
     y = rng.integers(0, 2, 2000)
     x, m = (y[:, None] * 1.5 + rng.normal(size=(2000, k)) * [1.0] + 0 for k in (1, 1))
     x, m = np.hstack([x, rng.normal(size=(2000, 30))]).astype(np.float32), np.hstack([m, rng.normal(size=(2000, 30))]).astype(np.float32)
-    seen = np.where(np.arange(2000) < 60, y, -1)
-    alone, taught = quality.co_train(x, m, seen, rounds=0), quality.co_train(x, m, seen, rounds=8)
+    pool = quality.in_memory(x[60:], m[60:])
+    alone, taught = (quality.co_train(x[:60], m[:60], y[:60], pool, rounds=n, confident=100) for n in (0, 8))
     assert auc(taught.score(x[60:], m[60:]), y[60:]) > auc(alone.score(x[60:], m[60:]), y[60:]) + 0.01
 
 
+def test_stored_pool_names_what_the_one_in_memory_does(spark):
+    rng = np.random.default_rng(4)
+    x, m = rng.normal(size=(300, quality.CONTENT)).astype(np.float16), rng.normal(size=(300, quality.META)).astype(np.float16)
+    rows = spark.createDataFrame([(i, x[i].tobytes(), m[i].tobytes()) for i in range(300)], "row long, x binary, m binary").repartition(3)
+    fits = [rng.normal(size=quality.CONTENT + 1), rng.normal(size=quality.META + 1)]
+    for named in (set(), set(range(0, 300, 2)), set(range(300))):
+        a, b = quality._stored(rows)(fits, named, 20, 30), quality.in_memory(x, m)(fits, named, 20, 30)
+        assert a[0] == b[0] and list(a[3]) == list(b[3]) and a[4] == b[4]
+        assert not a[0] or ((a[1] == b[1]).all() and (a[2] == b[2]).all())
+
+
 def test_quality_without_labels_or_rows(spark):
     docs, labels, _ = tables(spark)
     assert {r["score"] for r in quality.score(docs, quality.fit(docs, labels.limit(0))).collect()} == {0.5}

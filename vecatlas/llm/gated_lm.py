@@ -1,17 +1,18 @@
 """Document log-likelihood by a gated recurrent language model in numpy.
 
 Tokens are words (runs between ASCII blanks, A-Z lowered) and one end per text. All training texts are counted. The HEAD most frequent
-tokens are symbols of their own; the next MID that came more than once fall into letter-alike groups; the rest, known or not, are one group. A GRU reads the
+tokens are symbols of their own; the next MID that came more than once fall into letter-alike groups; all others, known or not, are the rest. A GRU reads the
 symbols of a whole text, its state carried from window to window. The output is factored: a softmax over classes (CLASSES
-of head tokens, the groups, the rest); within a class of head tokens a second softmax; within a group the tokens' share of its counts; within the rest
-a mixture of the counts' share and a spelling model (runs of four bytes), so that any word has a probability.
+of letter-alike head tokens, the groups, the rest); within a class of head tokens a second softmax; within a group the tokens' share of its counts; within
+the rest a word's share of the counts, or, for a word never seen, an equal share of what Good and Turing leave to the unseen: the number of unseen words is
+Chao's estimate f1 (f1 - 1) / (2 (f2 + 1)) from the words seen once and twice. So the probabilities of all words, seen and unseen, add up to one.
 
 Training: truncated backpropagation over windows, in every task on a stream of all its training texts, CHUNK tokens at a time, starting from the
-same weights; the tasks' weights are averaged. Every training text teaches in one of ROUNDS such rounds, by hash. Scoring is one narrow pass; only rare words are shuffled, to meet
-their counts. At no point does anything that grows with the corpus reach the driver: it sees HEAD + MID words,
-the spelling table and averaged weights.
+same weights; the tasks' weights are averaged. Every training text teaches in one of ROUNDS such rounds, by hash. Words seen once are the rest there, as
+unseen ones are later; for scoring the rest's bias is raised to the share that it has in new text. Scoring is one narrow pass; only rare words are shuffled, to meet
+their counts. At no point does anything that grows with the corpus reach the driver: it sees HEAD + MID words and averaged weights.
 
-Null and empty texts have the end as their one token. Without training texts all words are unknown. Repeated rows are scored each; other columns are not looked at.
+Null and empty texts have the end as their one token. Without training texts all words are unknown. Very long texts are read whole. Repeated rows are scored each; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -28,10 +29,9 @@ from pyspark.sql import functions as F
 from vecatlas.llm.common import documents, stash
 
 END = b"\n"  # no word
-HEAD, CLASSES, MID, GROUPS = 1024, 32, 200_000, 16
-STATE, WINDOW, LANES = 24, 20, 64
-CHUNK, ROUNDS, RATE = 200_000, 2, 0.01
-LETTERS = 40
+HEAD, CLASSES, MID, GROUPS = 2048, 64, 200_000, 24
+STATE, WINDOW, LANES = 24, 20, 512
+CHUNK, ROUNDS, RATES = 1_000_000, 2, (0.01, 0.004)
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -60,21 +60,32 @@ class Gru:
         return Gru(self.sizes["e"][0], self.sizes["wc"][1], flat)
 
     def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        g, s = self.e[x], h @ self.u
         k = STATE
-        zr = 1 / (1 + np.exp(-(g[:, : 2 * k] + s[:, : 2 * k])))
-        z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(g[:, 2 * k :] + r * s[:, 2 * k :])
-        return n + z * (h - n), z, r, n, s[:, 2 * k :]
+        g, s = self.e[x], h @ self.u
+        zr = g[:, : 2 * k] + s[:, : 2 * k]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        z, r, un = zr[:, :k], zr[:, k:], s[:, 2 * k :]
+        n = r * un
+        n += g[:, 2 * k :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, n, un
 
     def log_probs(self, h: np.ndarray, cls: np.ndarray, word: np.ndarray, grads: Gru | None = None, dh: np.ndarray | None = None) -> np.ndarray:
         """Natural log of P(class) and, for head classes, of P(word in class), for each state; with grads also the gradient of their negative mean."""
-        a = h @ self.wc + self.bc
-        a -= a.max(axis=1, keepdims=True)
-        p = np.exp(a)
-        total = p.sum(axis=1)
         rows = np.arange(len(h))
-        out = a[rows, cls] - np.log(total)
+        p = h @ self.wc
+        p += self.bc
+        p -= p.max(axis=1, keepdims=True)
+        out = p[rows, cls]
+        np.exp(p, out=p)
+        total = p.sum(axis=1)
+        out -= np.log(total)
         if grads is not None:
             p /= total[:, None]
             p[rows, cls] -= 1
@@ -82,29 +93,35 @@ class Gru:
             grads.wc += h.T @ p
             grads.bc += p.sum(axis=0)
             dh += p @ self.wc.T
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = order[edges[c] : edges[c + 1]]
-            if not len(own):
-                continue
-            x = h[own]
-            b = x @ self.wv[c] + self.bv[c]
-            b -= b.max(axis=1, keepdims=True)
-            q = np.exp(b)
-            sums, at = q.sum(axis=1), np.arange(len(own))
-            out[own] += b[at, word[own]] - np.log(sums)
+        head = np.flatnonzero(cls < CLASSES)
+        order = head[np.argsort(cls[head].astype(np.int16), kind="stable")]
+        edges, x_all, w_all = np.searchsorted(cls[order], np.arange(CLASSES + 1)), h[order], word[order]
+        gain, back = np.empty(len(order), dtype=h.dtype), np.empty_like(x_all) if grads is not None else None
+        for c in np.flatnonzero(np.diff(edges)):
+            own = slice(edges[c], edges[c + 1])
+            x, w = x_all[own], w_all[own]
+            q = x @ self.wv[c]
+            q += self.bv[c]
+            q -= q.max(axis=1, keepdims=True)
+            at = rows[: len(x)]
+            picked = q[at, w]
+            np.exp(q, out=q)
+            sums = q.sum(axis=1)
+            gain[own] = picked - np.log(sums)
             if grads is not None:
                 q /= sums[:, None]
-                q[at, word[own]] -= 1
+                q[at, w] -= 1
                 q /= len(h)
                 grads.wv[c] += x.T @ q
                 grads.bv[c] += q.sum(axis=0)
-                dh[own] += q @ self.wv[c].T
+                back[own] = q @ self.wv[c].T
+        out[order] += gain
+        if grads is not None:
+            dh[order] += back
         return out
 
 
-def train(model: Gru, texts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], end: int, chunk: int = CHUNK) -> tuple[Gru, int]:
+def train(model: Gru, texts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], end: int, chunk: int = CHUNK, rate: float = RATES[0]) -> tuple[Gru, int]:
     """Continue from the model's weights on a stream of encoded texts (inputs, classes, words); also the number of tokens in it.
 
     Texts follow each other in lanes, the state starts anew after an end. No more than a chunk and one text are held; a stream shorter than a chunk is gone through again.
@@ -118,7 +135,8 @@ def train(model: Gru, texts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]
         nonlocal m, v, t
         order = rng.permutation(len(part))
         x, cls, word = (np.concatenate([part[i][j] for i in order]) for j in range(3))
-        lanes, size = min(LANES, len(x)), len(x)
+        size = len(x)
+        lanes = min(size, max(8, min(LANES, size // (80 * WINDOW))))  # so a short stream has many steps too
         steps = -(-size // lanes)
         x = np.pad(x, (0, steps * lanes - size), constant_values=end)
         cls, word = (np.pad(a, (0, steps * lanes - size)) for a in (cls, word))
@@ -154,7 +172,7 @@ def train(model: Gru, texts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]
             g = np.clip(grads.flat, -1, 1)
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            model.flat -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+            model.flat -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
 
     part, size, before = [], 0, 0
     for text in texts:
@@ -179,29 +197,28 @@ class Vocabulary:
     word: np.ndarray  # place in a head class
     within: np.ndarray  # log10 of the share in a group
     base: np.ndarray  # log10 of the add-one share of all
-    spelling: np.ndarray
-    letters: np.ndarray
-    other: float
     total: int
     distinct: int
     rare_total: int
-    known_share: float
+    known_share: float  # of the rest's tokens in new text, those of words that were seen
+    unseen: float  # words
+    rest_share: float  # of the tokens of new text
 
     @property
     def rest(self) -> int:
         return HEAD + GROUPS
 
 
-def _groups(words: list[bytes], counts: np.ndarray) -> np.ndarray:
-    """Letter-alike groups: k-means on the words' byte shares, of at most 200,000 words."""
-    x = np.zeros((len(words), 64), dtype=np.float32)
-    for i, w in enumerate(words):
-        b = np.frombuffer(w, dtype=np.uint8)
-        pairs = (b[:-1].astype(np.int64) * 31 + b[1:]) % 32
-        np.add.at(x[i], np.append(32 + pairs, b % 32), 1.0)
+def _groups(words: list[bytes], counts: np.ndarray, groups: int) -> np.ndarray:
+    """Letter-alike groups: k-means on the words' shares of bytes and byte pairs."""
+    b = np.frombuffer(b"".join(words), dtype=np.uint8).astype(np.int64)
+    of = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
+    inner = of[:-1] == of[1:]
+    pair = (b[:-1] * 31 + b[1:]) % 32
+    x = np.bincount(np.concatenate([64 * of + 32 + b % 32, 64 * of[:-1][inner] + pair[inner]]), minlength=64 * len(words)).reshape(-1, 64).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
     rng = np.random.Generator(np.random.PCG64(2))
-    centre = x[rng.choice(len(x), min(GROUPS, len(x)), replace=False)]
+    centre = x[rng.choice(len(x), min(groups, len(x)), replace=False)]
     got = np.zeros(len(x), dtype=np.int64)
     for _ in range(12):
         got = (x @ centre.T).argmax(axis=1)
@@ -220,18 +237,6 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
 
-def _spelled(words: list[bytes], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the runs of four bytes of words put one after the other, and where each word begins."""
-    joined = np.frombuffer(b"".join(b"   " + w + b" " for w in words), dtype=np.uint8)  # a blank is no part of a word
-    a = letters[joined].astype(np.int64)
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-    starts = np.cumsum(lengths + 4) - (lengths + 4)
-    index = np.full(len(a), -1, dtype=np.int64)
-    index[3:] = ((a[:-3] * LETTERS + a[1:-2]) * LETTERS + a[2:-1]) * LETTERS + a[3:]
-    index[starts] = index[starts + 1] = index[starts + 2] = -1
-    return index, starts
-
-
 def count(docs: DataFrame) -> DataFrame:
     """(word, n), stored."""
     return stash(docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
@@ -239,52 +244,30 @@ def count(docs: DataFrame) -> DataFrame:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total, distinct, once, twice = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count(F.when(F.col("n") == 1, 1)), F.count(F.when(F.col("n") == 2, 1))).first()
-    # a word seen once stands for the words not seen yet
-    top = [(bytes(r["word"]), r["n"]) for r in counts.where((F.col("n") > 1) | (F.col("word") == F.lit(END))).orderBy(F.desc("n"), "word").limit(HEAD + MID).collect()]
-    top = sorted(top, key=lambda r: r[0] != END)  # the end is always a head token
-    words, n = [w for w, _ in top], np.array([c for _, c in top], dtype=np.float64)
-    size, rest = len(words), HEAD + GROUPS
+    top = counts.where((F.col("n") > 1) | (F.col("word") == F.lit(END))).orderBy(F.desc("n"), "word").limit(HEAD + MID).toArrow()
+    words, n = top["word"].to_pylist(), top["n"].to_numpy().astype(np.float64)
+    if END in words:  # always a head token, and the first
+        at = words.index(END)
+        words, n = [words[at], *words[:at], *words[at + 1 :]], np.concatenate([n[at : at + 1], n[:at], n[at + 1 :]])
+    size, head = len(words), min(HEAD, len(words))
     symbol, cls, word, within = np.arange(size, dtype=np.int32), np.zeros(size, dtype=np.int32), np.zeros(size, dtype=np.int32), np.zeros(size)
-    head = min(HEAD, size)
-    cls[:head], word[:head] = np.arange(head) % CLASSES, np.arange(head) // CLASSES
+    if head:
+        place = np.empty(head, dtype=np.int32)  # letter-alike words stand together
+        place[np.argsort(_groups(words[:head], n[:head], GROUPS), kind="stable")] = np.arange(head)
+        cls[:head], word[:head] = place // (HEAD // CLASSES), place % (HEAD // CLASSES)
     if size > HEAD:
-        g = _groups(words[HEAD:], n[HEAD:])
+        g = _groups(words[HEAD:], n[HEAD:], GROUPS)
         symbol[HEAD:], cls[HEAD:] = HEAD + g, CLASSES + g
-        sums = np.bincount(g, weights=n[HEAD:], minlength=GROUPS)
-        within[HEAD:] = np.log10(n[HEAD:] / sums[g])
-    letters = np.full(256, LETTERS - 1, dtype=np.uint8)
-    frequent = Counter()
-    for w, c in zip(words, n, strict=True):
-        for b in w:
-            frequent[b] += c
-    letters[32] = 0
-    for i, (b, _) in enumerate(sorted(frequent.items(), key=lambda r: (-r[1], r[0]))[: LETTERS - 2]):
-        if b not in (10, 32):
-            letters[b] = i + 1
-
-    def fours(batches):
-        for batch in batches:
-            index, _ = _spelled(batch.column(0).to_pylist(), letters)
-            kinds, k = np.unique(index[index >= 0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(k.astype(np.int64))], ["kind", "n"])
-
-    seen = counts.select("word").mapInArrow(fours, "kind long, n long").groupBy("kind").agg(F.sum("n").alias("n")).collect()
-    table = np.zeros(LETTERS**4)
-    for r in seen:
-        table[r["kind"]] = r["n"]
-    table = table.reshape([LETTERS] * 4)
-    spelled = table.sum(axis=(0, 1, 2)) + 0.5
-    spelled /= spelled.sum()
-    for k in (2, 1, 0):  # longer contexts rest on shorter ones
-        spelled = table.sum(axis=tuple(range(k))) + 3 * spelled[None]
-        spelled /= spelled.sum(axis=-1, keepdims=True)
+        within[HEAD:] = np.log10(n[HEAD:] / np.bincount(g, weights=n[HEAD:], minlength=GROUPS)[g])
     rare_total = int(total - n.sum())
-    # Good-Turing: among the rest's tokens of a new text, what was seen
-    seen_mass = rare_total - once + (2 * twice if len(top) < HEAD + MID else 0)
+    # what new text has of the rest: words seen twice or more but not named, words seen once (they come with twice's frequency), words never seen
+    named_twice = 0 if size == HEAD + MID else twice
+    seen_mass, unseen_mass = rare_total - once + 2 * named_twice, once
+    known = seen_mass / (seen_mass + unseen_mass) if rare_total and seen_mass + unseen_mass else 0.0
+    unseen = max(1.0, once * (once - 1) / (2 * (twice + 1)))
     return Vocabulary(
-        {w: i for i, w in enumerate(words)}, symbol, cls, word, within, np.log10((n + 1) / (total + distinct + 1)),
-        np.log10(spelled).ravel().astype(np.float32), letters, float(-np.log10(max(1, 256 - (LETTERS - 2)))), int(total), int(distinct), rare_total,
-        min(0.99, max(0.0, seen_mass / (seen_mass + once))) if rare_total and seen_mass + once else 0.0,
+        {w: i for i, w in enumerate(words)}, symbol, cls, word, within, np.log10((n + 1) / (total + distinct + 1)), int(total), int(distinct), rare_total,
+        min(0.99, max(0.0, known)), unseen, min(0.5, (seen_mass + unseen_mass) / total) if total else 0.5,
     )
 
 
@@ -305,11 +288,8 @@ def start(voc: Vocabulary, counts_of: np.ndarray) -> Gru:
     mass[-1] += voc.rare_total
     model.bc[:] = np.log(mass / mass.sum())
     head = min(HEAD, len(counts_of))
-    model.bv[:] = 0
+    model.bv[:] = -30  # no such word
     model.bv[voc.cls[:head], voc.word[:head]] = np.log(counts_of[:head])
-    if head < HEAD:  # no such word
-        missing = np.arange(head, HEAD)
-        model.bv[missing % CLASSES, missing // CLASSES] = -30
     return model
 
 
@@ -324,12 +304,12 @@ def fit(docs: DataFrame, train_on: Column, voc: Vocabulary) -> Gru:
     taught = 0
     for turn in range(ROUNDS):
         drawn = docs.where(train_on).where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(ROUNDS)) == turn)
-        now = spark.sparkContext.broadcast(model.flat)
+        now, rate = spark.sparkContext.broadcast(model.flat), RATES[min(turn, len(RATES) - 1)]
 
-        def local(batches, now=now):
+        def local(batches, now=now, rate=rate):
             voc = known.value
             texts = (_encoded(tokens(t), voc)[1:] for b in batches for t in b.column(0).to_pylist())
-            own, n = train(Gru(HEAD + GROUPS + 1, CLASSES + GROUPS + 1, now.value), texts, int(voc.symbol[0]))
+            own, n = train(Gru(HEAD + GROUPS + 1, CLASSES + GROUPS + 1, now.value), texts, int(voc.symbol[0]), rate=rate)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([(own.flat * float(n)).astype(np.float32).tobytes()], pa.binary()), pa.array([float(n)])], ["flat", "weight"])
 
@@ -348,6 +328,9 @@ def fit(docs: DataFrame, train_on: Column, voc: Vocabulary) -> Gru:
             weight = sum(p["weight"] for p in parts)
             model, taught = model.like((total / weight).astype(np.float32)), taught + int(weight)
     model.taught = taught
+    # in training the rest was words seen once and words not named; in new text it has another share
+    was = max(1, voc.rare_total) / voc.total
+    model.bc[-1] += np.log(voc.rest_share / (1 - voc.rest_share)) - np.log(was / max(1e-9, 1 - was))
     return model
 
 
@@ -412,23 +395,15 @@ def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: s
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
                 n, k, base, score, words, counts = _scored(part.column(2).to_pylist(), voc, model)
-                flat_words = [w for ws in words for w in ws]
-                index, starts = _spelled(flat_words, voc.letters)
-                log = np.where(index >= 0, voc.spelling[np.maximum(index, 0)], 0.0)
-                log += np.where((index >= 0) & (index % LETTERS == LETTERS - 1), voc.other, 0.0)
-                spell = np.add.reduceat(log, starts) if len(starts) else np.zeros(0)
                 offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int32)
-                rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(flat_words, pa.binary()), pa.array([c for cs in counts for c in cs], pa.int32()), pa.array(spell.astype(np.float32))], ["word", "times", "spell"]))
+                rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array([w for ws in words for w in ws], pa.binary()), pa.array([c for cs in counts for c in cs], pa.int32())], ["word", "times"]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(base), pa.array(score), rare], ["row", "doc_id", "n_tokens", "known", "base", "model", "rare"])
 
     source = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary").alias("text"))
-    scored = stash(source.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, known long, base double, model double, rare array<struct<word: binary, times: int, spell: float>>"), "scored")
+    scored = stash(source.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, known long, base double, model double, rare array<struct<word: binary, times: int>>"), "scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(counts, "word", "left")
     c = F.coalesce("n", F.lit(0))
-    # log10 of the mixture, without leaving log space: a long word's spelling is less than any double
-    seen, spelt = F.log10(F.lit(voc.known_share) * c / F.lit(float(max(1, voc.rare_total)))), F.log10(F.lit(1 - voc.known_share)) + F.col("spell").cast("double")
-    top = F.greatest(seen, spelt)  # seen is null where the share is 0
-    share = top + F.log10(F.coalesce(F.pow(F.lit(10.0), seen - top), F.lit(0.0)) + F.pow(F.lit(10.0), spelt - top))
+    share = F.when(c > 0, F.log10(F.lit(voc.known_share) * c / F.lit(float(max(1, voc.rare_total))))).otherwise(F.log10(F.lit((1 - voc.known_share) / voc.unseen)))
     sums = rare.groupBy("row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("rare_known"), F.sum(F.col("times") * F.log10((c + 1) / F.lit(float(voc.total + voc.distinct + 1)))).alias("rare_base"), F.sum(F.col("times") * share).alias("rare_model"))
     total = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
     return scored.drop("rare").join(sums, "row", "left").select("doc_id", "n_tokens", total("known", "rare_known").alias("n_known"), F.lit(voc.total).cast("long").alias("train_tokens"), total("base", "rare_base").alias("base_score"), total("model", "rare_model").alias("score"))

@@ -4,13 +4,13 @@ Text view: how often bytes and hashed byte pairs occur, the share of distinct wo
 words, mean word length. Metadata view: source, language, declared length, and the page's layout (lines, their lengths,
 words per line); it never looks at the words themselves.
 
-Each view starts with the labelled sample. In every round each classifier names, among the unlabelled pool, the
-documents that it is surest of (in the labelled proportion of good and bad), and the other view learns from
-them too; the pool shrinks. A quarter of the labelled sample is kept from all that: on it a slope and offset calibrate
+Each view starts with the labelled sample. In every round each classifier names, among all unlabelled documents not named yet, the ``confident`` ones
+that it is surest of (in the labelled proportion of good and bad), and the other view learns from
+them too. A quarter of the labelled sample is kept from all that: on it a slope and offset calibrate
 each view's score, and a logistic combination of the two log odds gives the final probability.
 
-Fitting uses at most ``labelled`` labelled and ``pool`` unlabelled documents (those of the least hash), whose features come to the
-driver; scoring reads every whole document in one narrow pass.
+Fitting uses at most ``labelled`` labelled documents (those of the least hash). The features of all unlabelled documents are made once and stored (16-bit floats); every round scores
+them all in tasks, and only those named come to the driver. Scoring reads every whole document in one narrow pass.
 
 Null and empty texts have zero content features; null metadata is a value of its own. Without labels of both kinds every document scores
 the share of good labels (0.5 without any). A document with several labels is good if they are so on average; null labels say nothing.
@@ -19,6 +19,7 @@ the share of good labels (0.5 without any). A document with several labels is go
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecatlas.llm.common import accepted, sampled
+from vecatlas.llm.common import BROADCAST_IDS, accepted, sampled, stash
 from vecatlas.llm.linear import apply, logistic, platt, sigmoid
 
 PAIRS, NAMES = 256, 64
@@ -80,40 +81,57 @@ class Model:
         return sigmoid(apply(self.combine, np.stack(views, axis=1)))
 
 
-def co_train(x: np.ndarray, m: np.ndarray, y: np.ndarray, *, rounds: int = 5, growth: float = 0.1) -> Model:
-    """y: 1, 0, or -1 for the unlabelled. x and m are the two views."""
-    known = np.flatnonzero(y >= 0)
-    share = float(y[known].mean()) if len(known) else 0.5
-    if len(known) < 8 or share in (0.0, 1.0):
+Unlabelled = Callable[[list[np.ndarray], set[int], int, int], tuple[list[int], np.ndarray, np.ndarray, list[int]]]
+
+
+def in_memory(x: np.ndarray, m: np.ndarray) -> Unlabelled:
+    """The unlabelled documents as two arrays (see :func:`co_train`)."""
+
+    def name(fits, named, bad, good):
+        free = np.array([i for i in range(len(x)) if i not in named], dtype=np.int64)
+        rows, target = [], []
+        for w, view in zip(fits, (x, m), strict=True):
+            z = apply(w, view[free].astype(np.float64))
+            order = np.argsort(z, kind="stable")
+            low, high = [i for i in order[:bad] if z[i] < 0], [i for i in order[::-1][:good] if z[i] > 0]
+            rows.append([int(free[i]) for i in low + high])
+            target.append([0] * len(low) + [1] * len(high))
+        ids = rows[0] + rows[1]
+        return ids, x[ids], m[ids], target[0] + target[1], len(rows[0])
+
+    return name
+
+
+def co_train(x: np.ndarray, m: np.ndarray, y: np.ndarray, unlabelled: Unlabelled, *, rounds: int = 4, confident: int = 600) -> Model:
+    """x and m are the two views of the labelled documents, y their labels.
+
+    unlabelled(fits, named, bad, good) gives, of the unlabelled documents not in named, those of which the first and then the second view's classifier is surest:
+    their numbers, views and pseudo-labels, and how many of them the first view named.
+    """
+    share = float(y.mean()) if len(y) else 0.5
+    if len(y) < 8 or share in (0.0, 1.0):
         return Model(np.zeros(0), np.zeros(0), ((1, 0), (1, 0)), np.zeros(0), share, False)
-    held, own = known[::4], np.setdiff1d(known, known[::4])
+    held = np.arange(0, len(y), 4)
+    own = np.setdiff1d(np.arange(len(y)), held)
     if len(set(y[own])) < 2:
-        own = known
+        own = np.arange(len(y))
     views = [x.astype(np.float64), m.astype(np.float64)]
-    taught = [(own, y[own].astype(float)), (own, y[own].astype(float))]
-    free = np.flatnonzero(y < 0)
+    taught = [([views[v][own]], [y[own].astype(float)], [np.ones(len(own))]) for v in (0, 1)]
 
     def learn(v: int) -> np.ndarray:
-        rows, target = taught[v]
-        weight = np.where(np.isin(rows, own), 1.0, 0.3)  # a pseudo-label counts less
-        return logistic(views[v][rows], target, weight, l2=1e-4, steps=150)
+        return logistic(*(np.concatenate(part) for part in taught[v]), l2=1e-4, steps=150)
 
-    fits = [learn(0), learn(1)]
+    fits, named = [learn(0), learn(1)], set()
     for _ in range(rounds):
-        if not len(free):
+        ids, more_x, more_m, target, first = unlabelled(fits, named, max(1, round(confident * (1 - share))), max(1, round(confident * share)))
+        if not ids:
             break
-        n = max(2, int(growth * len(free)))
-        chosen = []
-        for v in (0, 1):
-            z = apply(fits[v], views[v][free])
-            order = np.argsort(z, kind="stable")
-            bad, good = order[: max(1, int(n * (1 - share)))], order[-max(1, int(n * share)) :]
-            bad, good = bad[z[bad] < 0], good[z[good] > 0]
-            chosen.append((free[np.append(bad, good)], np.append(np.zeros(len(bad)), np.ones(len(good)))))
-        for v in (0, 1):  # what one view is sure of teaches the other
-            rows, target = chosen[1 - v]
-            taught[v] = (np.append(taught[v][0], rows), np.append(taught[v][1], target))
-        free = np.setdiff1d(free, np.append(chosen[0][0], chosen[1][0]))
+        named.update(ids)
+        target = np.array(target, dtype=float)
+        for v, more, of in ((0, more_x, slice(first, None)), (1, more_m, slice(0, first))):  # what one view is sure of teaches the other
+            if len(target[of]):
+                for part, new in zip(taught[v], (more[of].astype(np.float64), target[of], np.full(len(target[of]), 0.3)), strict=True):  # a pseudo-label counts less
+                    part.append(new)
         fits = [learn(0), learn(1)]
     target = y[held].astype(float)
     calibration = tuple(platt(apply(fits[v], views[v][held]), target) for v in (0, 1))
@@ -133,19 +151,64 @@ def _features(texts, langs, sources, chars) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _packed(batches):
-    for batch in batches:
-        x, m = _features(*(batch.column(i).to_pylist() for i in range(4)))
+    for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
+        x, m = (a.astype(np.float16) for a in _features(*(batch.column(i).to_pylist() for i in range(4))))
         yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in m], pa.binary()), batch.column(4)], ["x", "m", "y"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, *, labelled: int = 6000, pool: int = 8000, label_col: str = "quality", label_id_col: str = "doc_id", seed: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars") -> Model:
+def _views(x: list[bytes], m: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(b"".join(c), dtype=np.float16).reshape(-1, n) for c, n in ((x, CONTENT), (m, META)))
+
+
+def _stored(features: DataFrame) -> Unlabelled:
+    """The unlabelled documents as a stored table (row, x, m)."""
+    spark = features.sparkSession
+
+    def name(fits, named, bad, good):
+        known = spark.sparkContext.broadcast((fits, named))
+
+        def judged(batches):
+            fits, named = known.value
+            for batch in batches:
+                views = _views(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+                z = [apply(w, v.astype(np.float64)) for w, v in zip(fits, views, strict=True)]
+                free = np.array([r not in named for r in batch.column(0).to_pylist()], dtype=bool)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z[0]), pa.array(z[1])], ["row", "z0", "z1"]).filter(pa.array(free))
+
+        scores = stash(features.mapInArrow(judged, "row long, z0 double, z1 double"), "view-scores")
+        ids, target, first = [], [], 0
+        for v in ("z0", "z1"):
+            low = scores.where(F.col(v) < 0).orderBy(v, "row").limit(bad).select("row").collect()
+            high = scores.where(F.col(v) > 0).orderBy(F.desc(v), "row").limit(good).select("row").collect()
+            ids += [r["row"] for r in low + high]
+            target += [0] * len(low) + [1] * len(high)
+            first = first or len(ids)
+        if not ids:
+            return [], None, None, [], 0
+        wanted = spark.createDataFrame([(i,) for i in sorted(set(ids))], "row long")
+        got = {r["row"]: r for r in features.join(F.broadcast(wanted), "row").collect()}
+        return ids, *_views([bytes(got[i]["x"]) for i in ids], [bytes(got[i]["m"]) for i in ids]), target, first
+
+    return name
+
+
+def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, *, labelled: int = 6000, confident: int = 600, rounds: int = 4, label_col: str = "quality", label_id_col: str = "doc_id", seed: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars") -> Model:
     """train says which documents may teach (all by default)."""
     judged = labels.select(F.col(label_id_col).alias("doc_id"), F.col(label_col).alias("y")).where(F.col("y").isNotNull()).groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("int").alias("y"))
     rows = _columns(docs, id_col, text_col, lang_col, source_col, chars_col)
-    drawn = sampled(rows, judged, [("y is not null", labelled), ("y is null", pool)], seed, train)
-    got = drawn.select(F.col("text").cast("binary").alias("text"), "lang", "source", "n_chars", F.coalesce("y", F.lit(-1)).alias("y")).mapInArrow(_packed, "x binary, m binary, y int").toArrow()
-    x, m = (np.frombuffer(b"".join(got[c].to_pylist()), dtype=np.float32).reshape(-1, n) for c, n in (("x", CONTENT), ("m", META)))
-    return co_train(x, m, np.array(got["y"].to_pylist(), dtype=np.int64))
+    rows = rows if train is None else rows.where(train)
+    columns = [F.col("text").cast("binary").alias("text"), "lang", "source", "n_chars"]
+    got = sampled(rows, judged, [("y is not null", labelled)], seed).select(*columns, "y").mapInArrow(_packed, "x binary, m binary, y int").collect()
+    x, m = _views([bytes(r["x"]) for r in got], [bytes(r["m"]) for r in got])
+    y = np.array([r["y"] for r in got], dtype=np.int64)
+    if len(y) < 8 or len(set(y)) < 2:
+        return co_train(x, m, y, in_memory(x[:0], m[:0]))
+    # labels are few beside texts: their ids leave out the labelled rows by a join of ids, whatever the number of rows
+    ids = stash(judged.select("doc_id"), "labelled-ids")
+    few = ids.count() <= BROADCAST_IDS
+    free = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*columns, F.monotonically_increasing_id().alias("row")).mapInArrow(_packed, "x binary, m binary, y long")
+    features = stash(free.select(F.col("y").alias("row"), "x", "m"), "quality-features")
+    return co_train(x, m, y, _stored(features), rounds=rounds, confident=confident)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", chars_col: str = "n_chars") -> DataFrame:

@@ -1,22 +1,25 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; every other text of the training folds is unlabelled,
-whatever else is known of it. With class prior p the risk is estimated as
+Confirmed toxic texts are the positives; all texts of the training folds are the unlabelled ones,
+whatever else is known of them. With class prior p the risk is estimated as
 
     p R+(positives, +1) + max(0, R-(unlabelled, -1) - p R+(positives, -1)),
 
 with the logistic loss. Where the second part falls below zero, the step goes against its gradient, so that a
-flexible model can't drive it down. Several linear classifiers, each with its own draw of the unlabelled
-texts, are averaged, and a slope and offset fitted on the labelled training texts turn the mean into a probability.
+flexible model can't drive it down. No text counts as confirmed to be harmless: labels of harmless texts tell the prior only
+(the toxic share of labelled texts, unless it is given).
 
-Features: presence of a word (ASCII signs and blanks divide, A-Z lowered), for the words whose share among positives lies far from
-their share among unlabelled texts.
+Features: a text's distinct words (ASCII signs and blanks divide, A-Z lowered) and the beginnings of 4, 6 and 8 bytes of longer words, those whose
+share among positives lies far above or below their share among the unlabelled texts.
 
-Fitting uses at most ``positives`` confirmed and ``unlabelled`` other texts (those of the least hash of id and text),
-whose distinct words come to the driver; scoring reads every whole text in one narrow pass.
+Fitting uses at most ``positives`` confirmed texts (those of the least hash of the id), a quarter of which is kept for calibration, and all unlabelled texts: tasks count
+their features, and then take steps on their own texts from common weights, which are averaged after each round. Slope and offset minimise the same risk on the
+positives kept back and a histogram of the scores of all unlabelled texts. The driver sees ``candidates`` features' counts at most, the positives' chosen features, weights and the histogram;
+none of these grows with the corpus. Scoring reads every whole text in one narrow pass.
 
-Null and empty texts get the score of a text without any such word. If no positive or no unlabelled text is at hand
-all texts get the prior. Labels may repeat or be null: a document is toxic if any of its labels says so; null labels say nothing. Extra columns are not looked at.
+Null and empty texts get the score of a text without any such feature. If no positive text is at hand
+all texts get the prior (0 if nothing is labelled). Labels may repeat or be null: a document is toxic if any of its labels says so; null labels say nothing. Rows with one id share its label; a null id
+has none. Very long texts are read whole. Repeated rows count and score as often as they come. An empty table gives an empty result. Extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,25 +33,49 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecatlas.llm.common import accepted, documents, sampled
-from vecatlas.llm.linear import logit, platt, sigmoid
+from vecatlas.llm.common import accepted, documents, sampled, stash
+from vecatlas.llm.linear import logit, sigmoid
 
 SIGNS = bytes(c for c in range(128) if not chr(c).isalnum())
 SPLIT = bytes.maketrans(SIGNS + bytes(range(65, 91)), b" " * len(SIGNS) + bytes(range(97, 123)))
-HASHES = 1 << 32
+BEGINNINGS = (4, 6, 8)
+CHUNK, STEPS, BINS = 4096, 100, 50  # texts that a task learns from at a time, steps on them, bins for each unit of a score
 
 
 def words_of(text: bytes) -> set[bytes]:
     return set(text.translate(SPLIT).split())
 
 
-def _hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) % HASHES
+def hashes_of(word: bytes) -> list[int]:
+    """The 63-bit names of a word's features."""
+    names = [word, *(b"%d " % n + word[:n] for n in BEGINNINGS if n < len(word))]
+    return [xxhash.xxh3_64_intdigest(n) >> 1 for n in names]
+
+
+class Lookup(dict):
+    """What a word's features are known for, remembered while a task sees it again; emptied when it has grown."""
+
+    MOST = 300_000
+
+    def __init__(self, known: dict[int, object]):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: bytes) -> list:
+        if len(self) >= self.MOST:
+            self.clear()
+        get = self.known.get
+        found = self[word] = [v for v in map(get, hashes_of(word)) if v is not None]
+        return found
+
+    def of(self, text: bytes) -> list:
+        """Of all distinct words of a text, one after the other."""
+        return [v for w in words_of(text) for v in self[w]]
 
 
 @dataclass
 class Model:
-    """weights by hashed word, bias, and the calibration."""
+    """weights by hashed feature, bias, and the calibration."""
 
     weights: dict[int, float]
     bias: float
@@ -59,34 +86,28 @@ class Model:
     def score(self, texts: list[bytes]) -> np.ndarray:
         if not self.weights:
             return np.full(len(texts), self.prior)
-        known: dict[bytes, float] = {}
-        out = np.empty(len(texts))
-        for i, t in enumerate(texts):
-            z = self.bias
-            for w in words_of(t):
-                v = known.get(w)
-                if v is None:
-                    if len(known) > 300_000:
-                        known.clear()
-                    v = known[w] = self.weights.get(_hash(w), 0.0)
-                z += v
-            out[i] = z
-        return sigmoid(self.slope * out + self.offset)
-
-
-def nn_pu(pos: list[np.ndarray], unl: list[np.ndarray], n: int, prior: float, *, steps: int = 600, rate: float = 0.1, l2: float = 1e-5) -> tuple[np.ndarray, float]:
-    """A linear classifier over n binary features, each text an array of its features; returns weights and bias."""
-
-    def csr(rows):
-        return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([*rows, np.empty(0, dtype=np.int64)]).astype(np.int64)
-
-    (pr, pf), (ur, uf) = csr(pos), csr(unl)
-    w, b = np.zeros(n), logit(np.array(prior)).item()
+        known = Lookup(self.weights)
+        z = np.array([sum(known.of(t)) for t in texts], dtype=float).reshape(-1) + self.bias
+        return sigmoid(self.slope * z + self.offset)
+
+
+def _csr(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate([*rows, np.empty(0, dtype=np.int64)]).astype(np.int64)
+
+
+def _softplus(z: np.ndarray) -> np.ndarray:
+    return np.log1p(np.exp(np.clip(z, -35, 35)))
+
+
+def nn_pu(pos: list[np.ndarray], unl: list[np.ndarray], n: int, prior: float, start: tuple[np.ndarray, float] | None = None, *, steps: int = STEPS, rate: float = 0.1, l2: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Steps of a linear classifier over n features, each text an array of its features (one as often as it counts); returns weights and bias."""
+    (pr, pf), (ur, uf) = _csr(pos), _csr(unl)
+    w, b = (np.zeros(n), logit(np.array(prior)).item()) if start is None else (start[0].copy(), start[1])
     m, v = np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, steps + 1):
         zp, zu = np.bincount(pr, weights=w[pf], minlength=len(pos)) + b, np.bincount(ur, weights=w[uf], minlength=len(unl)) + b
         sp, su = sigmoid(zp), sigmoid(zu)
-        negative = np.log1p(np.exp(np.clip(zu, -35, 35))).mean() - prior * np.log1p(np.exp(np.clip(zp, -35, 35))).mean()
+        negative = _softplus(zu).mean() - prior * _softplus(zp).mean()
         # d loss(z, +1)/dz = s - 1, d loss(z, -1)/dz = s
         if negative >= 0:
             gp, gu = (prior * (sp - 1) - prior * sp) / len(pos), su / len(unl)
@@ -101,53 +122,125 @@ def nn_pu(pos: list[np.ndarray], unl: list[np.ndarray], n: int, prior: float, *,
     return w, b
 
 
-def _hashed_words(batches):
-    for batch in batches:
-        texts = batch.column(0).to_pylist()
-        hashed = [sorted({_hash(w) for w in words_of(t)}) for t in texts]
-        yield pa.RecordBatch.from_arrays([pa.array(hashed, pa.list_(pa.int64())), batch.column(1), batch.column(2)], ["words", "toxic", "known"])
+def calibrated(pos: np.ndarray, unl: np.ndarray, counts: np.ndarray, prior: float, steps: int = 600) -> tuple[float, float]:
+    """Slope (0 at the least) and offset of least risk, from the scores of positives and of unlabelled texts, of which counts are as many."""
+    share, spread = counts / counts.sum(), max(float(pos.std()), 1e-3)
+    a, b = 1.0, 0.0
+    m, v = np.zeros(2), np.zeros(2)
+    for t in range(1, steps + 1):
+        zp, zu = a * pos / spread + b, a * unl / spread + b
+        sp, su = sigmoid(zp), sigmoid(zu)
+        gp, gu = -prior * np.ones(len(pos)) / len(pos), share * su
+        if (share * _softplus(zu)).sum() < prior * _softplus(zp).mean():
+            gp, gu = prior * sp / len(pos), -share * su
+        g = np.array([(gp * pos).sum() / spread + (gu * unl).sum() / spread, gp.sum() + gu.sum()])
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+        a, b = max(a - step[0], 0.0), b - step[1]
+    return a / spread, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, train: Column, *, positives: int = 4000, unlabelled: int = 8000, rounds: int = 3, features: int = 4096, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str = "doc_id", seed: int = 7) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, train: Column, *, prior: float | None = None, positives: int = 4000, candidates: int = 1 << 16, rounds: int = 3, features: int = 4096, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id_col: str = "doc_id", seed: int = 7) -> Model:
     """train says, of ``doc_id`` (the id's name here), which documents may teach."""
+    spark = docs.sparkSession
     judged = labels.select(F.col(label_id_col).alias("doc_id"), F.col(label_col).alias("toxic")).where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    source = documents(docs, id_col, text_col)
-    counts = source.where(train).select("doc_id").join(judged, "doc_id", "left").groupBy((F.coalesce("toxic", F.lit(0)) > 0).alias("toxic"), F.col("toxic").isNotNull().alias("known")).count().collect()
-    known = sum(r["count"] for r in counts if r["known"])
-    toxic = sum(r["count"] for r in counts if r["toxic"])
-    prior = min(0.5, max(1e-3, toxic / known)) if known else 1e-3
-    if not toxic or toxic == sum(r["count"] for r in counts):
-        return Model({}, 0.0, 1.0, 0.0, prior if known else 0.0)
-    drawn = sampled(source, judged, [("toxic > 0", positives), ("coalesce(toxic, 0) <= 0", unlabelled)], seed, train)
-    got = drawn.select(F.col("text").cast("binary").alias("text"), (F.coalesce("toxic", F.lit(0)) > 0).alias("toxic"), F.col("toxic").isNotNull().alias("known")).mapInArrow(_hashed_words, "words array<long>, toxic boolean, known boolean").toArrow()
-    bags, is_pos, is_known = got["words"].to_pylist(), np.array(got["toxic"].to_pylist()), np.array(got["known"].to_pylist())
-    in_pos: Counter = Counter(w for b, p in zip(bags, is_pos, strict=True) if p for w in b)
-    in_unl: Counter = Counter(w for b, p in zip(bags, is_pos, strict=True) if not p for w in b)
-    n_pos, n_unl = int(is_pos.sum()), int((~is_pos).sum())
-
-    def lean(w: int) -> float:
-        """How many standard errors the word's share among positives lies off its share among unlabelled texts."""
-        p, u = in_pos[w] / n_pos, in_unl[w] / n_unl
-        both = (in_pos[w] + in_unl[w]) / (n_pos + n_unl)
-        return abs(p - u) / max(1e-12, np.sqrt(both * (1 - both) * (1 / n_pos + 1 / n_unl)) + 1e-9)
-
-    some = [w for w in in_pos if in_pos[w] + in_unl[w] >= max(3, 5e-4 * (n_pos + n_unl))]
-    chosen = sorted((w for w in some if lean(w) > 4.5), key=lambda w: (-lean(w), w))[:features]
-    place = {w: i for i, w in enumerate(chosen)}
-    rows_of = [np.array([place[w] for w in b if w in place], dtype=np.int64) for b in bags]
-    pos, unl = [r for r, p in zip(rows_of, is_pos, strict=True) if p], [r for r, p in zip(rows_of, is_pos, strict=True) if not p]
-    rng, weights, bias = np.random.default_rng(seed), np.zeros(len(chosen)), 0.0
+    source = documents(docs, id_col, text_col).where(train)
+    known, toxic = source.select("doc_id").join(judged, "doc_id").agg(F.count("*"), F.count_if(F.col("toxic") > 0)).first()
+    if prior is None:
+        prior = min(0.5, max(1e-3, toxic / known)) if known else 0.0
+    if not toxic:
+        return Model({}, 0.0, 1.0, 0.0, prior)
+    drawn = stash(sampled(source, judged, [("toxic > 0", positives)], seed).select(F.col("text").cast("binary").alias("text"), (F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(4)) == 0).alias("held")), "confirmed")
+
+    def named(batches):
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                got = np.array(list({h for w in words_of(t) for h in hashes_of(w)}), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(got)], ["feature"])
+
+    frequent = drawn.select("text").mapInArrow(named, "feature long").groupBy("feature").count().where("count >= 3").orderBy(F.desc("count"), "feature").limit(candidates).toArrow()
+    hashed, in_pos = frequent["feature"].to_pylist(), frequent["count"].to_numpy().astype(float)
+    wanted = spark.sparkContext.broadcast({h: i for i, h in enumerate(hashed)})
+
+    def counted(batches):
+        for batch in batches:
+            found = Lookup(wanted.value)
+            seen: Counter = Counter()
+            for t in batch.column(0).to_pylist():
+                seen.update(set(found.of(t)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["feature", "n"])
+
+    texts = source.select(F.col("text").cast("binary").alias("text"))
+    rows = texts.mapInArrow(counted, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    in_unl = np.zeros(len(hashed))
+    in_unl[rows["feature"].to_numpy()] = rows["n"].to_numpy()
+    n_pos, n_unl = drawn.count(), source.count()
+    p, u, both = in_pos / n_pos, in_unl / n_unl, (in_pos + in_unl) / (n_pos + n_unl)
+    # standard errors between the shares
+    lean = np.abs(p - u) / (np.sqrt(both * (1 - both) * (1 / n_pos + 1 / n_unl)) + 1e-9)
+    chosen = [i for i in np.lexsort((np.arange(len(lean)), -lean)) if lean[i] > 4.5][:features]
+    place = spark.sparkContext.broadcast({hashed[i]: k for k, i in enumerate(chosen)})
+    size = len(chosen)
+
+    def told(batches):
+        found = Lookup(place.value)
+        for batch in batches:
+            lists = [found.of(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())), *batch.columns[1:]], ["features", *batch.schema.names[1:]])
+
+    got = drawn.mapInArrow(told, "features array<int>, held boolean").collect()
+    pos = [np.array(r["features"], dtype=np.int64) for r in got if not r["held"]] or [np.array(r["features"], dtype=np.int64) for r in got]
+    back = [np.array(r["features"], dtype=np.int64) for r in got if r["held"]] or pos
+    unlabelled = stash(texts.mapInArrow(told, "features array<int>"), "toxicity-features")
+    confirmed = spark.sparkContext.broadcast(pos)
+    weights, bias = np.zeros(size), logit(np.array(prior)).item()
     for _ in range(rounds):
-        draw = rng.permutation(len(unl))[: max(1, 2 * len(unl) // 3)]
-        w, b = nn_pu(pos, [unl[i] for i in draw], len(chosen), prior)
-        weights, bias = weights + w / rounds, bias + b / rounds
-    raw = np.array([weights[r].sum() + bias for r in rows_of])
-    # the drawn texts hold another share of positives than the folds, which the offset makes good
-    slope, offset = platt(raw[is_known], is_pos[is_known].astype(float)) if is_known.any() else (1.0, 0.0)
-    if is_known.any():
-        share = is_pos[is_known].mean()
-        offset += float(logit(np.array(prior)) - logit(np.array(share))) if 0 < share < 1 else 0.0
-    return Model({w: float(weights[i]) for w, i in place.items()}, float(bias), float(slope) or 1.0, float(offset), float(prior))
+        now = spark.sparkContext.broadcast((weights, bias))
+
+        def local(batches, now=now):
+            start, seen, part = now.value, 0, []
+
+            def learn() -> None:
+                nonlocal start, seen, part
+                start, seen, part = nn_pu(confirmed.value, part, size, prior, start), seen + len(part), []
+
+            for batch in batches:
+                for f in batch.column(0).to_pylist():
+                    part.append(np.array(f, dtype=np.int64))
+                    if len(part) == CHUNK:
+                        learn()
+            if part and (not seen or len(part) > CHUNK // 4):  # few left over say little of the share that is toxic
+                learn()
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([np.append(start[0], start[1]).tobytes()], pa.binary()), pa.array([float(seen)])], ["flat", "weight"])
+
+        parts = unlabelled.mapInArrow(local, "flat binary, weight double").repartition(8).mapInArrow(_added, "flat binary, weight double").collect()
+        total = sum(np.frombuffer(r["flat"]) for r in parts) / sum(r["weight"] for r in parts)
+        weights, bias = total[:-1].copy(), float(total[-1])
+
+    final = spark.sparkContext.broadcast((weights, bias))
+
+    def histogram(batches):
+        w, b = final.value
+        for batch in batches:
+            z = np.array([w[f].sum() if f else 0.0 for f in batch.column(0).to_pylist()]).reshape(-1) + b
+            bins, n = np.unique(np.round(np.clip(z, -100, 100) * BINS).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(n.astype(np.int64))], ["bin", "n"])
+
+    bins = unlabelled.mapInArrow(histogram, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    slope, offset = calibrated(np.array([weights[f].sum() for f in back]) + bias, bins["bin"].to_numpy() / BINS, bins["n"].to_numpy().astype(float), prior)
+    return Model({hashed[i]: float(weights[k]) for k, i in enumerate(chosen)}, bias, slope, offset, prior)
+
+
+def _added(batches):
+    """Weights times their tasks' texts, summed."""
+    total, weight = None, 0.0
+    for b in batches:
+        for flat, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            a = np.frombuffer(flat) * w
+            total, weight = (a if total is None else total + a), weight + w
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([weight])], ["flat", "weight"])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
