@@ -41,6 +41,11 @@ def _bucket(elements: np.ndarray) -> np.ndarray:
     return (elements >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
 
 
+def _few(batches):
+    """Batches of texts whose elements fit in memory side by side."""
+    return (b.slice(at, 200) for b in batches for at in range(0, b.num_rows, 200))
+
+
 def meetings(texts: DataFrame, labels: DataFrame, how: Overlap) -> DataFrame:
     """All pairs (a, b) of different label that can be links: an exact prefix filter.
 
@@ -54,7 +59,7 @@ def meetings(texts: DataFrame, labels: DataFrame, how: Overlap) -> DataFrame:
     own = semi(texts, labels.select("row"), "row")
 
     def counted(batches):
-        for batch in batches:
+        for batch in _few(batches):
             parts = [_bucket(how.elements(t)) for t in batch.column(0).to_pylist()]
             kinds, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(n.astype(np.int64))], ["bucket", "n"])
@@ -65,7 +70,7 @@ def meetings(texts: DataFrame, labels: DataFrame, how: Overlap) -> DataFrame:
     known = spark.sparkContext.broadcast(order)
 
     def first_ones(batches):
-        for batch in batches:
+        for batch in _few(batches):
             out: tuple[list, ...] = ([], [], [], [], [])
             for row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 e = how.elements(text)
