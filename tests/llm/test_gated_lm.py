@@ -68,7 +68,7 @@ def test_windows_do_not_matter():
     words = sorted(seen, key=lambda w: (w != lm.END, -seen[w], w))
     n = np.array([seen[w] for w in words], dtype=float)
     size = len(words)
-    voc = lm.Vocabulary({w: i for i, w in enumerate(words)}, np.arange(size), np.arange(size) % lm.CLASSES, np.arange(size) // lm.CLASSES, np.zeros(size), np.log10((n + 1) / (n.sum() + size + 1)), int(n.sum()), size, 0, 0.0, 1.0, 0.1)
+    voc = lm.Vocabulary({w: i for i, w in enumerate(words)}, np.append(np.arange(size), lm.HEAD + lm.GROUPS), np.append(np.arange(size) % lm.CLASSES, lm.CLASSES + lm.GROUPS), np.append(np.arange(size) // lm.CLASSES, 0), np.zeros(size), np.log10((n + 1) / (n.sum() + size + 1)), int(n.sum()), size, 0, 0.0, 1.0, 0.1)
     model = lm.start(voc, n)
     got = lm._scored([t.encode() for t in docs], voc, model)[3]
     for t, s in zip(docs, got, strict=True):

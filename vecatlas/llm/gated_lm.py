@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -81,10 +82,11 @@ class Gru:
         rows = np.arange(len(h))
         p = h @ self.wc
         p += self.bc
-        p -= p.max(axis=1, keepdims=True)
+        if not self._small(self.wc, self.bc):
+            p -= p.max(axis=1, keepdims=True)
         out = p[rows, cls]
         np.exp(p, out=p)
-        total = p.sum(axis=1)
+        total = p @ np.ones(p.shape[1], dtype=p.dtype)
         out -= np.log(total)
         if grads is not None:
             p /= total[:, None]
@@ -97,16 +99,18 @@ class Gru:
         order = head[np.argsort(cls[head].astype(np.int16), kind="stable")]
         edges, x_all, w_all = np.searchsorted(cls[order], np.arange(CLASSES + 1)), h[order], word[order]
         gain, back = np.empty(len(order), dtype=h.dtype), np.empty_like(x_all) if grads is not None else None
+        small, ones = self._small(self.wv, self.bv), np.ones(self.wv.shape[2], dtype=h.dtype)
         for c in np.flatnonzero(np.diff(edges)):
             own = slice(edges[c], edges[c + 1])
             x, w = x_all[own], w_all[own]
             q = x @ self.wv[c]
             q += self.bv[c]
-            q -= q.max(axis=1, keepdims=True)
+            if not small:
+                q -= q.max(axis=1, keepdims=True)
             at = rows[: len(x)]
             picked = q[at, w]
             np.exp(q, out=q)
-            sums = q.sum(axis=1)
+            sums = q @ ones
             gain[own] = picked - np.log(sums)
             if grads is not None:
                 q /= sums[:, None]
@@ -120,6 +124,11 @@ class Gru:
             dh[order] += back
         return out
 
+    @staticmethod
+    def _small(w: np.ndarray, b: np.ndarray) -> bool:
+        """Whether no sum of a state (within -1 and 1) with these weights leaves what a 32-bit exponential can show."""
+        return bool((np.abs(w).sum(axis=-2) + np.abs(b)).max() < 80)
+
 
 def train(model: Gru, texts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], end: int, chunk: int = CHUNK, rate: float = RATES[0]) -> tuple[Gru, int]:
     """Continue from the model's weights on a stream of encoded texts (inputs, classes, words); also the number of tokens in it.
@@ -155,16 +164,32 @@ def train(model: Gru, texts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]
             dh, own = np.zeros_like(hs), np.zeros((len(on), k), dtype=np.float32)
             model.log_probs(hs[on], cls[s : s + n].ravel()[on], word[s : s + n].ravel()[on], grads, own)
             dh[on] = own
-            dh, carry, dgs = dh.reshape(n, lanes, k), np.zeros((lanes, k), dtype=np.float32), np.empty((n, lanes, 3 * k), dtype=np.float32)
+            dh, carry = dh.reshape(n, lanes, k), np.zeros((lanes, k), dtype=np.float32)
+            dgs, dus = (np.empty((n, lanes, 3 * k), dtype=np.float32) for _ in range(2))
             for i in range(n - 1, -1, -1):
                 z, r, c, un = cache[i]
+                dz, dr, dn = (dgs[i, :, a : a + k] for a in (0, k, 2 * k))
                 d = carry * keep[i]
-                dn = d * (1 - z) * (1 - c * c)
-                dz, dr = d * (states[i] - c) * z * (1 - z), dn * un * r * (1 - r)
-                dgs[i] = np.concatenate([dz, dr, dn], axis=1)
-                du = np.concatenate([dz, dr, dn * r], axis=1)
-                grads.u += states[i].T @ du
-                carry = d * z + du @ model.u.T + dh[i]
+                rest = 1 - z
+                np.multiply(d, rest, out=dn)
+                np.subtract(states[i], c, out=dz)
+                dz *= d
+                dz *= z
+                dz *= rest
+                np.multiply(c, c, out=rest)
+                np.subtract(1, rest, out=rest)
+                dn *= rest
+                np.subtract(1, r, out=dr)
+                dr *= r
+                dr *= un
+                dr *= dn
+                dus[i] = dgs[i]
+                dus[i, :, 2 * k :] *= r
+                d *= z
+                d += dus[i] @ model.u.T
+                d += dh[i]
+                carry = d
+            grads.u += hs.T @ dus.reshape(-1, 3 * k)
             order_x = np.argsort(xs, axis=None, kind="stable")
             kinds, firsts = np.unique(xs.ravel()[order_x], return_index=True)
             grads.e[kinds] = np.add.reduceat(dgs.reshape(-1, 3 * k)[order_x], firsts, axis=0)
@@ -192,7 +217,7 @@ class Vocabulary:
     """What tasks need to know of the counted tokens; index -1 is the rest."""
 
     index: dict[bytes, int]
-    symbol: np.ndarray  # input of the GRU
+    symbol: np.ndarray  # input of the GRU; this and the next two have one entry more, for the rest
     cls: np.ndarray
     word: np.ndarray  # place in a head class
     within: np.ndarray  # log10 of the share in a group
@@ -266,25 +291,21 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     known = seen_mass / (seen_mass + unseen_mass) if rare_total and seen_mass + unseen_mass else 0.0
     unseen = max(1.0, once * (once - 1) / (2 * (twice + 1)))
     return Vocabulary(
-        {w: i for i, w in enumerate(words)}, symbol, cls, word, within, np.log10((n + 1) / (total + distinct + 1)), int(total), int(distinct), rare_total,
+        {w: i for i, w in enumerate(words)}, np.append(symbol, np.int32(HEAD + GROUPS)), np.append(cls, np.int32(CLASSES + GROUPS)), np.append(word, np.int32(0)), within, np.log10((n + 1) / (total + distinct + 1)), int(total), int(distinct), rare_total,
         min(0.99, max(0.0, known)), unseen, min(0.5, (seen_mass + unseen_mass) / total) if total else 0.5,
     )
 
 
 def _encoded(text: list[bytes], voc: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    get = voc.index.get
-    at = np.fromiter([get(w, -1) for w in text], dtype=np.int32, count=len(text))
-    rare = at < 0
-    pick = np.where(rare, 0, at)
-    if not len(voc.symbol):
-        return at, np.full(len(at), voc.rest, dtype=np.int32), np.full(len(at), CLASSES + GROUPS, dtype=np.int32), np.zeros(len(at), dtype=np.int32)
-    return at, np.where(rare, np.int32(voc.rest), voc.symbol[pick]), np.where(rare, np.int32(CLASSES + GROUPS), voc.cls[pick]), np.where(rare, np.int32(0), voc.word[pick])
+    """Places in the vocabulary (-1: the rest), inputs, classes, words in classes; the last entries of the vocabulary's arrays are the rest's."""
+    at = np.fromiter(map(voc.index.get, text, repeat(-1)), dtype=np.int32, count=len(text))
+    return at, voc.symbol[at], voc.cls[at], voc.word[at]
 
 
 def start(voc: Vocabulary, counts_of: np.ndarray) -> Gru:
     """First weights, with biases that give the counts' shares."""
     model = Gru(HEAD + GROUPS + 1, CLASSES + GROUPS + 1)
-    mass = np.bincount(voc.cls, weights=counts_of, minlength=CLASSES + GROUPS + 1) + 0.5
+    mass = np.bincount(voc.cls[:-1], weights=counts_of, minlength=CLASSES + GROUPS + 1) + 0.5
     mass[-1] += voc.rare_total
     model.bc[:] = np.log(mass / mass.sum())
     head = min(HEAD, len(counts_of))
@@ -392,8 +413,8 @@ def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: s
         voc, flat = known.value
         model = Gru(HEAD + GROUPS + 1, CLASSES + GROUPS + 1, flat)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
+            for lo in range(0, batch.num_rows, 4000):
+                part = batch.slice(lo, 4000)
                 n, k, base, score, words, counts = _scored(part.column(2).to_pylist(), voc, model)
                 offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int32)
                 rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array([w for ws in words for w in ws], pa.binary()), pa.array([c for cs in counts for c in cs], pa.int32())], ["word", "times"]))
