@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-from vecatlas.llm.decontaminate import leaks
+from vecatlas.llm.decontaminate import leaks, without_leaks
 
 
 def grams(words):
@@ -14,7 +14,12 @@ def brute(docs, items):
         words = (text or "").lower().split()
         for i, item in items:
             want = (item or "").lower().split()
+            if not want:
+                continue
             if len(want) < 5:
+                at = [j for j in range(len(words) - len(want) + 1) if words[j : j + len(want)] == want]
+                if at:
+                    found[d, i] = (at[0], 1.0)
                 continue
             b = grams(want)
             for s in range(max(1, len(words) - len(want) + 1)):
@@ -44,7 +49,7 @@ def test_against_brute_force(spark):
             words[at:at] = put
         docs.append((d, ("  \n" if d % 3 else "") + " ".join(words).upper()))
     docs += [(100, "x " + items[50 - 38][1] + " y"), (101, items[3][1]), (102, None), (103, ""), (104, " ".join(items[4][1].split()[:-2]))]
-    docs += [(None, items[5][1]), (101, items[3][1])]
+    docs += [(None, items[5][1]), (101, items[3][1]), (105, "some too few words here, and Too few words here too few words here"), (106, "too few words")]
     frame = spark.createDataFrame([(d, t, 1, 2) for d, t in docs], "doc_id long, text string, item_id int, start int")
     rows = leaks(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
     want = brute(docs, items)
@@ -59,3 +64,34 @@ def test_empty_tables(spark):
     assert leaks(none, bench).count() == 0
     assert leaks(some, bench.limit(0)).count() == 0
     assert leaks(some, bench).count() == 1
+
+
+def test_very_long_items_and_repeats(spark):
+    """More equal shingles than 16 bits count, and an item of 70,000 words."""
+    rnd = random.Random(9)
+    long_ = " ".join(rnd.choices([f"w{i}" for i in range(3000)], k=70_000))
+    items = [(1, "z " * 70_000), (2, long_)]
+    docs = [(1, "z " * 70_003), (2, "before " + long_ + " after"), (3, "z " * 100), (4, "z " * 60_000)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["start"], r["words"]) for r in leaks(frame, bench).collect()}
+    assert got == {(1, 1): (0, 70_000), (2, 2): (1, 70_000), (4, 1): (0, 70_000)}
+
+
+def test_recall_and_rows_judged_by_their_text(spark):
+    """Windows of 0.8 and more at random places are found; rows of one id with two fates go apart."""
+    rnd = random.Random(10)
+    vocab = [f"v{i}" for i in range(3000)]
+    items = [(i, " ".join(rnd.choices(vocab, k=60))) for i in range(8)]
+    docs = []
+    for d in range(120):
+        put = items[d % 8][1].split()
+        for at in rnd.sample(range(60), 1 + d % 2):
+            put[at] = "edit"
+        docs.append((d, " ".join(rnd.choices(vocab, k=100) + put + rnd.choices(vocab, k=50))))
+    frame = spark.createDataFrame([*docs, (0, "a clean text that has the id of another one"), (7, None)], "doc_id long, text string")
+    want = {k: v for k, v in brute(docs, items).items() if v[1] >= 0.8}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leaks(frame, bench).collect()}
+    assert len(want) > 60 and got <= set(want) and len(got) >= 0.99 * len(want)
+    rows = without_leaks(frame, bench).collect()
+    assert {r["doc_id"] for r in rows} == {d for d, _ in docs if (d, d % 8) not in got} | {0, 7} and len(rows) == 122 - len({d for d, _ in got})

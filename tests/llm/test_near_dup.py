@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from vecatlas.llm import common, near_dup
+from vecatlas.llm import common, graph, near_dup
 from vecatlas.llm.near_dup import bag_signatures, classes
 from vecatlas.llm.shingles import WordHashes, multiset, similarity
 
@@ -118,3 +118,69 @@ def test_order_of_scans_does_not_matter(spark):
     docs = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t + " end") for i, t in enumerate(texts)]
     rows = classes(reordered(spark.createDataFrame(docs, "doc_id long, text string"))).collect()
     assert {r["doc_id"]: r["class_id"] for r in rows} == {i: i % 100 for i, _ in docs}
+
+
+def test_recall_on_documents(spark):
+    """All pairs of 0.8 and more of a table of documents share a class, and classes hold nothing else."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    bags, places = [grams(t) for _, t in rows], {}
+    for i, bag in enumerate(bags):
+        for g in bag:
+            places.setdefault(g, []).append(i)
+    up = list(range(len(rows)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    pairs = {(i, j) for some in places.values() for i in some[:50] for j in some if i < j} | {(i, j) for i in range(len(rows)) for j in range(i) if not bags[i] and not bags[j]}
+    links = {(i, j) for i, j in pairs if not bags[i] or sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values())}
+    for i, j in links:
+        up[max(top(i), top(j))] = min(top(i), top(j))
+    got = {r["doc_id"]: r["class_id"] for r in classes(docs).collect()}
+    found = sum(got[rows[i][0]] == got[rows[j][0]] for i, j in links)
+    assert len(links) > 20 and found >= 0.99 * len(links)
+    want = {}
+    for i in range(len(rows)):
+        want.setdefault(top(i), set()).add(rows[i][0])
+    mine = {}
+    for d, c in got.items():
+        mine.setdefault(c, set()).add(d)
+    assert all(any(m <= w for w in want.values()) for m in mine.values())
+
+
+def test_meetings_lose_no_link(spark):
+    """Texts of one origin, most of them less alike than 0.8: all links meet, and of the other pairs few do."""
+    rnd = random.Random(2)
+    vocab = [f"v{i}" for i in range(3000)]
+    base, texts = rnd.choices(vocab, k=150), []
+    for _ in range(500):
+        words = list(base)
+        for at in rnd.sample(range(150), rnd.choice([1, 3, 6, 9, 12])):
+            words[at] = rnd.choice(vocab[:40])
+        texts.append(" ".join(words))
+    frame = spark.createDataFrame([(i, t.encode(), i) for i, t in enumerate(texts)], "row long, text binary, label long")
+    met = graph.meetings(common.stash(frame.select("row", "text"), "t"), common.stash(frame.select("row", "label"), "l"), near_dup._overlap()).collect()
+    bags = [grams(t) for t in texts]
+    like = {(i, j) for j in range(500) for i in range(j) if sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values())}
+    pairs = {(min(r), max(r)) for r in met}
+    assert like <= pairs and 100 < len(like) and len(pairs) == len(met) < 0.6 * 500 * 499 / 2
+
+
+def test_large_bucket_of_loosely_alike_texts(spark):
+    rnd = random.Random(3)
+    vocab = [f"v{i}" for i in range(3000)]
+    base, texts = rnd.choices(vocab, k=150), []
+    for _ in range(5000):
+        words = list(base)
+        for at in rnd.sample(range(150), rnd.choice([1, 4, 5, 6, 7])):
+            words[at] = rnd.choice(vocab)
+        texts.append(" ".join(words))
+    rows = classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    of = {r["doc_id"]: r["class_id"] for r in rows}
+    sample = rnd.sample(range(5000), 300)
+    bags = {i: grams(texts[i]) for i in sample}
+    links = [(i, j) for i in sample for j in sample if i < j and sum((bags[i] & bags[j]).values()) >= 0.8 * sum((bags[i] | bags[j]).values())]
+    assert len(links) > 100 and sum(of[i] == of[j] for i, j in links) >= 0.99 * len(links)

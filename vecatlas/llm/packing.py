@@ -111,7 +111,7 @@ def _few(sizes: list[int], most: int = 1 << 20):
 
 
 def pack(docs: DataFrame, tokenizer_path: str, longest: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset); ids are packed, see :func:`unpack_ids`.
+    """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset, bucket); ids are packed, see :func:`unpack_ids`; a bucket holds the pieces of 2^bucket tokens.
 
     longest is a power of two. The work is one narrow pass: nothing is shuffled, and a task holds one
     Arrow batch at a time. sequence_id is unique and stable for the same input files.
@@ -137,7 +137,7 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = 2048, end_id: int
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens"])
 
     pieces = documents(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SCHEMA)
-    return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).withColumn("bucket", F.log2("length").cast("int"))
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:

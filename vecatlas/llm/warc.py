@@ -25,21 +25,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecatlas.llm.common import stash
+from vecatlas.llm.common import attach, stash
 
 INDEX = "page_id long, archive string, offset long, length long, url string, digest string, record_type string, refers_to long"
 ARCHIVE_BYTES, GAP, MOST = 256 << 20, 64 << 10, 8 << 20
 STAMP = "2024-01-01T00:00:00Z"
 
 
-def _record(kind: str, page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One WARC 1.1 record with an HTTP block; a revisit's block ends after the HTTP head, which still tells the payload's length."""
+def _id(name: str) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
+
+
+def _record(kind: str, page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, place: str, least: int) -> bytes:
+    """One WARC 1.1 record with an HTTP block; a revisit's block ends after the HTTP head, which still tells the payload's length.
+
+    The one response of a payload that revisits may name has an id made of the digest, any other record one made of its place.
+    """
+    original = _id(f"sha256:{digest}")
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if kind == "revisit" else head + payload
     target = url.replace("\r", "%0D").replace("\n", "%0A")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}/{target}')}>", f"WARC-Date: {STAMP}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {original if kind == 'response' and len(payload) >= least else _id(place)}", f"WARC-Date: {STAMP}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha256:{digest}"]
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {original}", f"X-Refers-To-Page-ID: {'' if refers_to is None else refers_to}"]
     lines += [f"X-Page-ID: {'' if page_id is None else page_id}", "Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}", "", ""]
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
@@ -54,7 +62,7 @@ def parse(record: bytes) -> dict:
     block = rest[: int(fields["content-length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     length = next(int(v) for k, _, v in (line.partition(b": ") for line in http.split(b"\r\n")) if k.lower() == b"content-length")
-    ref = fields.get("warc-refers-to", "")[len("<urn:page:") : -1]
+    ref = fields.get("x-refers-to-page-id", "")
     return {
         "page_id": int(fields["x-page-id"]) if fields["x-page-id"] else None,
         "url": fields["warc-target-uri"],
@@ -67,18 +75,18 @@ def parse(record: bytes) -> dict:
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 100) -> DataFrame:
-    """(page_id, url, payload, digest, kind, refers_to). Rows are numbered once and stored; only digests that occur twice are joined back, without payloads passing through a shuffle."""
+    """(page_id, url, payload, digest, kind, refers_to). Rows are numbered once and stored. Digests meet without payloads: they are aggregated in part before any shuffle,
+    those that occur twice are broadcast, or salted where they are many, and only the numbers of the revisits come back to the rows."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), F.coalesce(F.col(payload_col), F.lit("")).alias("payload"))
-    rows = stash(rows.select("*", F.sha2(F.col("payload").cast("binary"), 256).alias("digest"), F.monotonically_increasing_id().alias("row")), "pages")
-    long_ = F.octet_length("payload") >= least
-    first = rows.where(long_).groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = stash(first.select(F.col("digest").alias("same"), F.col("first.page_id").alias("to"), F.col("first.row").alias("first_row")), "payloads")
-    again = (F.col("first_row").isNotNull()) & (F.col("first_row") != F.col("row"))
-    joined = rows.withColumn("key", F.when(long_, F.col("digest"))).join(first, F.col("key") == F.col("same"), "left")
-    return joined.select("page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("to")).alias("refers_to"))
+    rows = stash(rows.select("*", F.sha2(F.col("payload").cast("binary"), 256).alias("digest"), F.octet_length("payload").alias("bytes"), F.monotonically_increasing_id().alias("row")), "pages")
+    slim = rows.where(F.col("bytes") >= least).select("row", "page_id", "digest")
+    first = slim.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = stash(first.select("digest", F.col("first.page_id").alias("refers_to"), F.col("first.row").alias("first_row")), "payloads")
+    again = stash(attach(slim, first, "digest", how="inner").where("row <> first_row").select("row", "refers_to", F.lit("revisit").alias("kind")), "revisits")
+    return attach(rows, again, "row").select("page_id", "url", "payload", "digest", F.coalesce("kind", F.lit("response")).alias("kind"), "refers_to")
 
 
-def write(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def write(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES, least: int = 100) -> DataFrame:
     """Write archives and the index of what they hold; the index is returned as a stored table."""
     store, path = fs.FileSystem.from_uri(folder)
     store.create_dir(path, recursive=True)
@@ -97,7 +105,7 @@ def write(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -
                         name, at, number = f"{own}-{number:04d}.warc.gz", 0, number + 1
                         out = where.open_output_stream(f"{root}/{name}", compression=None)
                     pack = zlib.compressobj(1, zlib.DEFLATED, 31)
-                    member = pack.compress(_record(kind, page_id, url, payload, digest, refers_to)) + pack.flush()
+                    member = pack.compress(_record(kind, page_id, url, payload, digest, refers_to, f"{name}/{at}", least)) + pack.flush()
                     out.write(member)
                     index.append((page_id, name, at, len(member), url, digest, kind, refers_to))
                     at += len(member)
