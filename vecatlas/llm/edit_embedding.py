@@ -255,6 +255,6 @@ def classes(docs: DataFrame, share: float = 0.1, *, bands: int = 64, sampled: in
     places = stash(prints.mapInArrow(sample, "row long, bands array<long>").select("row", F.explode("bands").alias("band")), "edit-bands")
     texts = source.select("row", F.col("text").cast("binary").alias("text"))
     # an edit changes three runs of three characters at most
-    how = Overlap(_runs_of_three, lambda small, large: large - 3 * share * (large - 2), lambda size: size - 3 * share * (size - 2))
+    how = Overlap(lambda: _runs_of_three, lambda small, large: large - 3 * share * (large - 2), lambda size: size - 3 * share * (size - 2))
     labels = linked(places, texts, link, how)
     return attach(source.select("row", "doc_id"), stash(labels.withColumnRenamed("v", "row"), "edit-labels"), "row").select("doc_id", F.coalesce("label", "row").alias("class_id"))

@@ -21,11 +21,11 @@ ORDER_BITS = 18
 class Overlap:
     """What two texts must have in common to be a link.
 
-    elements(text) are the distinct 64-bit elements of a text; need(small, large), of two sizes (numbers or columns), is the least overlap of a link and must not
+    elements() gives a task its function from a text to its distinct 64-bit elements; need(small, large), of two sizes (numbers or columns), is the least overlap of a link and must not
     fall as large grows; least(size) is the least overlap of a link with any text that is no larger.
     """
 
-    elements: Callable[[bytes], np.ndarray]
+    elements: Callable[[], Callable[[bytes], np.ndarray]]
     need: Callable
     least: Callable[[float], float]
 
@@ -59,8 +59,9 @@ def meetings(texts: DataFrame, labels: DataFrame, how: Overlap) -> DataFrame:
     own = semi(texts, labels.select("row"), "row")
 
     def counted(batches):
+        elements = how.elements()
         for batch in _few(batches):
-            parts = [_bucket(how.elements(t)) for t in batch.column(0).to_pylist()]
+            parts = [_bucket(elements(t)) for t in batch.column(0).to_pylist()]
             kinds, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(n.astype(np.int64))], ["bucket", "n"])
 
@@ -70,10 +71,11 @@ def meetings(texts: DataFrame, labels: DataFrame, how: Overlap) -> DataFrame:
     known = spark.sparkContext.broadcast(order)
 
     def first_ones(batches):
+        elements = how.elements()
         for batch in _few(batches):
             out: tuple[list, ...] = ([], [], [], [], [])
             for row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                e = how.elements(text)
+                e = elements(text)
                 often, size = known.value[_bucket(e)], len(e)
                 ranked = np.lexsort((e, often))
                 n = max(0, min(size, int(size - how.least(size) + 1e-6) + 1))

@@ -33,7 +33,7 @@ from vecatlas.llm.shingles import WordHashes, mix, multiset, similarity
 
 COMPONENTS, BANDS, ROWS = 128, 25, 5
 LIKE, LEAST_AGREEING = 0.8, 0.66
-AT_ONCE = 400_000  # shingles whose points are made together
+AT_ONCE = 200_000  # shingles whose points are made together
 
 
 def bag_signatures(hashes: np.ndarray, counts: np.ndarray, doc: np.ndarray, n_docs: int, m: int = COMPONENTS) -> np.ndarray:
@@ -80,7 +80,7 @@ def _profiles(batches):
     """row, doc_id, fingerprint of the multiset, weight, signature, bands."""
     words = WordHashes()
     salts = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
-    for batch in batches:
+    for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
         rows, names, texts = batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()
         sets = {}
         for t in texts:
@@ -115,8 +115,9 @@ def _profiles(batches):
         )
 
 
-def _elements(text: bytes, words: WordHashes = WordHashes()) -> np.ndarray:  # noqa: B008  remembered on purpose
-    return numbered(*multiset(text, words))
+def _elements():
+    words = WordHashes()
+    return lambda text: numbered(*multiset(text, words))
 
 
 def _overlap() -> Overlap:

@@ -9,7 +9,7 @@ with the logistic loss. Where the second part falls below zero, the step goes ag
 flexible model can't drive it down. No text counts as confirmed to be harmless: labels of harmless texts tell the prior only
 (the toxic share of labelled texts, unless it is given).
 
-Features: a text's distinct words (ASCII signs and blanks divide, A-Z lowered) and the beginnings of 4, 6 and 8 bytes of longer words, those whose
+Features: whether a text has a word (ASCII signs and blanks divide, A-Z lowered; of a long word the first 64 bytes) or a longer word that begins with six bytes, for those whose
 share among positives lies far above or below their share among the unlabelled texts.
 
 Fitting uses at most ``positives`` confirmed texts (those of the least hash of the id), a quarter of which is kept for calibration, and all unlabelled texts: tasks count
@@ -29,7 +29,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +37,7 @@ from vecatlas.llm.linear import logit, sigmoid
 
 SIGNS = bytes(c for c in range(128) if not chr(c).isalnum())
 SPLIT = bytes.maketrans(SIGNS + bytes(range(65, 91)), b" " * len(SIGNS) + bytes(range(97, 123)))
-BEGINNINGS = (4, 6, 8)
+LONGEST, BEGINNING = 64, 6  # bytes
 CHUNK, STEPS, BINS = 4096, 100, 50  # texts that a task learns from at a time, steps on them, bins for each unit of a score
 
 
@@ -46,38 +45,33 @@ def words_of(text: bytes) -> set[bytes]:
     return set(text.translate(SPLIT).split())
 
 
-def hashes_of(word: bytes) -> list[int]:
-    """The 63-bit names of a word's features."""
-    names = [word, *(b"%d " % n + word[:n] for n in BEGINNINGS if n < len(word))]
-    return [xxhash.xxh3_64_intdigest(n) >> 1 for n in names]
+def features_of(text: bytes) -> set[bytes]:
+    """Words, and beginnings of longer ones with a blank behind them."""
+    words = words_of(text)
+    return {w[:LONGEST] for w in words} | {w[:BEGINNING] + b" " for w in words if len(w) > BEGINNING}
 
 
-class Lookup(dict):
-    """What a word's features are known for, remembered while a task sees it again; emptied when it has grown."""
+class Lookup:
+    """What known features a text has."""
 
-    MOST = 300_000
-
-    def __init__(self, known: dict[int, object]):
-        super().__init__()
-        self.known = known
-
-    def __missing__(self, word: bytes) -> list:
-        if len(self) >= self.MOST:
-            self.clear()
-        get = self.known.get
-        found = self[word] = [v for v in map(get, hashes_of(word)) if v is not None]
-        return found
+    def __init__(self, known: dict[bytes, object]):
+        self.known, self.words = known, {k for k in known if not k.endswith(b" ")}
+        self.beginnings = {k[:-1]: k for k in known if k.endswith(b" ")}
 
     def of(self, text: bytes) -> list:
-        """Of all distinct words of a text, one after the other."""
-        return [v for w in words_of(text) for v in self[w]]
+        words = words_of(text)
+        found = [self.known[w] for w in words & self.words]
+        begun = {w[:BEGINNING] for w in words if len(w) > BEGINNING} & self.beginnings.keys()
+        if any(len(w) > LONGEST for w in words):
+            found += [self.known[w] for w in ({w[:LONGEST] for w in words if len(w) > LONGEST} & self.words) - words]
+        return found + [self.known[self.beginnings[b]] for b in begun]
 
 
 @dataclass
 class Model:
-    """weights by hashed feature, bias, and the calibration."""
+    """weights by feature, bias, and the calibration."""
 
-    weights: dict[int, float]
+    weights: dict[bytes, float]
     bias: float
     slope: float
     offset: float
@@ -155,31 +149,30 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, prior: float | Non
     def named(batches):
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                got = np.array(list({h for w in words_of(t) for h in hashes_of(w)}), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(got)], ["feature"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(features_of(t)), pa.binary())], ["feature"])
 
-    frequent = drawn.select("text").mapInArrow(named, "feature long").groupBy("feature").count().where("count >= 3").orderBy(F.desc("count"), "feature").limit(candidates).toArrow()
-    hashed, in_pos = frequent["feature"].to_pylist(), frequent["count"].to_numpy().astype(float)
-    wanted = spark.sparkContext.broadcast({h: i for i, h in enumerate(hashed)})
+    frequent = drawn.select("text").mapInArrow(named, "feature binary").groupBy("feature").count().where("count >= 3").orderBy(F.desc("count"), "feature").limit(candidates).toArrow()
+    names, in_pos = frequent["feature"].to_pylist(), frequent["count"].to_numpy().astype(float)
+    wanted = spark.sparkContext.broadcast({h: i for i, h in enumerate(names)})
 
     def counted(batches):
         for batch in batches:
             found = Lookup(wanted.value)
             seen: Counter = Counter()
             for t in batch.column(0).to_pylist():
-                seen.update(set(found.of(t)))
+                seen.update(found.of(t))
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["feature", "n"])
 
     texts = source.select(F.col("text").cast("binary").alias("text"))
     rows = texts.mapInArrow(counted, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
-    in_unl = np.zeros(len(hashed))
+    in_unl = np.zeros(len(names))
     in_unl[rows["feature"].to_numpy()] = rows["n"].to_numpy()
     n_pos, n_unl = drawn.count(), source.count()
     p, u, both = in_pos / n_pos, in_unl / n_unl, (in_pos + in_unl) / (n_pos + n_unl)
     # standard errors between the shares
     lean = np.abs(p - u) / (np.sqrt(both * (1 - both) * (1 / n_pos + 1 / n_unl)) + 1e-9)
     chosen = [i for i in np.lexsort((np.arange(len(lean)), -lean)) if lean[i] > 4.5][:features]
-    place = spark.sparkContext.broadcast({hashed[i]: k for k, i in enumerate(chosen)})
+    place = spark.sparkContext.broadcast({names[i]: k for k, i in enumerate(chosen)})
     size = len(chosen)
 
     def told(batches):
@@ -229,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, prior: float | Non
 
     bins = unlabelled.mapInArrow(histogram, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
     slope, offset = calibrated(np.array([weights[f].sum() for f in back]) + bias, bins["bin"].to_numpy() / BINS, bins["n"].to_numpy().astype(float), prior)
-    return Model({hashed[i]: float(weights[k]) for k, i in enumerate(chosen)}, bias, slope, offset, prior)
+    return Model({names[i]: float(weights[k]) for k, i in enumerate(chosen)}, bias, slope, offset, prior)
 
 
 def _added(batches):
