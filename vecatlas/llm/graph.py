@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecatlas.llm.common import attach, semi, stash
+from vecatlas.llm.common import attach, frugal, semi, stash
 from vecatlas.llm.shingles import mix
 from vecatlas.operators.graph import components
 
@@ -65,7 +65,7 @@ def meetings(texts: DataFrame, labels: DataFrame, how: Overlap) -> DataFrame:
             kinds, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(n.astype(np.int64))], ["bucket", "n"])
 
-    seen = own.select("text").mapInArrow(counted, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    seen = own.select("text").mapInArrow(frugal(counted), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     order = np.zeros(1 << ORDER_BITS, dtype=np.int64)
     order[seen["bucket"].to_numpy()] = seen["n"].to_numpy()
     known = spark.sparkContext.broadcast(order)
@@ -85,7 +85,7 @@ def meetings(texts: DataFrame, labels: DataFrame, how: Overlap) -> DataFrame:
             arrays = [np.concatenate(c) if c else np.zeros(0) for c in out]
             yield pa.RecordBatch.from_arrays([pa.array(a, t) for a, t in zip(arrays, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["element", "row", "size", "place", "early"])
 
-    filed = attach(own.select("row", "text").mapInArrow(first_ones, "element long, row long, size long, place long, early boolean"), labels, "row")
+    filed = attach(own.select("row", "text").mapInArrow(frugal(first_ones), "element long, row long, size long, place long, early boolean"), labels, "row")
     filed = stash(filed, "filed")
     side = lambda k: filed.select("element", *(F.col(c).alias(f"{c}_{k}") for c in ("row", "label", "size", "place", "early")))
     left = F.least(F.col("size_a") - F.col("place_a"), F.col("size_b") - F.col("place_b"))

@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecatlas.llm.common import BROADCAST_IDS, attach, semi, stash
+from vecatlas.llm.common import BROADCAST_IDS, attach, frugal, semi, stash
 from vecatlas.llm.graph import Overlap, linked, numbered
 from vecatlas.llm.shingles import WordHashes, mix, multiset, similarity
 
 COMPONENTS, BANDS, ROWS = 128, 25, 5
 LIKE, LEAST_AGREEING = 0.8, 0.66
-AT_ONCE = 200_000  # shingles whose points are made together
+AT_ONCE = 100_000  # shingles whose points are made together
 
 
 def bag_signatures(hashes: np.ndarray, counts: np.ndarray, doc: np.ndarray, n_docs: int, m: int = COMPONENTS) -> np.ndarray:
@@ -136,7 +136,7 @@ def _agreeing(batches):
 def _alike(batches):
     """Pairs whose texts are alike; the multiset of the side that recurs is remembered."""
     words, last = WordHashes(), {}
-    for batch in batches:
+    for batch in (b.slice(at, 100) for b in batches for at in range(0, b.num_rows, 100)):
         keep = []
         for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if b not in last:
@@ -154,7 +154,7 @@ def _links(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, name: str) -> Da
     likely = stash(likely, f"{name}-likely")
     used = stash(likely.select(F.col("a").alias("row")).union(likely.select(F.col("b").alias("row"))).distinct(), "used")
     some = semi(texts, used, "row")
-    return stash(likely.join(side(some, "a", "text"), "a").join(side(some, "b", "text"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_alike, "a long, b long"), f"{name}-links")
+    return stash(likely.join(side(some, "a", "text"), "a").join(side(some, "b", "text"), "b").select("a", "b", "text_a", "text_b").mapInArrow(frugal(_alike), "a long, b long"), f"{name}-links")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
@@ -166,7 +166,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
     source = docs.select(number.alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     if not row_col:
         source = stash(source, "texts")
-    profiles = stash(source.mapInArrow(_profiles, "row long, doc_id long, one long, two long, weight long, sig binary, bands array<long>"), "profiles")
+    profiles = stash(source.mapInArrow(frugal(_profiles), "row long, doc_id long, one long, two long, weight long, sig binary, bands array<long>"), "profiles")
     same = profiles.groupBy("one", "two", "weight").agg(F.min("row").alias("rep"), F.count("*").alias("n")).where("n > 1")
     same = stash(same.select("one", "two", "weight", "rep"), "equal")  # of multisets that one row has nothing is stored
     members = stash(attach(profiles.select("row", "doc_id", "one", "two", "weight"), same, "one", "two", "weight").select("row", "doc_id", "weight", F.coalesce("rep", "row").alias("rep")), "members")

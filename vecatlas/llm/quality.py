@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecatlas.llm.common import BROADCAST_IDS, accepted, sampled, stash
+from vecatlas.llm.common import BROADCAST_IDS, accepted, frugal, sampled, stash
 from vecatlas.llm.linear import apply, logistic, platt, sigmoid
 
 PAIRS, NAMES = 256, 64
@@ -198,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, *, labe
     rows = _columns(docs, id_col, text_col, lang_col, source_col, chars_col)
     rows = rows if train is None else rows.where(train)
     columns = [F.col("text").cast("binary").alias("text"), "lang", "source", "n_chars"]
-    got = sampled(rows, judged, [("y is not null", labelled)], seed).select(*columns, "y").mapInArrow(_packed, "x binary, m binary, y int").collect()
+    got = sampled(rows, judged, [("y is not null", labelled)], seed).select(*columns, "y").mapInArrow(frugal(_packed), "x binary, m binary, y int").collect()
     x, m = _views([bytes(r["x"]) for r in got], [bytes(r["m"]) for r in got])
     y = np.array([r["y"] for r in got], dtype=np.int64)
     if len(y) < 8 or len(set(y)) < 2:
@@ -206,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, *, labe
     # labels are few beside texts: their ids leave out the labelled rows by a join of ids, whatever the number of rows
     ids = stash(judged.select("doc_id"), "labelled-ids")
     few = ids.count() <= BROADCAST_IDS
-    free = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*columns, F.monotonically_increasing_id().alias("row")).mapInArrow(_packed, "x binary, m binary, y long")
+    free = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*columns, F.monotonically_increasing_id().alias("row")).mapInArrow(frugal(_packed), "x binary, m binary, y long")
     features = stash(free.select(F.col("y").alias("row"), "x", "m"), "quality-features")
     return co_train(x, m, y, _stored(features), rounds=rounds, confident=confident)
 

@@ -28,7 +28,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Hash of a word, remembered while a task sees it again; emptied when it has grown."""
 
-    MOST = 300_000
+    MOST = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecatlas.llm.common import accepted, documents, sampled, stash
+from vecatlas.llm.common import accepted, documents, frugal, sampled, stash
 from vecatlas.llm.linear import logit, sigmoid
 
 SIGNS = bytes(c for c in range(128) if not chr(c).isalnum())
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, prior: float | Non
             for t in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array(list(features_of(t)), pa.binary())], ["feature"])
 
-    frequent = drawn.select("text").mapInArrow(named, "feature binary").groupBy("feature").count().where("count >= 3").orderBy(F.desc("count"), "feature").limit(candidates).toArrow()
+    frequent = drawn.select("text").mapInArrow(frugal(named), "feature binary").groupBy("feature").count().where("count >= 3").orderBy(F.desc("count"), "feature").limit(candidates).toArrow()
     names, in_pos = frequent["feature"].to_pylist(), frequent["count"].to_numpy().astype(float)
     wanted = spark.sparkContext.broadcast({h: i for i, h in enumerate(names)})
 
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, prior: float | Non
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["feature", "n"])
 
     texts = source.select(F.col("text").cast("binary").alias("text"))
-    rows = texts.mapInArrow(counted, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
+    rows = texts.mapInArrow(frugal(counted), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).toArrow()
     in_unl = np.zeros(len(names))
     in_unl[rows["feature"].to_numpy()] = rows["n"].to_numpy()
     n_pos, n_unl = drawn.count(), source.count()
@@ -181,10 +181,10 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, prior: float | Non
             lists = [found.of(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(pa.int32())), *batch.columns[1:]], ["features", *batch.schema.names[1:]])
 
-    got = drawn.mapInArrow(told, "features array<int>, held boolean").collect()
+    got = drawn.mapInArrow(frugal(told), "features array<int>, held boolean").collect()
     pos = [np.array(r["features"], dtype=np.int64) for r in got if not r["held"]] or [np.array(r["features"], dtype=np.int64) for r in got]
     back = [np.array(r["features"], dtype=np.int64) for r in got if r["held"]] or pos
-    unlabelled = stash(texts.mapInArrow(told, "features array<int>"), "toxicity-features")
+    unlabelled = stash(texts.mapInArrow(frugal(told), "features array<int>"), "toxicity-features")
     confirmed = spark.sparkContext.broadcast(pos)
     weights, bias = np.zeros(size), logit(np.array(prior)).item()
     for _ in range(rounds):
