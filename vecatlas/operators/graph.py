@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from vecatlas.sources.scratch import stash
 
 
+def stars(items: DataFrame, id_col: str, identities: list[str]) -> DataFrame:
+    """Links (a, b) from each item to the least item of every identity that it has; null and empty identities link nothing. A popular identity is as many links as items."""
+    out = None
+    for c in identities:
+        known = items.select(F.col(id_col).alias("a"), F.nullif(F.col(c), F.lit("")).alias("key")).where("key IS NOT NULL")
+        links = known.join(known.groupBy("key").agg(F.min("a").alias("b")), "key").select("a", "b")
+        out = links if out is None else out.unionByName(links)
+    return out
+
+
 def components(links: DataFrame) -> DataFrame:
     """(v, label) for every vertex of the links (a, b), both long; the label is the least vertex of its component.
 

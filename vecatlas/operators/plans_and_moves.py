@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecatlas.functions.paths import below_root, parent, root
 from vecatlas.functions.vectors import dot, norm
+from vecatlas.operators.layout import project
 from vecatlas.operators.scoring import ancestor_centroids
 
 # A folder's anchor needs four rows, and inherits above this cosine.
@@ -35,19 +38,29 @@ def folder_directions(rows: DataFrame, least: int = 2) -> DataFrame:
     c = ancestor_centroids(rows).where(F.col("n") >= least).withColumn("up", parent("node"))
     up = c.select(F.col("node").alias("up"), F.col("centroid").alias("pc"))
     d = c.join(up, "up").withColumn("d", F.expr("zip_with(centroid, pc, (x, y) -> x - y)")).withColumn("len", norm("d")).where("len > 1e-6")
-    return d.select("node", "n", (F.size(F.split("node", "/")) - 1).alias("exponent"), F.expr("transform(d, x -> x / len)").alias("direction"))
+    return d.select("node", "n", (F.size(F.split("node", "/")) - 1).alias("exponent"), F.expr("transform(d, x -> x / greatest(len, 1e-6D))").alias("direction"))
 
 
 def reweight(rows: DataFrame, directions: DataFrame, boost: float, depth_boost: float) -> DataFrame:
-    """vec + sum over directions of depth_boost^exponent boost (vec . t) t. Directions are as many as folders and are collected as literals when at most 2,000."""
-    from vecatlas.operators.search import literal
-
-    ts = directions.select("exponent", "direction").limit(2001).collect()
-    if len(ts) > 2000:
-        raise ValueError("too many directions")
-    grid = f"array({','.join(f'named_struct({chr(39)}w{chr(39)}, {float(depth_boost ** t[0] * boost)!r}D, {chr(39)}t{chr(39)}, {literal(t[1])})' for t in ts)})"
-    step = "zip_with(acc, d.t, (x, y) -> x + y * d.w * aggregate(zip_with(vec, d.t, (p, q) -> CAST(p AS DOUBLE) * q), 0D, (s, v) -> s + v))"
-    return rows.withColumn("vec", F.expr(f"aggregate({grid}, transform(vec, x -> CAST(x AS DOUBLE)), (acc, d) -> {step})")) if ts else rows
+    """vec + sum over directions of w (vec . t) t with w = depth_boost^exponent boost, that is vec (I + sum w t t'): tasks add up the matrix, whatever the number of directions, and it is broadcast."""
+    d = directions.select((F.lit(float(boost)) * F.pow(F.lit(float(depth_boost)), "exponent")).alias("w"), "direction")
+
+    def add(batches):
+        total = None
+        for b in batches:
+            if b.num_rows:
+                t = np.array(b.column(1).to_pylist(), dtype=np.float64)
+                part = (t * np.array(b.column(0).to_pylist())[:, None]).T @ t
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["m"])
+
+    cells = d.mapInArrow(add, "m array<double>").select(F.posexplode("m").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
+    if not cells:
+        return rows
+    size = round(len(cells) ** 0.5)
+    moved = project(rows, np.zeros(size), np.eye(size) + np.array([c["x"] for c in cells]).reshape(size, size), "__moved")
+    return moved.withColumn("vec", F.col("__moved")).drop("__moved")
 
 
 def sort_plan(predictions: DataFrame, styles: DataFrame, *, fallback: bool = True) -> DataFrame:

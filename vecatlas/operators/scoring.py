@@ -118,3 +118,53 @@ def largest_remainder(df: DataFrame, budget: int, fraction: str, order: str) ->
     left = budget - total["n"] - share.agg(F.sum("__f")).first()[0]
     ranked = share.withColumn("__r", F.row_number().over(Window.orderBy(F.desc(F.round(F.col("__s") - F.col("__f"), 9)), order)))
     return ranked.withColumn("allocated", (1 + F.col("__f") + (F.col("__r") <= left).cast("int")).cast("long")).drop("__w", "__s", "__f", "__r")
+
+
+def concentration(ranked: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row: for artist and release, the mean share of neighbours that have the query's own, over queries where it is known; how many these are, and which share of all."""
+    meta = rows.select("id", *(F.nullif(F.col(c), F.lit("")).alias(c) for c in ("artist", "release")))
+    q, o = meta.alias("q"), meta.toDF("other", "artist", "release").alias("o")
+    both = ranked.select("id", "other").join(q, "id").join(o, "other")
+    same = lambda c: F.avg(F.coalesce(F.col(f"q.{c}") == F.col(f"o.{c}"), F.lit(False)).cast("int"))
+    per = both.groupBy("id").agg(*(f for c in ("artist", "release") for f in (same(c).alias(f"s_{c}"), (F.count(f"q.{c}") > 0).alias(f"k_{c}"))))
+    told = lambda c: (F.round(F.avg(F.when(F.col(f"k_{c}"), F.col(f"s_{c}"))), 6).alias(f"{c}_share"), F.count_if(F.col(f"k_{c}")).alias(f"{c}_queries"), F.round(F.count_if(F.col(f"k_{c}")) / F.count("*"), 6).alias(f"{c}_coverage"))
+    return per.agg(*told("artist"), *told("release"))
+
+
+def compared(a: DataFrame, b: DataFrame, label: str = "class") -> DataFrame:
+    """(class, side, cosine, mean_cosine): the classes of two models by who has them, the cosine of shared classes' centroids, and its mean on every row. Models of other widths give no cosine."""
+    both = a.select(label, F.col("centroid").alias("x")).join(b.select(label, F.col("centroid").alias("y")), label, "full")
+    side = F.when(F.col("y").isNull(), "left").when(F.col("x").isNull(), "right").otherwise("both")
+    out = both.select(label, side.alias("side"), F.when(F.size("x") == F.size("y"), F.round(dot("x", "y"), 6)).alias("cosine"))
+    mean = out.agg(F.round(F.avg("cosine"), 6)).first()[0]
+    return out.withColumn("mean_cosine", F.lit(mean).cast("double"))
+
+
+def key_groups(rows: DataFrame, column: str, reach: int) -> DataFrame:
+    """rows with centre: again and again the most common fifth left (the lowest of equals) takes all that are left within so many steps of the wheel. Only 12 counts reach the driver."""
+    left = {r[column]: r["count"] for r in rows.where(F.col(column).isNotNull()).groupBy(column).count().collect()}
+    centre: dict[int, int] = {}
+    while left:
+        c = min(left, key=lambda k: (-left[k], k))
+        for k in [k for k in left if min((k - c) % 12, (c - k) % 12) <= reach]:
+            centre[k] = c
+            del left[k]
+    if not centre:
+        return rows.withColumn("centre", F.lit(None).cast("int"))
+    return rows.withColumn("centre", F.create_map(*(F.lit(x) for kv in sorted(centre.items()) for x in kv))[F.col(column)])
+
+
+def balanced(rows: DataFrame, limit: int, dev: float = 0.7, seed: int = 11) -> DataFrame:
+    """(id, label, split, turn) of at most limit rows: in each turn every label that has rows left gives one, from the split that its share so far asks for, or the other if that is used up.
+
+    The turn of a label's i-th row of a split follows from i, the share and the two splits' sizes, so it is a column and needs no loop over rows.
+    """
+    w = Window.partitionBy("label", "split").orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    sizes = rows.groupBy("label").agg(F.count_if(F.col("split") == "dev").alias("n_dev"), F.count("*").alias("n"))
+    at = rows.withColumn("i", F.row_number().over(w)).where(F.col("i") <= limit).join(sizes, "label")
+    # as long as both splits last, dev's i-th row comes in turn ceil((i - 1) / dev) + 1 and the other's i-th in floor(i / (1 - dev)); one used up leaves the rest of the turns to the other
+    n_out = F.col("n") - F.col("n_dev")
+    free = F.when(F.col("split") == "dev", F.ceil((F.col("i") - 1) / dev - 1e-9) + 1).otherwise(F.floor(F.col("i") / (1 - dev) + 1e-9))
+    crowd = F.when(F.col("split") == "dev", F.col("i") + n_out).otherwise(F.col("i") + F.col("n_dev"))
+    turn = F.least(free, crowd)
+    return at.select("id", "label", "split", turn.cast("int").alias("turn")).orderBy("turn", F.xxhash64("label", F.lit(seed)), "label", "id").limit(limit)

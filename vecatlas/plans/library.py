@@ -79,11 +79,11 @@ def s10_track_payload(t):
     return both.select("id", F.coalesce("has", F.lit(False)).alias("has_features"), F.round(60 + F.col("tempo_norm") * 190, 4).alias("bpm"), F.round("energy", 6).alias("energy"), F.round(key, 6).alias("key"))
 
 
-@book.query("SELECT fingerprint, len(vec) AS n, round(list_sum(vec)::DOUBLE, 4) AS total FROM features WHERE source = 'rhythm' AND version = 2 AND fingerprint IN (SELECT fingerprint FROM items WHERE id < 100)")
+@book.query("SELECT fingerprint, len(vec) AS n, round(list_sum(vec)::DOUBLE, 4) AS total FROM features WHERE source = 'rhythm' AND version = 2 AND fingerprint IN (SELECT fingerprint FROM items WHERE fingerprint IS NOT NULL)")
 def s12_feature_read(t):
     from vecatlas.operators.gather import read_features
 
-    vecs = read_features(t.features, "rhythm").join(t.items.where("id < 100").select("fingerprint"), "fingerprint", "left_semi")
+    vecs = read_features(t.features, "rhythm").join(t.items.select("fingerprint"), "fingerprint", "left_semi")
     return vecs.select("fingerprint", F.size("vec").cast("long").alias("n"), F.round(F.expr("aggregate(vec, CAST(0 AS DOUBLE), (s, x) -> s + x)"), 4).alias("total"))
 
 
