@@ -162,9 +162,9 @@ def balanced(rows: DataFrame, limit: int, dev: float = 0.7, seed: int = 11) -> D
     w = Window.partitionBy("label", "split").orderBy(F.xxhash64("id", F.lit(seed)), "id")
     sizes = rows.groupBy("label").agg(F.count_if(F.col("split") == "dev").alias("n_dev"), F.count("*").alias("n"))
     at = rows.withColumn("i", F.row_number().over(w)).where(F.col("i") <= limit).join(sizes, "label")
-    # as long as both splits last, dev's i-th row comes in turn ceil((i - 1) / dev) + 1 and the other's i-th in floor(i / (1 - dev)); one used up leaves the rest of the turns to the other
+    # as long as both splits last, dev's i-th row comes in turn floor((i - 1) / dev) + 1 and the other's i-th in ceil(i / (1 - dev)); one used up leaves the rest of the turns to the other
     n_out = F.col("n") - F.col("n_dev")
-    free = F.when(F.col("split") == "dev", F.ceil((F.col("i") - 1) / dev - 1e-9) + 1).otherwise(F.floor(F.col("i") / (1 - dev) + 1e-9))
+    free = F.when(F.col("split") == "dev", F.floor((F.col("i") - 1) / dev + 1e-9) + 1).otherwise(F.ceil(F.col("i") / (1 - dev) - 1e-9))
     crowd = F.when(F.col("split") == "dev", F.col("i") + n_out).otherwise(F.col("i") + F.col("n_dev"))
     turn = F.least(free, crowd)
     return at.select("id", "label", "split", turn.cast("int").alias("turn")).orderBy("turn", F.xxhash64("label", F.lit(seed)), "label", "id").limit(limit)
