@@ -55,6 +55,12 @@ def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
     return each
 
 
+def in_small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Arrow batches of this session hold so many rows, where its user has left Spark's default: a batch stands in the JVM and in a worker, there as lists too."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def fold(id_col: str, parts: int):
     """The fold number that the contracts use: crc32 of the id written as text, modulo parts; null ids count as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % parts

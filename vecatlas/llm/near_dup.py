@@ -150,7 +150,7 @@ def _alike(batches):
 def _links(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) that are near duplicates."""
     side = lambda df, k, v: df.select(F.col("row").alias(k), F.col(v).alias(f"{v}_{k}"))
-    likely = pairs.join(side(sigs, "a", "sig"), "a").join(side(sigs, "b", "sig"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agreeing, "a long, b long")
+    likely = pairs.join(side(sigs, "a", "sig"), "a").join(side(sigs, "b", "sig"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(frugal(_agreeing), "a long, b long")
     likely = stash(likely, f"{name}-likely")
     used = stash(likely.select(F.col("a").alias("row")).union(likely.select(F.col("b").alias("row"))).distinct(), "used")
     some = semi(texts, used, "row")

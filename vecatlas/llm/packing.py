@@ -20,11 +20,12 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from vecatlas.llm.common import documents
+from vecatlas.llm.common import documents, frugal
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
 REMEMBERED = 600_000  # chunks, and pieces of chunks, that a task remembers
@@ -125,7 +126,7 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = 2048, end_id: int
         encode = Encoder(tokenizer_path)
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo, hi in _few([len(t) for t in texts.to_pylist()]):
+            for lo, hi in _few(pc.binary_length(texts).to_pylist()):
                 out: tuple[list, ...] = ([], [], [], [], [])
                 for name, ids in zip(names[lo:hi], encode(texts[lo:hi].to_pylist()), strict=True):
                     ids += end
@@ -136,7 +137,7 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = 2048, end_id: int
                         at += length
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64()), strict=True)], ["doc_id", "start", "length", "ids", "doc_tokens"])
 
-    pieces = documents(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, SCHEMA)
+    pieces = documents(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(frugal(run), SCHEMA)
     return pieces.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).withColumn("bucket", F.log2("length").cast("int"))
 
 

@@ -175,7 +175,7 @@ def _stored(features: DataFrame) -> Unlabelled:
                 free = np.array([r not in named for r in batch.column(0).to_pylist()], dtype=bool)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z[0]), pa.array(z[1])], ["row", "z0", "z1"]).filter(pa.array(free))
 
-        scores = stash(features.mapInArrow(judged, "row long, z0 double, z1 double"), "view-scores")
+        scores = stash(features.mapInArrow(frugal(judged), "row long, z0 double, z1 double"), "view-scores")
         ids, target, first = [], [], 0
         for v in ("z0", "z1"):
             low = scores.where(F.col(v) < 0).orderBy(v, "row").limit(bad).select("row").collect()

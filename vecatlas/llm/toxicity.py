@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, prior: float | Non
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([np.append(start[0], start[1]).tobytes()], pa.binary()), pa.array([float(seen)])], ["flat", "weight"])
 
-        parts = unlabelled.mapInArrow(local, "flat binary, weight double").repartition(8).mapInArrow(_added, "flat binary, weight double").collect()
+        parts = unlabelled.mapInArrow(frugal(local), "flat binary, weight double").repartition(8).mapInArrow(_added, "flat binary, weight double").collect()
         total = sum(np.frombuffer(r["flat"]) for r in parts) / sum(r["weight"] for r in parts)
         weights, bias = total[:-1].copy(), float(total[-1])
 
@@ -220,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, prior: float | Non
             bins, n = np.unique(np.round(np.clip(z, -100, 100) * BINS).astype(np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(bins), pa.array(n.astype(np.int64))], ["bin", "n"])
 
-    bins = unlabelled.mapInArrow(histogram, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    bins = unlabelled.mapInArrow(frugal(histogram), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
     slope, offset = calibrated(np.array([weights[f].sum() for f in back]) + bias, bins["bin"].to_numpy() / BINS, bins["n"].to_numpy().astype(float), prior)
     return Model({names[i]: float(weights[k]) for k, i in enumerate(chosen)}, bias, slope, offset, prior)
 
