@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecatlas.operators.search import literal
@@ -108,6 +108,34 @@ def landmarks(df: DataFrame, m: int = 128, seed: int = 1) -> DataFrame:
     return near.groupBy("c").agg(F.min(F.struct("d", "id", "vec")).alias("b")).select("b.id", "b.vec")
 
 
+def representatives(df: DataFrame, by: str, most: int = 128) -> DataFrame:
+    """(id): the least id of each class of by, of the first so many classes; a row without a class represents nothing."""
+    return df.where(F.col(by).isNotNull()).groupBy(by).agg(F.min("id").alias("id")).orderBy(by).limit(most).select("id")
+
+
+def among(df: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows of df whose ids are marks, which are a few hundred at most."""
+    return df.join(F.broadcast(marks), "id", "left_semi")
+
+
+def broad_spearman(high: DataFrame, low: DataFrame, pairs: int = 2048, seed: int = 0) -> DataFrame:
+    """(rho): rank correlation of distances between rows in two spaces, high (id, vec) and low (id, x, y); null for less than three pairs or a constant side.
+
+    Rows of both spaces are drawn by the least hash of seed and id, at most so many, and each is paired with the next in that order, the last
+    with the first; pairs at no distance in the high space are left out. What is ranked in one place is thus of bounded size. Ties have their average rank.
+    """
+    drawn = high.select("id", "vec").join(low.select("id", "x", "y"), "id").withColumn("h", F.sha1(F.concat_ws("-", F.lit(seed), F.col("id")))).orderBy("h", "id").limit(pairs)
+    order, whole = Window.orderBy("h", "id"), Window.orderBy("h", "id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    here = F.struct("id", "vec", "x", "y")
+    both = drawn.select(here.alias("a"), F.coalesce(F.lead(here).over(order), F.first(here).over(whole)).alias("b")).where("a.id <> b.id")
+    far = F.expr("sqrt(aggregate(zip_with(a.vec, b.vec, (p, q) -> (CAST(p AS DOUBLE) - q) * (CAST(p AS DOUBLE) - q)), 0D, (s, v) -> s + v))")
+    near = F.expr("sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))")
+    apart = both.select(F.round(far, 9).alias("dh"), F.round(near, 9).alias("dl")).where("dh > 0")
+    rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2.0
+    told = (F.count("*") >= 3) & (F.stddev_pop("rh") > 0) & (F.stddev_pop("rl") > 0)
+    return apart.select(rank("dh").alias("rh"), rank("dl").alias("rl")).agg(F.when(told, F.round(F.corr("rh", "rl"), 6)).alias("rho"))
+
+
 def landmark_distances(df: DataFrame, marks: DataFrame) -> DataFrame:
     """df with delta = squared distances to the landmarks (at most a few hundred, by id)."""
     rows = [r["vec"] for r in marks.orderBy("id").collect()]

@@ -14,7 +14,7 @@ from vecatlas.operators import search as s
 from vecatlas.operators import store as st
 from vecatlas.operators.graph import components
 from vecatlas.plans.book import Book
-from vecatlas.plans.layout import vectors
+from vecatlas.plans.layout import marked, vectors
 from vecatlas.plans.scoring import _NEAR, rows
 from vecatlas.plans.search import PLAIN
 
@@ -68,11 +68,11 @@ def a16_recipe_comparison(t):
 
 
 @book.query("""WITH q AS (SELECT embedding[1:16] AS q FROM embeddings WHERE vec_id = 7), sc AS (SELECT fingerprint, max(round(list_dot_product(vec::DOUBLE[], q::DOUBLE[]) / greatest(sqrt(list_dot_product(vec::DOUBLE[], vec::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[])), 1e-12), 6)) AS score FROM segments, q WHERE pos IS NOT NULL GROUP BY fingerprint),
-l AS (SELECT * FROM sc WHERE fingerprint IN (SELECT concat('fp', CAST(vec_id AS VARCHAR)) FROM embeddings WHERE vec_id < 128)), m AS (SELECT min(score) AS lo, max(score) AS hi FROM l)
+l AS (SELECT * FROM sc WHERE fingerprint IN (SELECT concat('fp', CAST(min(vec_id) AS VARCHAR)) FROM embeddings WHERE label IS NOT NULL GROUP BY label)), m AS (SELECT min(score) AS lo, max(score) AS hi FROM l)
 SELECT fingerprint, score, round(0.05 + 0.35 * ((score - lo) / (hi - lo)) * ((score - lo) / (hi - lo)), 5) AS strength FROM l, m""")
 def t3_search_field(t):
     q = t.embeddings.where("vec_id = 7").select(F.slice("embedding", 1, 16).alias("q")).first()["q"]
-    some = t.embeddings.where("vec_id < 128").select(F.concat(F.lit("fp"), F.col("vec_id").cast("string")).alias("fingerprint"))
+    some = marked(t).select(F.concat(F.lit("fp"), F.col("id").cast("string")).alias("fingerprint"))
     scored = s.best_segments(t.segments.join(F.broadcast(some), "fingerprint", "left_semi"), q, 128).where("score IS NOT NULL")
     lo, hi = scored.agg(F.min("score"), F.max("score")).first()
     w = (F.col("score") - F.lit(lo)) / F.lit((hi - lo) or 1.0)

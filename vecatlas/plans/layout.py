@@ -19,6 +19,16 @@ def vectors(t):
     return t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
 
+def marked(t):
+    """(id): a representative of each label, as a landmark."""
+    return lay.representatives(t.embeddings.select(F.col("vec_id").alias("id"), "label"), "label")
+
+
+def named(ids):
+    """The landmark's id by its place ``at`` among the landmarks."""
+    return F.element_at(F.array(*(F.lit(r["id"]).cast("long") for r in ids.orderBy("id").collect())), F.col("at") + 1)
+
+
 @book.query("SELECT a.id, round(a.x, 6) AS x, round(b.x, 6) AS bx FROM layout_a a JOIN layout_b b USING (id)")
 def j9_matched_layouts(t):
     return t.layout_a.join(t.layout_b.select("id", F.col("x").alias("bx")), "id").select("id", F.round("x", 6).alias("x"), F.round("bx", 6).alias("bx"))
@@ -46,19 +56,21 @@ def a33_p80_disc(t):
     return lay.p80_disc(t.layout_a)
 
 
-_LM = "l AS (SELECT vec_id AS lid, unnest(embedding)::DOUBLE AS y, generate_subscripts(embedding, 1) AS k FROM embeddings WHERE vec_id < 16), x AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings), dl AS (SELECT id, lid, sum((x - y) * (x - y)) AS d FROM x JOIN l USING (k) GROUP BY id, lid)"
+_LM = "l AS (SELECT vec_id AS lid, unnest(embedding)::DOUBLE AS y, generate_subscripts(embedding, 1) AS k FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings WHERE label IS NOT NULL GROUP BY label)), x AS (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings), dl AS (SELECT id, lid, sum((x - y) * (x - y)) AS d FROM x JOIN l USING (k) GROUP BY id, lid)"
 
 
 @book.query(f"WITH {_LM} SELECT id, lid, round(d, 5) AS delta FROM dl")
 def j12_landmark_distances(t):
-    out = lay.landmark_distances(vectors(t), vectors(t).where("id < 16"))
-    return out.select("id", F.posexplode("delta").alias("lid", "d")).select("id", F.col("lid").cast("long").alias("lid"), F.round("d", 5).alias("delta"))
+    ids = marked(t)
+    out = lay.landmark_distances(vectors(t), lay.among(vectors(t), ids))
+    return out.select("id", F.posexplode("delta").alias("at", "d")).select("id", named(ids).alias("lid"), F.round("d", 5).alias("delta"))
 
 
 @book.query(f"WITH {_LM} SELECT id, lid, round(exp(-d / 0.5) / sum(exp(-d / 0.5)) OVER (PARTITION BY id), 5) AS affinity FROM dl")
 def m7_landmark_affinities(t):
-    out = lay.affinities(lay.landmark_distances(vectors(t), vectors(t).where("id < 16")), 0.5)
-    return out.select("id", F.posexplode("affinity").alias("lid", "a")).select("id", F.col("lid").cast("long").alias("lid"), F.round("a", 5).alias("affinity"))
+    ids = marked(t)
+    out = lay.affinities(lay.landmark_distances(vectors(t), lay.among(vectors(t), ids)), 0.5)
+    return out.select("id", F.posexplode("affinity").alias("at", "a")).select("id", named(ids).alias("lid"), F.round("a", 5).alias("affinity"))
 
 
 @book.query()

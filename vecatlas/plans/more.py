@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vecatlas.functions.vectors import is_valid
+from vecatlas.operators import layout as lay
 from vecatlas.operators import plans_and_moves as pm
 from vecatlas.operators import store as st
 from vecatlas.operators.filters import class_labels
 from vecatlas.plans.book import Book
+from vecatlas.plans.layout import marked, vectors
 from vecatlas.plans.scoring import rows
 
 book = Book()
@@ -42,10 +43,10 @@ def s9_library_signature(t):
     return st.signature(t.items, ["path", "id"])
 
 
-@book.query("""WITH l AS (SELECT id AS lid, x AS lx, y AS ly FROM layout_a WHERE id < 10), d AS (SELECT a.id, lid, row_number() OVER (PARTITION BY a.id ORDER BY round((a.x - lx) * (a.x - lx) + (a.y - ly) * (a.y - ly), 9), lid) AS rn FROM layout_a a, l)
+@book.query("""WITH l AS (SELECT id AS lid, x AS lx, y AS ly FROM layout_a WHERE id IN (SELECT min(vec_id) FROM embeddings WHERE label IS NOT NULL GROUP BY label)), d AS (SELECT a.id, lid, row_number() OVER (PARTITION BY a.id ORDER BY round((a.x - lx) * (a.x - lx) + (a.y - ly) * (a.y - ly), 9), lid) AS rn FROM layout_a a, l)
 SELECT id, lid FROM d WHERE rn = 1""")
 def j13_nearest_landmark(t):
-    marks = t.layout_a.where("id < 10").collect()
+    marks = lay.among(t.layout_a, marked(t)).orderBy("id").collect()
     each = F.array(*(F.struct(F.round((F.col("x") - m["x"]) * (F.col("x") - m["x"]) + (F.col("y") - m["y"]) * (F.col("y") - m["y"]), 9).alias("d"), F.lit(m["id"]).alias("lid")) for m in marks))
     return t.layout_a.select("id", F.array_min(each)["lid"].alias("lid"))
 
@@ -71,12 +72,13 @@ def a7_folder_anchors(t):
     return pm.folder_anchors(rows(t), ["ext"])
 
 
-@book.query("WITH p AS (SELECT a.id, rank() OVER (ORDER BY a.x) + (count(*) OVER (PARTITION BY a.x) - 1) / 2.0 AS ra, rank() OVER (ORDER BY b.y) + (count(*) OVER (PARTITION BY b.y) - 1) / 2.0 AS rb FROM layout_a a JOIN layout_b b USING (id)) SELECT round(corr(ra, rb), 6) AS rho FROM p")
+@book.query("""WITH d AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec, x, y, sha1(concat_ws('-', '0', CAST(vec_id AS VARCHAR))) AS h FROM embeddings JOIN layout_a a ON a.id = vec_id ORDER BY h, vec_id LIMIT 2048),
+n AS (SELECT id, coalesce(lead(id) OVER (ORDER BY h, id), first_value(id) OVER (ORDER BY h, id)) AS other FROM d),
+p AS (SELECT round(list_distance(a.vec, b.vec), 9) AS dh, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 9) AS dl FROM n JOIN d a ON a.id = n.id JOIN d b ON b.id = n.other WHERE n.id <> n.other),
+r AS (SELECT rank() OVER (ORDER BY dh) + (count(*) OVER (PARTITION BY dh) - 1) / 2.0 AS rh, rank() OVER (ORDER BY dl) + (count(*) OVER (PARTITION BY dl) - 1) / 2.0 AS rl FROM p WHERE dh > 0)
+SELECT CASE WHEN count(*) >= 3 AND stddev_pop(rh) > 0 AND stddev_pop(rl) > 0 THEN round(corr(rh, rl), 6) END AS rho FROM r""")
 def a18_spearman(t):
-    # a seeded sample of bounded size in use; here the few hundred rows of one layout
-    both = t.layout_a.select("id", "x").join(t.layout_b.select("id", "y"), "id")
-    rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2.0
-    return both.select(rank("x").alias("ra"), rank("y").alias("rb")).agg(F.round(F.corr("ra", "rb"), 6).alias("rho"))
+    return lay.broad_spearman(vectors(t), t.layout_a)
 
 
 @book.query("SELECT source, round(median(list_sum(vec)::DOUBLE), 4) AS median, round(min(list_sum(vec)::DOUBLE), 4) AS least, round(max(list_sum(vec)::DOUBLE), 4) AS most FROM features GROUP BY source")
@@ -91,9 +93,9 @@ def a24_mining_vector(t):
     return dims.where("d = 0").select("fingerprint", F.round("m", 6).alias("first"), "n")
 
 
-@book.query("SELECT round(greatest(quantile_cont(d, 0.5), 1e-6), 6) AS tau FROM (SELECT round((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), 9) AS d FROM layout_a a, layout_a b WHERE b.id < 10)")
+@book.query("SELECT round(greatest(quantile_cont(d, 0.5), 1e-6), 6) AS tau FROM (SELECT round((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), 9) AS d FROM layout_a a, layout_a b WHERE b.id IN (SELECT min(vec_id) FROM embeddings WHERE label IS NOT NULL GROUP BY label))")
 def a26_bandwidth(t):
-    marks = t.layout_a.where("id < 10").collect()
+    marks = lay.among(t.layout_a, marked(t)).orderBy("id").collect()
     each = F.explode(F.array(*(F.round((F.col("x") - m["x"]) * (F.col("x") - m["x"]) + (F.col("y") - m["y"]) * (F.col("y") - m["y"]), 9) for m in marks)))
     return t.layout_a.select(each.alias("d")).agg(F.round(F.greatest(F.percentile("d", 0.5), F.lit(1e-6)), 6).alias("tau"))
 
