@@ -141,3 +141,30 @@ def test_signature_ignores_order(spark):
     a = spark.createDataFrame([(i, f"p{i}") for i in range(50)], "m long, path string")
     assert store.signature(a, ["path", "m"]).first() == store.signature(a.orderBy(F.desc("m")).repartition(3), ["path", "m"]).first()
     assert store.signature(a, ["path", "m"]).first() != store.signature(a.where("m > 0"), ["path", "m"]).first()
+
+
+def test_bridges_are_a_maximum_spanning_tree(spark):
+    rng = np.random.default_rng(3)
+    v = np.concatenate([rng.normal(size=(6, 4)) * 0.1 + rng.normal(size=4) for _ in range(5)] + [rng.normal(size=(2, 4))])
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vec array<double>")
+    inner = [(6 * c + i, 6 * c + i + 1, 1.0) for c in range(5) for i in range(5)]  # five chains and two rows without an edge
+    edges = spark.createDataFrame(inner, "src long, dst long, weight double")
+    got = {(r["src"], r["dst"]): r["weight"] for r in graph.bridged(edges, rows).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    of, tree = [min(i // 6, 5) if i < 31 else 6 for i in range(32)], {}
+    for score, i, j in sorted(((-round(float(u[i] @ u[j]), 6), i, j) for i in range(32) for j in range(i + 1, 32))):
+        if of[i] != of[j]:
+            tree[i, j], of = max(0.0, -score), [of[i] if c == of[j] else c for c in of]
+    assert {k: w for k, w in got.items() if k not in {(a, b) for a, b, _ in inner}} == pytest.approx(tree) and len(tree) == 6
+    assert graph.bridged(edges, rows, most=6).count() == len(inner)
+
+
+def test_rank_correlation_of_distances(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 2))
+    high = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)], "id long, vec array<double>")
+    low = spark.createDataFrame([(i, float(3 * a[0]), float(3 * a[1])) for i, a in enumerate(x)], "id long, x double, y double")
+    one = spark.createDataFrame([(i, 0.0, 0.0) for i in range(40)], "id long, x double, y double")
+    assert layout.broad_spearman(high, low).first()["rho"] == 1.0
+    assert layout.broad_spearman(high, one).first()["rho"] is None and layout.broad_spearman(high.limit(2), low).first()["rho"] is None
+    assert layout.broad_spearman(high.limit(0), low).first()["rho"] is None

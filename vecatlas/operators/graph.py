@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecatlas.operators.search import knn
 from vecatlas.sources.scratch import stash
 
 
@@ -36,6 +37,25 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def bridged(edges: DataFrame, rows: DataFrame, most: int = 512) -> DataFrame:
+    """edges (src, dst, weight) with bridges that make the graph of rows (id, vec) one: the links of a maximum spanning tree over its components, by cosine (as weight at least 0).
+
+    In a round each component takes its strongest pair with any other one (ties: least ids), which at least halves their number; all pairs of rounds together
+    are that tree. Beyond ``most`` components the edges stay as they are. A row without an edge is a component.
+    """
+    edges, first = edges.select("src", "dst", "weight"), True
+    while True:
+        known = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).withColumnRenamed("v", "id")
+        parted = stash(rows.select("id", "vec").join(known, "id", "left").select("id", "vec", F.coalesce("label", "id").alias("label")), "parted")
+        parts = parted.select("label").distinct().count()
+        if parts < 2 or (first and parts > most):
+            return edges
+        near = knn(parted, 1, label="label").join(parted.select("id", "label"), "id")
+        pair = F.struct("score", (-F.least("id", "other")).alias("src"), (-F.greatest("id", "other")).alias("dst"))
+        best = near.groupBy("label").agg(F.max(pair).alias("p")).select((-F.col("p.src")).alias("src"), (-F.col("p.dst")).alias("dst"), F.greatest("p.score", F.lit(0.0)).alias("weight"))
+        edges, first = stash(edges.unionByName(best.distinct()), "bridged"), False
+
+
 def modularity(edges: DataFrame, membership: DataFrame, gamma: float = 1.0) -> DataFrame:
     """One row: sum over communities of the inner share of weight minus gamma times the squared share of degree. edges (src, dst, weight) are undirected, membership is (v, community)."""
     a, b = membership.toDF("src", "ca"), membership.toDF("dst", "cb")

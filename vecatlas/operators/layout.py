@@ -132,8 +132,8 @@ def broad_spearman(high: DataFrame, low: DataFrame, pairs: int = 2048, seed: int
     near = F.expr("sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))")
     apart = both.select(F.round(far, 9).alias("dh"), F.round(near, 9).alias("dl")).where("dh > 0")
     rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2.0
-    told = (F.count("*") >= 3) & (F.stddev_pop("rh") > 0) & (F.stddev_pop("rl") > 0)
-    return apart.select(rank("dh").alias("rh"), rank("dl").alias("rl")).agg(F.when(told, F.round(F.corr("rh", "rl"), 6)).alias("rho"))
+    rho = F.try_divide(F.covar_pop("rh", "rl"), F.stddev_pop("rh") * F.stddev_pop("rl"))  # null for a constant side
+    return apart.select(rank("dh").alias("rh"), rank("dl").alias("rl")).agg(F.when(F.count("*") >= 3, F.round(rho, 6)).alias("rho"))
 
 
 def landmark_distances(df: DataFrame, marks: DataFrame) -> DataFrame:

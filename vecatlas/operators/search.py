@@ -35,14 +35,17 @@ def best_segments(entries: DataFrame, query: list[float], limit: int) -> DataFra
     return best.select("fingerprint", "b.score", "b.pos").orderBy(F.desc_nulls_last("score"), "fingerprint").limit(limit)
 
 
+BLOCK = 8192  # rows of a block
+
+
 def knn(df: DataFrame, k: int, *, blocks: int | None = None, label: str | None = None, queries: DataFrame | None = None) -> DataFrame:
     """(id, other, score): the k most alike other rows of each row by cosine of vec; ties by least id. With label only rows of another label count.
 
     Rows are dealt to blocks by id; a matrix product joins each query block with each block, keeps k per row there, and a ranking joins these:
-    k rows per query and block are shuffled, never all pairs. queries are a subset of the rows (all by default).
+    k rows per query and block are shuffled, never all pairs. A block holds about BLOCK rows at most, however many there are. queries are a subset of the rows (all by default).
     """
     spark = df.sparkSession
-    blocks = blocks or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
+    blocks = blocks or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4, -(-df.count() // BLOCK))
     cols = ["id", "vec", *([F.col(label).alias("label")] if label else [F.lit(0).alias("label")])]
     base = unit(df, "vec", "vec").select(*cols).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     asked = base if queries is None else base.join(queries.select("id"), "id", "left_semi")

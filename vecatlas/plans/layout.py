@@ -110,6 +110,11 @@ def a22_modularity(t):
     return gr.modularity(s.edges(s.knn(vectors(t), 5)), t.embeddings.select(F.col("vec_id").alias("v"), F.col("label").alias("community")))
 
 
+@book.query()
+def m3_bridged(t):
+    return gr.bridged(s.edges(s.knn(vectors(t), 2)), vectors(t))
+
+
 @book.query()
 def m4_communities(t):
     return gr.communities(s.edges(s.knn(vectors(t), 10)))
