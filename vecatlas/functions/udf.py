@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def apply_encoder(df: DataFrame, encode: Callable[[list], list], column: str, *, batch_size: int = 256, retryable: tuple[type[Exception], ...] = (OSError, TimeoutError)) -> DataFrame:
@@ -28,3 +29,16 @@ def apply_encoder(df: DataFrame, encode: Callable[[list], list], column: str, *,
             yield pd.DataFrame({"id": f["id"], "vec": [r[0] for r in rows], "ok": [r[1] for r in rows], "error": [r[2] for r in rows], "retryable": [r[3] for r in rows]})
 
     return df.select("id", column).mapInPandas(run, "id long, vec array<double>, ok boolean, error string, retryable boolean")
+
+
+def embedded(df: DataFrame, encode: Callable[[list], list] | None, column: str, **options) -> DataFrame:
+    """(id, vec) by a user's function; without one (it is not available) and for rows on which it fails vec is null."""
+    if encode is None:
+        return df.select("id", F.lit(None).cast("array<double>").alias("vec"))
+    return apply_encoder(df, encode, column, **options).select("id", "vec")
+
+
+def payload(items: DataFrame, features: DataFrame, *, display: dict[str, Callable[[DataFrame], Column]], on: str = "fingerprint") -> DataFrame:
+    """Items with a column for each callback, which makes a column expression from items joined to their features; so the plan stays visible to the optimiser."""
+    both = items.join(features, on, "left")
+    return both.select(*items.columns, *(f(both).alias(name) for name, f in display.items()))

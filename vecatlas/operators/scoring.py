@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecatlas.functions.paths import ancestors
 from vecatlas.functions.vectors import dot, unit
 from vecatlas.operators.search import knn
+from vecatlas.sources.scratch import stash
 
 
 def related(a: str, b: str):
@@ -57,12 +60,44 @@ def centroids(rows: DataFrame, label: str = "class") -> DataFrame:
     return unit(means, "c", "centroid").drop("c")
 
 
+CLASSES = 4096  # centroids of a block
+
+
 def assign(rows: DataFrame, cents: DataFrame, label: str = "class") -> DataFrame:
-    """rows with (pred, sim): the most alike centroid, the least class on ties. cents is a row per class."""
-    u = unit(rows, "vec", "u")
-    sims = u.select("id", "u").join(F.broadcast(cents.select(F.col(label).alias("pred"), "centroid")), F.size("u") == F.size("centroid")).select("id", "pred", F.round(dot("u", "centroid"), 6).alias("sim"))
-    best = sims.groupBy("id").agg(F.max(F.struct("sim", (-F.col("pred")).alias("back"))).alias("b")).select("id", (-F.col("b.back")).alias("pred"), F.col("b.sim").alias("sim"))
-    return rows.join(best, "id")
+    """rows with (pred, sim): the most alike centroid, the least class on ties; rows of no or another width than the centroids have none and are left out.
+
+    Centroids reach the tasks in blocks of CLASSES, one matrix product per batch, so pairs of row and class never arise as rows. Beyond one block the best so far is written between blocks.
+    """
+    kind = cents.schema[label].dataType.simpleString()
+    table = cents.select(F.col(label).alias("pred"), "centroid").where("pred IS NOT NULL AND centroid IS NOT NULL").orderBy("pred")
+    out = rows.withColumn("pred", F.lit(None).cast(kind)).withColumn("sim", F.lit(None).cast("double"))
+    block = table.limit(CLASSES).collect()
+    while block:
+        out = _better(out, [r["pred"] for r in block], np.array([r["centroid"] for r in block], dtype=np.float64))
+        if len(block) < CLASSES:
+            break
+        out, block = stash(out, "assigned"), table.where(F.col("pred") > F.lit(block[-1]["pred"])).limit(CLASSES).collect()
+    return out.where("pred IS NOT NULL")
+
+
+def _better(df: DataFrame, names: list, grid: np.ndarray) -> DataFrame:
+    """df with pred and sim where one of the centroids is more alike than what is there. Names ascend."""
+    width = grid.shape[1]
+
+    def run(batches):
+        for b in batches:
+            vecs = b.column(b.schema.get_field_index("vec")).to_pylist()
+            fits = np.array([v is not None and len(v) == width for v in vecs], dtype=bool)
+            x = np.array([v if ok else [0.0] * width for v, ok in zip(vecs, fits, strict=True)], dtype=np.float64).reshape(len(vecs), width)
+            sims = np.round(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9) @ grid.T, 6)
+            at = sims.argmax(axis=1)
+            top, had = sims[np.arange(len(vecs)), at], b.column(b.schema.get_field_index("sim")).to_pylist()
+            pred = b.column(b.schema.get_field_index("pred"))
+            wins = [bool(ok) and t == t and (h is None or t > h) for ok, t, h in zip(fits, top, had, strict=True)]
+            new = {"pred": pa.array([names[i] if w else p for i, w, p in zip(at, wins, pred.to_pylist(), strict=True)], pred.type), "sim": pa.array([float(t) if w else h for t, w, h in zip(top, wins, had, strict=True)], pa.float64())}
+            yield pa.RecordBatch.from_arrays([new.get(n, c) for n, c in zip(b.schema.names, b.columns, strict=True)], b.schema.names)
+
+    return df.mapInArrow(run, df.schema)
 
 
 def floors(rows: DataFrame, cents: DataFrame, percentile: float = 0.05, label: str = "class") -> DataFrame:

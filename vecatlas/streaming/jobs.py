@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from vecatlas.operators.gather import composite
 from vecatlas.operators.scoring import assign
 from vecatlas.operators.store import remap_many, upsert
+from vecatlas.operators.supervised import score_missing
 
 
 def settled(observations: DataFrame, watermark: str = "10 seconds", window: str = "3 seconds", polls: int = 3) -> DataFrame:
@@ -65,3 +66,12 @@ def rename_step(path: str, column: str = "path") -> Callable[[DataFrame, int], N
         remap_many(table, batch.select("old", "new"), column).write.mode("overwrite").parquet(f"{path}/v={number + 1}")
 
     return step
+
+
+def score_step(run_path: str, used: list[str], weights: dict[str, float], out: str) -> Callable[[DataFrame, int], None]:
+    """A step that projects and assigns the gathered rows of a batch by a stored run and adds them below ``out/batch=N``; a repeated batch overwrites its own."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        score_missing(batch, used, weights, run_path).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return step
