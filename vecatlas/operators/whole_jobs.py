@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -40,10 +42,10 @@ def cluster(rows: DataFrame, out: str, *, dims: int = 16, k: int = 10, resolutio
         return name, done
     reduced = stash(pca(rows.select("id", "vec"), dims).select("id", F.col("reduced").alias("vec")), "reduced")
     graph = stash(bridged(edges(knn(reduced, k)), reduced), "graph")
-    levels = None
-    for gamma in resolutions:
-        level = communities(graph, gamma).select(F.lit(float(gamma)).alias("resolution"), F.col("v").alias("id"), "community")
-        levels = level if levels is None else levels.unionByName(level)
+    with ThreadPoolExecutor(len(resolutions)) as side:  # independent chains of jobs, so one's small rounds don't wait for another's
+        found = list(side.map(lambda gamma: communities(graph, gamma), resolutions))
+    level = lambda gamma, df: df.select(F.lit(float(gamma)).alias("resolution"), F.col("v").alias("id"), "community")
+    levels = reduce(DataFrame.unionByName, map(level, resolutions, found))
     levels.write.mode("overwrite").parquet(path)
     return name, spark.read.parquet(path)
 
