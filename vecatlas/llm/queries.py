@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecatlas.llm import decontaminate, edit_embedding, gated_lm, near_dup, packing, quality, sharding, toxicity, url_filter, warc
+from vecatlas.llm import decontaminate, edit_embedding, gated_lm, near_dup, packing, quality, sharding, spelling, sql, toxicity, url_filter, warc, weak_rules, whitening
 from vecatlas.llm.common import fold, folder, table
 
 #: The host rules of the contract, and the words that block any other url.
@@ -74,7 +74,21 @@ def op10_simhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_power_of_two_packing, op2_co_training, op3_bag_minhash, op4_gated_lm, op5_index_first_warc, op6_edit_embedding, op7_nnpu_toxicity, op8_url_rules, op9_sampled_splitters, op10_simhash_windows)}
+def op11_weak_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = weak_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "votes")
+
+
+def op12_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.whitened(vectors, *whitening.fit(vectors))
+
+
+def op13_spelling_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_power_of_two_packing, op2_co_training, op3_bag_minhash, op4_gated_lm, op5_index_first_warc, op6_edit_embedding, op7_nnpu_toxicity, op8_url_rules, op9_sampled_splitters, op10_simhash_windows, op11_weak_rules, op12_jacobi_whitening, op13_spelling_tiles)}
 
 _HOST = "translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _FITS = " ".join(f"WHEN ('.' || host) LIKE '%.{n.partition('/')[0]}' AND starts_with(path, '/{n.partition('/')[2]}') THEN '{n}'" for n, _ in sorted(HOST_RULES, key=lambda r: -len(r[0])))
@@ -94,4 +108,6 @@ r AS (SELECT *, CASE {_FITS} END AS rule FROM u)
 SELECT page_id, host, path, rule, CASE rule {_VERDICTS} ELSE
   CASE WHEN regexp_matches(lower(url), '(^|[^a-z0-9])({'|'.join(WORD_RULES)})([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END END AS verdict
 FROM r""",
+    "op11_weak_rules": sql.weak_rules(),
+    "op13_spelling_tiles": sql.spelling_groups(),
 }
