@@ -19,8 +19,8 @@ def weak_rules() -> str:
     return rf"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
-pos AS (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM w WHERE len(w) >= 5),
-win AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(w[i:i + 4], ' ')) AS times FROM pos),
+pos AS (SELECT rid, unnest(list_transform(range(1, len(w) - 3), lambda i: {{'i': i, 'five': array_to_string(w[i:i + 4], ' ')}})) AS p FROM w WHERE len(w) >= 5),
+win AS MATERIALIZED (SELECT rid, p.i AS i, count(*) OVER (PARTITION BY rid, p.five) AS times FROM pos),
 rep AS (SELECT rid, count(DISTINCT place) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2, i + 3, i + 4]) AS place FROM win WHERE times > 1) GROUP BY rid),
 c AS MATERIALIZED (SELECT w.rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
