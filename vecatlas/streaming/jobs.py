@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the ingest, the work queue, the ledger and row scoring."""
+"""Structured Streaming forms of the work queue, upserts and row scoring; what watches folders is in watch.py."""
 
 from __future__ import annotations
 
@@ -10,16 +10,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from vecatlas.operators.gather import composite
 from vecatlas.operators.scoring import assign
-from vecatlas.operators.store import remap_many, upsert
+from vecatlas.operators.store import upsert
 from vecatlas.operators.supervised import score_missing
 
 
-def settled(observations: DataFrame, watermark: str = "10 seconds", window: str = "3 seconds", polls: int = 3) -> DataFrame:
-    """(path, size, seen) of files whose size was the same at so many observations within a window of event time; each once per window, when the watermark passes it."""
-    seen = observations.withWatermark("ts", watermark).groupBy(F.window("ts", window), "path").agg(F.count("*").alias("polls"), F.min("size").alias("lo"), F.max("size").alias("hi"))
-    return seen.where((F.col("polls") >= polls) & (F.col("lo") == F.col("hi"))).select("path", F.col("hi").alias("size"), F.col("window.end").alias("seen"))
-
-
 def distinct_work(jobs: DataFrame, watermark: str = "1 hour") -> DataFrame:
     """The first job of each (kind, dedupe_key) within the watermark."""
     return jobs.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["kind", "dedupe_key"])
@@ -30,11 +24,6 @@ def progress(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("kind").agg(F.count("*").alias("events"), F.count_if("ok").alias("done"), F.count_if(~F.col("ok")).alias("errors"))
 
 
-def drained(counts: DataFrame) -> DataFrame:
-    """One row: whether every kind is without outstanding work."""
-    return counts.agg(F.coalesce(F.bool_and(F.col("outstanding") == 0), F.lit(True)).alias("drained"))
-
-
 def scored(items: DataFrame, used: list[str], weights: dict[str, float], centroids: DataFrame) -> DataFrame:
     """Arriving rows with their stateless composite and nearest centroid; a narrow stream-static join with the model. Works on batches of foreachBatch."""
     return assign(composite(items, used, weights, standard=False), centroids).select("id", "pred", "sim")
@@ -58,16 +47,6 @@ def upsert_table(path: str, keys: list[str], order: str) -> Callable[[DataFrame,
     return step
 
 
-def rename_step(path: str, column: str = "path") -> Callable[[DataFrame, int], None]:
-    """A step that applies a batch of renames (old, new) to a table of snapshots; snapshot 0 is the table before the stream."""
-
-    def step(batch: DataFrame, number: int) -> None:
-        table = batch.sparkSession.read.parquet(f"{path}/v={number}")
-        remap_many(table, batch.select("old", "new"), column).write.mode("overwrite").parquet(f"{path}/v={number + 1}")
-
-    return step
-
-
 def score_step(run_path: str, used: list[str], weights: dict[str, float], out: str) -> Callable[[DataFrame, int], None]:
     """A step that projects and assigns the gathered rows of a batch by a stored run and adds them below ``out/batch=N``; a repeated batch overwrites its own."""
 
