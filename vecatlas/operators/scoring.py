@@ -9,36 +9,14 @@ from pyspark.sql import functions as F
 
 from vecatlas.functions.paths import ancestors
 from vecatlas.functions.vectors import dot, unit
-from vecatlas.operators.search import knn
+from vecatlas.operators.retrieval import View, ranked
 from vecatlas.sources.scratch import stash
 
 
-def related(a: str, b: str):
-    """Known and equal artist or release; unknown (null or empty) equals nothing."""
-    same = lambda c: F.coalesce(F.nullif(F.col(f"{a}.{c}"), F.lit("")) == F.nullif(F.col(f"{b}.{c}"), F.lit("")), F.lit(False))
-    return same("artist") | same("release")
-
-
-def neighbours(rows: DataFrame, k: int, *, exclude_related: bool = False, margin: int = 4) -> DataFrame:
-    """(id, other, score, rank, ql, nl) of each row's k nearest; with exclude_related the candidate list grows until every row has k unrelated ones or has seen all rows."""
-    n = rows.count()
-    take = min(max(1, n - 1), k * margin if exclude_related else k)
-    meta = rows.select("id", "label", "artist", "release")
-    while True:
-        near = knn(rows.select("id", "vec"), take).select("id", "other", "score")
-        q, o = meta.alias("q"), meta.alias("o")
-        both = near.join(q, near["id"] == F.col("q.id")).join(o, near["other"] == F.col("o.id"))
-        if exclude_related:
-            both = both.where(~related("q", "o"))
-        both = both.select(near["id"], "other", "score", F.col("q.label").alias("ql"), F.col("o.label").alias("nl"))
-        w = Window.partitionBy("id").orderBy(F.desc("score"), "other")
-        ranked = both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        if not exclude_related or take >= n - 1:
-            return ranked
-        short = rows.select("id").join(ranked.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == k), "id", "left_anti")
-        if short.isEmpty():
-            return ranked
-        take = min(n - 1, take * 4)
+def neighbours(rows: DataFrame, k: int, *, exclude_related: bool = False) -> DataFrame:
+    """(id, other, score, rank, ql, nl) of each row's k nearest; with exclude_related, those of the row's own known artist or release are no candidates."""
+    mode = "unrelated" if exclude_related else "all"
+    return ranked(rows, [View("vec", "raw", {"vec": 1.0})], k, modes=(mode,)).drop("recipe", "geometry", "mode")
 
 
 def precision(ranked: DataFrame) -> DataFrame:

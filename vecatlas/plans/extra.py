@@ -12,7 +12,6 @@ from vecatlas.operators import layout as lay
 from vecatlas.operators import scoring as sc
 from vecatlas.operators import search as s
 from vecatlas.operators import store as st
-from vecatlas.operators.graph import components
 from vecatlas.plans.book import Book
 from vecatlas.plans.layout import marked, vectors
 from vecatlas.plans.scoring import _NEAR, rows
@@ -59,14 +58,6 @@ def a29_revision_digest(t):
     return st.signature(t.features.select("source", "fingerprint", "version"), ["source", "fingerprint", "version"]).select(F.sha2(F.concat_ws("|", "signature", F.lit(config)), 256).alias("revision"))
 
 
-_SPLIT_MACRO = "SELECT 'embedding' AS recipe, round(avg(p), 6) AS macro FROM (SELECT ql, avg(hits / k) AS p FROM (SELECT id, ql, sum((ql = nl)::INT) AS hits, count(*) AS k FROM n GROUP BY id, ql) GROUP BY ql)"
-
-
-@book.query(f"WITH {_NEAR} {_SPLIT_MACRO}")
-def a16_recipe_comparison(t):
-    return sc.precision(sc.neighbours(rows(t), 5)).select(F.lit("embedding").alias("recipe"), "macro")
-
-
 @book.query("""WITH q AS (SELECT embedding[1:16] AS q FROM embeddings WHERE vec_id = 7), sc AS (SELECT fingerprint, max(round(list_dot_product(vec::DOUBLE[], q::DOUBLE[]) / greatest(sqrt(list_dot_product(vec::DOUBLE[], vec::DOUBLE[])) * sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[])), 1e-12), 6)) AS score FROM segments, q WHERE pos IS NOT NULL GROUP BY fingerprint),
 l AS (SELECT * FROM sc WHERE fingerprint IN (SELECT concat('fp', CAST(min(vec_id) AS VARCHAR)) FROM embeddings WHERE label IS NOT NULL GROUP BY label)), m AS (SELECT min(score) AS lo, max(score) AS hi FROM l)
 SELECT fingerprint, score, round(0.05 + 0.35 * ((score - lo) / (hi - lo)) * ((score - lo) / (hi - lo)), 5) AS strength FROM l, m""")
@@ -113,18 +104,6 @@ def x8_key_from_chroma(t):
     return sums.groupBy("id").agg(best).select("id", F.col("b.mode").alias("mode"), (-F.col("b.back")).alias("key"), F.col("b.fit").alias("fit"))
 
 
-@book.query()
-def w9_group_split(t):
-    """(id, split): whole artists go to one side; a running share of rows in hash order puts about 70 % into dev."""
-    known = t.items.where("artist IS NOT NULL")
-    first = known.groupBy("artist").agg(F.min("id").alias("b"))
-    parts = components(known.join(first, "artist").select(F.col("id").alias("a"), "b"))
-    group = t.items.select("id").join(parts, F.col("id") == F.col("v"), "left").select("id", F.coalesce("label", "id").alias("group"))
-    sizes = group.groupBy("group").agg(F.count("*").alias("n"))
-    bucket = sizes.withColumn("part", F.pmod(F.xxhash64("group", F.lit(5)), F.lit(1000)) < 700)
-    return group.join(bucket.select("group", "part"), "group").select("id", F.when(F.col("part"), "dev").otherwise("heldout").alias("split"))
-
-
 @book.query()
 def m11_linear_layout(t):
     flat = lay.pca(vectors(t), 2).select("id", F.col("reduced")[0].alias("x"), F.col("reduced")[1].alias("y"))

@@ -100,13 +100,6 @@ def a26_bandwidth(t):
     return t.layout_a.select(each.alias("d")).agg(F.round(F.greatest(F.percentile("d", 0.5), F.lit(1e-6)), 6).alias("tau"))
 
 
-@book.query("""SELECT label, count(*) FILTER (WHERE s = 'dev') AS dev, count(*) FILTER (WHERE s = 'heldout') AS heldout, count(*) FILTER (WHERE fingerprint IS NULL) AS rejected FROM (SELECT *, CASE WHEN id % 10 < 7 THEN 'dev' ELSE 'heldout' END AS s FROM items) GROUP BY label""")
-def a27_cohort_diagnostics(t):
-    split = F.when(F.col("id") % 10 < 7, "dev").otherwise("heldout")
-    n = lambda c: F.count_if(c)
-    return t.items.withColumn("s", split).groupBy("label").agg(n(F.col("s") == "dev").alias("dev"), n(F.col("s") == "heldout").alias("heldout"), n(F.col("fingerprint").isNull()).alias("rejected"))
-
-
 @book.query("SELECT folder FROM items WHERE split_part(folder, '/', 1) = 'lib' GROUP BY folder HAVING count(*) >= 8")
 def f12_library_classes(t):
     libs = t.spark.createDataFrame([("lib",)], "root_id string")
