@@ -1,19 +1,21 @@
-"""Folder anchors and directions, sort plans, incremental placement and region layouts."""
+"""Folder anchors, directions and components, incremental placement and region layouts."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecatlas.functions.paths import below_root, parent, root
-from vecatlas.functions.vectors import dot, norm
+from vecatlas.functions.paths import ancestors, parent, root
+from vecatlas.functions.vectors import dot, norm, unit
 from vecatlas.operators.layout import project
 from vecatlas.operators.scoring import ancestor_centroids
 
 # A folder's anchor needs four rows, and inherits above this cosine.
 ANCHOR_ROWS, ANCHOR_COSINE = 4, 0.6
+# A folder's components need eight rows, are two at most, and the second needs 0.18 of the first's singular value.
+COMPONENT_ROWS, COMPONENTS, SECOND_SHARE = 8, 2, 0.18
 
 
 def folder_anchors(rows: DataFrame, external: list[str]) -> DataFrame:
@@ -41,6 +43,65 @@ def folder_directions(rows: DataFrame, least: int = 2) -> DataFrame:
     return d.select("node", "n", (F.size(F.split("node", "/")) - 1).alias("exponent"), F.expr("transform(d, x -> x / greatest(len, 1e-6D))").alias("direction"))
 
 
+def thin_folders(rows: DataFrame, least: int = 2) -> DataFrame:
+    """(node, name, n, exponent): folders below a root with fewer rows than a direction needs; their names stand in for them."""
+    n = rows.select(F.explode(ancestors("folder")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+    return n.where((F.col("n") < least) & F.col("node").contains("/")).select("node", F.substring_index("node", "/", -1).alias("name"), "n", (F.size(F.split("node", "/")) - 1).alias("exponent"))
+
+
+def folder_components(rows: DataFrame, directions: DataFrame, least: int = COMPONENT_ROWS, most: int = COMPONENTS, ratio: float = SECOND_SHARE) -> DataFrame:
+    """(node, n, exponent, component, direction): how the unit rows of a folder of enough rows vary at right angles to the folder's own direction.
+
+    At most so many components; a later one counts only if its singular value reaches the ratio of the first. Tasks add up sums of products by folder, these are added up over
+    ancestors entry by entry (so no folder, not even a root, is one task's work), and the eigen-step runs on batches of dim x dim matrices. The greatest loading of a component is positive.
+    """
+    u = unit(rows, "vec", "u").select("folder", "u")
+
+    def add(batches):
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            folders, x = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), dtype=np.float64)
+            for name in sorted(set(folders)):
+                own = x[[f == name for f in folders]]
+                part = np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
+                sums[name] = sums[name] + part if name in sums else part
+            if len(sums) > 64:
+                yield _told(sums)
+                sums = {}
+        if sums:
+            yield _told(sums)
+
+    parts = u.where("folder IS NOT NULL").mapInArrow(add, "folder string, m array<double>").select("folder", F.posexplode("m").alias("i", "x")).groupBy("folder", "i").agg(F.sum("x").alias("x"))
+    entries = parts.select(F.explode(ancestors("folder")).alias("node"), "i", "x").groupBy("node", "i").agg(F.sum("x").alias("x"))
+    enough = entries.where(f"i = 0 AND x >= {least}").select("node")
+    whole = entries.join(enough, "node", "left_semi").groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("m"))
+    whole = whole.join(directions.select("node", "exponent", "direction"), "node")
+
+    def turn(batches):
+        for b in batches:
+            out = ([], [], [], [], [])
+            for node, m, exponent, direction in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                d = np.array(direction)
+                n, mean, product = m[0], np.array(m[1 : len(d) + 1]) / m[0], np.array(m[len(d) + 1 :]).reshape(len(d), len(d))
+                across = np.eye(len(d)) - np.outer(d, d)
+                values, vectors = np.linalg.eigh(across @ (product - n * np.outer(mean, mean)) @ across)
+                s = np.sqrt(np.maximum(values[::-1], 0))
+                for k in range(min(most, len(d))):
+                    if s[0] < 1e-6 or (k and s[k] < ratio * s[0]):
+                        break
+                    v = across @ vectors[:, -1 - k]
+                    v /= np.linalg.norm(v)
+                    for c, value in zip(out, (node, int(n), exponent, k + 1, (v * np.sign(v[np.abs(v).argmax()])).tolist()), strict=True):
+                        c.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.float64())), strict=True)], ["node", "n", "exponent", "component", "direction"])
+
+    return whole.mapInArrow(turn, "node string, n long, exponent int, component int, direction array<double>")
+
+
+def _told(sums: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["folder", "m"])
+
+
 def reweight(rows: DataFrame, directions: DataFrame, boost: float, depth_boost: float) -> DataFrame:
     """vec + sum over directions of w (vec . t) t with w = depth_boost^exponent boost, that is vec (I + sum w t t'): tasks add up the matrix, whatever the number of directions, and it is broadcast."""
     d = directions.select((F.lit(float(boost)) * F.pow(F.lit(float(depth_boost)), "exponent")).alias("w"), "direction")
@@ -63,22 +124,6 @@ def reweight(rows: DataFrame, directions: DataFrame, boost: float, depth_boost:
     return moved.withColumn("vec", F.col("__moved")).drop("__moved")
 
 
-def sort_plan(predictions: DataFrame, styles: DataFrame, *, fallback: bool = True) -> DataFrame:
-    """(id, source, target, reason): where each row of (id, path, is_match, class) goes: below its class's folder, else to the folder of its first style
-    (id, style), else nowhere. A row that stays is in-place; targets that meet get (2), (3), ... by path."""
-    name = F.substring_index("path", "/", -1)
-    plan = predictions.join(styles, "id", "left")
-    style = F.array_join(F.filter(F.transform(F.split("style", "---"), lambda s: F.btrim(F.regexp_replace(s, r'[<>:"/\\|?*]', "_"), F.lit(" ."))), lambda s: s != ""), "/")
-    folder = F.when(F.col("is_match"), below_root("class")).when(F.lit(fallback) & F.col("style").isNotNull() & (style != ""), style)
-    plan = plan.withColumn("folder", folder).withColumn("raw", F.concat_ws("/", root("path"), F.when(F.col("folder") != "", F.col("folder")), name))
-    stays = F.col("folder").isNotNull() & (F.col("raw") == F.col("path"))
-    plan = plan.withColumn("reason", F.when(F.col("folder").isNull(), "unmatched").when(stays, "in-place").when(F.col("is_match"), "class").otherwise("style"))
-    place = F.row_number().over(Window.partitionBy("raw").orderBy((F.col("reason") != "in-place"), "path"))
-    plan = plan.withColumn("k", place)
-    numbered = F.when(F.col("k") == 1, F.col("raw")).otherwise(F.concat(F.regexp_replace("raw", r"\.[^./]*$", ""), F.lit(" ("), F.col("k"), F.lit(")"), F.regexp_extract("raw", r"\.[^./]*$", 0)))
-    return plan.select("id", F.col("path").alias("source"), F.when(F.col("reason").isin("class", "style"), numbered).otherwise(F.col("path")).alias("target"), "reason")
-
-
 def incremental(rows: DataFrame, layout: DataFrame, refit_share: float = 0.3) -> tuple[str, DataFrame, DataFrame]:
     """(place or refit, rows with coordinates, new rows); refit when new rows exceed the share of the fitted ones."""
     known, new = rows.join(layout, "id", "left_semi"), rows.join(layout, "id", "left_anti")

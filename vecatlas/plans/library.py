@@ -115,14 +115,6 @@ def s17_reconcile(t):
     return st.reconcile(t.features, meta, given).groupBy("source").agg(F.count("*").alias("n"))
 
 
-@book.query("""WITH j AS (SELECT id, path, id // 40 AS batch_id, id // 40 AS created, id // 40 = (SELECT max(id) // 40 FROM items) AS undone FROM items)
-SELECT id, batch_id FROM j WHERE batch_id = (SELECT max(batch_id) FROM j WHERE NOT undone)""")
-def s18_latest_batch(t):
-    j = t.items.select("id", "path", F.expr("id div 40").alias("batch_id"), F.expr("id div 40").alias("created"))
-    top = j.agg(F.max("batch_id")).first()[0]
-    return st.latest_batch(j.withColumn("undone", F.col("batch_id") == F.lit(top))).select("id", "batch_id")
-
-
 @book.query("SELECT id, id % 50 AS revision FROM layout_a WHERE id % 50 >= 18")
 def s19_retention(t):
     return st.retain(t.layout_a.select("id", (F.col("id") % 50).alias("revision"), (F.col("id") % 50).alias("created")), "revision", "created", 32).select("id", "revision")

@@ -165,13 +165,6 @@ def m16_reweighted(t):
     return pm.reweight(r, pm.folder_directions(r), 2.4, 3.0).select("id", F.round(F.col("vec")[0], 5).alias("first"))
 
 
-@book.query()
-def m20_sort_plan(t):
-    predicted = t.items.select("id", "path", (F.col("id") % 3 == 0).alias("is_match"), F.col("folder").alias("class"))
-    styles = t.items.where("id % 3 = 1").select("id", F.concat(F.lit("Genre"), F.lit("---"), F.col("label").cast("string")).alias("style"))
-    return pm.sort_plan(predicted, styles)
-
-
 @book.query("""WITH m AS (SELECT b.* FROM layout_b b JOIN layout_a a USING (id) WHERE a.x BETWEEN -0.1 AND 0.1 AND a.y BETWEEN -0.1 AND 0.1), u AS (SELECT id, 2 * (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) - 1 AS u, 2 * (y - min(y) OVER ()) / (max(y) OVER () - min(y) OVER ()) - 1 AS v FROM m)
 SELECT id, round(0.1 * u * sqrt(1 - v * v / 2), 6) AS x, round(0.1 * v * sqrt(1 - u * u / 2), 6) AS y FROM u""")
 def m24_region_layout(t):
