@@ -138,3 +138,10 @@ def test_quality_without_labels_or_rows(spark):
     docs, labels, _ = tables(spark)
     assert {r["score"] for r in quality.score(docs, quality.fit(docs, labels.limit(0))).collect()} == {0.5}
     assert quality.score(docs.limit(0), quality.fit(docs.limit(0), labels)).count() == 0
+
+
+def test_every_unlabelled_text_takes_part():
+    for n in range(60):
+        parts = list(toxicity.chunks(range(n), 8))
+        assert [x for p in parts for x in p] == list(range(n))
+        assert all(len(p) == 8 for p in parts[:-1]) and (n < 2 or len(parts[-1]) >= 2)

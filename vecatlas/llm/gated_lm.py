@@ -7,7 +7,7 @@ of letter-alike head tokens, the groups, the rest); within a class of head token
 the rest a word's share of the counts, or, for a word never seen, an equal share of what Good and Turing leave to the unseen: the number of unseen words is
 Chao's estimate f1 (f1 - 1) / (2 (f2 + 1)) from the words seen once and twice. So the probabilities of all words, seen and unseen, add up to one.
 
-Training: truncated backpropagation over windows, in every task on a stream of all its training texts, CHUNK tokens at a time, starting from the
+Training: truncated backpropagation over windows, in every task on a stream of all its training texts, each once, CHUNK tokens at a time, starting from the
 same weights; the tasks' weights are averaged. Every training text teaches in one of ROUNDS such rounds, by hash. Words seen once are the rest there, as
 unseen ones are later; for scoring the rest's bias is raised to the share that it has in new text. Scoring is one narrow pass; only rare words are shuffled, to meet
 their counts. At no point does anything that grows with the corpus reach the driver: it sees HEAD + MID words and averaged weights.
@@ -199,17 +199,16 @@ def train(model: Gru, texts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]
             v += 0.01 * (g * g - v)
             model.flat -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
 
-    part, size, before = [], 0, 0
+    part, size, total = [], 0, 0
     for text in texts:
         part.append(text)
         size += len(text[0])
         if size >= chunk:
             learn(part)
-            part, size, before = [], 0, before + size
+            part, size, total = [], 0, total + size
     if part:
-        for _ in range(1 if before else min(20, -(-chunk // size))):
-            learn(part)
-    return model, before + size
+        learn(part)
+    return model, total + size
 
 
 @dataclass

@@ -25,6 +25,7 @@ has none. Very long texts are read whole. Repeated rows count and score as often
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -93,6 +94,18 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.log1p(np.exp(np.clip(z, -35, 35)))
 
 
+def chunks(rows: Iterable, most: int = CHUNK) -> Iterator[list]:
+    """All rows in lists of most each; the last has up to a quarter more, so that it is small only if there are few rows at all: few texts say little of the share that is toxic."""
+    part = []
+    for row in rows:
+        part.append(row)
+        if len(part) == most + most // 4:
+            yield part[:most]
+            part = part[most:]
+    if part:
+        yield part
+
+
 def nn_pu(pos: list[np.ndarray], unl: list[np.ndarray], n: int, prior: float, start: tuple[np.ndarray, float] | None = None, *, steps: int = STEPS, rate: float = 0.1, l2: float = 1e-5) -> tuple[np.ndarray, float]:
     """Steps of a linear classifier over n features, each text an array of its features (one as often as it counts); returns weights and bias."""
     (pr, pf), (ur, uf) = _csr(pos), _csr(unl)
@@ -191,19 +204,9 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, *, prior: float | Non
         now = spark.sparkContext.broadcast((weights, bias))
 
         def local(batches, now=now):
-            start, seen, part = now.value, 0, []
-
-            def learn() -> None:
-                nonlocal start, seen, part
-                start, seen, part = nn_pu(confirmed.value, part, size, prior, start), seen + len(part), []
-
-            for batch in batches:
-                for f in batch.column(0).to_pylist():
-                    part.append(np.array(f, dtype=np.int64))
-                    if len(part) == CHUNK:
-                        learn()
-            if part and (not seen or len(part) > CHUNK // 4):  # few left over say little of the share that is toxic
-                learn()
+            start, seen = now.value, 0
+            for part in chunks(np.array(f, dtype=np.int64) for batch in batches for f in batch.column(0).to_pylist()):
+                start, seen = nn_pu(confirmed.value, part, size, prior, start), seen + len(part)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([np.append(start[0], start[1]).tobytes()], pa.binary()), pa.array([float(seen)])], ["flat", "weight"])
 
