@@ -1,6 +1,9 @@
 import random
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from vecatlas.llm import decontaminate as dc
 from vecatlas.llm.decontaminate import leaks, without_leaks
 
 
@@ -71,7 +74,7 @@ def test_very_long_items_and_repeats(spark):
     rnd = random.Random(9)
     long_ = " ".join(rnd.choices([f"w{i}" for i in range(3000)], k=70_000))
     items = [(1, "z " * 70_000), (2, long_)]
-    docs = [(1, "z " * 70_003), (2, "before " + long_ + " after"), (3, "z " * 100), (4, "z " * 60_000)]
+    docs = [(1, "z " * 140_000), (2, "before " + long_ + " after"), (3, "z " * 100), (4, "z " * 60_000)]
     frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]): (r["start"], r["words"]) for r in leaks(frame, bench).collect()}
     assert got == {(1, 1): (0, 70_000), (2, 2): (1, 70_000), (4, 1): (0, 70_000)}
@@ -95,3 +98,17 @@ def test_recall_and_rows_judged_by_their_text(spark):
     assert len(want) > 60 and got <= set(want) and len(got) >= 0.99 * len(want)
     rows = without_leaks(frame, bench).collect()
     assert {r["doc_id"] for r in rows} == {d for d, _ in docs if (d, d % 8) not in got} | {0, 7} and len(rows) == 122 - len({d for d, _ in got})
+
+
+def test_what_many_items_share_makes_no_candidates(spark):
+    rnd = random.Random(11)
+    phrase = " ".join(f"p{i}" for i in range(40))
+    word = lambda: f"v{rnd.randrange(10**6)}"
+    items = [(i, " ".join([word() for _ in range(30)] + [phrase] + [word() for _ in range(30)])) for i in range(300)]
+    docs = [(i, items[i][1] if i % 10 == 0 else " ".join([word() for _ in range(50)] + [phrase] + [word() for _ in range(50)])) for i in range(300)]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item long, text string")
+    of = lambda df, *keys: dc._words(df.select("text", *keys))
+    listed = of(bench, "item").select("item", F.size("h").alias("n"), F.expr(dc._rows_of(5)).alias("sh"))
+    assert dc._candidates(of(frame, *dc.keyed("text")), dc._filed(listed)).count() == 30
+    rows = leaks(frame, bench, item_col="item").collect()
+    assert {(r["doc_id"], r["item_id"], r["start"], r["similarity"]) for r in rows} == {(i, i, 0, 1.0) for i in range(0, 300, 10)}

@@ -1,28 +1,26 @@
 """Benchmark decontamination with DataFrame functions only.
 
-A benchmark item of n words is looked for in windows of n words. Where a window reaches the wanted
-similarity it shares shingles with the item, and moving it on to its first shared shingle loses none; so only
-windows that begin with a shingle of an item (or are the text's last, where that would run over its end) are
-fingerprinted: all that can matter, whatever the number of other windows.
-
-Every such window and every item gets a 64-bit SimHash of its weighted five-word shingles. Fingerprints are cut into RADIUS + 1
-blocks; two that differ in at most RADIUS bits agree in one block at least, so block number and block value find
-all of them. Blocks of so few bits select little by themselves; therefore the key of the search also holds the shingle that
-seeded the window, and an item is filed under each of its shingles: a window meets only items of its length that have its seed and a block
-in common. A pair is compared at its first common block. Similarity 0.8 means 9.7 differing bits on average; 21 is four standard deviations more. The exact
-weighted Jaccard similarity of the shingle multisets then decides.
+A benchmark item of n words is looked for in windows of n words. A window of the wanted similarity lacks a fifth of the item's shingles at most, so it holds one of any fifth and one
+more: an item is filed under its rarest shingles only, those of the fewest items, and what many items have in common makes no candidates. In the texts that share such a
+shingle with an item, a window that moves on to its next shingle of the item loses none; so only windows that begin with a shingle of the item (or are the text's last, where that would run over its end)
+are fingerprinted: all that can matter, whatever the number of other windows.
+
+Every such window and every item gets a 64-bit SimHash of its weighted five-word shingles; bit counts run along a text once, and a window's are the difference of two. Fingerprints are cut into
+RADIUS + 1 blocks; two that differ in at most RADIUS bits agree in one block at least, so item, block number and block value find all of them. A pair is
+compared at its first common block. Similarity 0.8 means 9.7 differing bits on average; 21 is four standard deviations more. The exact weighted Jaccard similarity of the shingle multisets then
+decides; overlaps are running sums along a text too, so no window is ever laid out, and a text of one word repeated, against an item like it, costs as much as any other.
 
 Equal texts are looked at once. Words are runs between ASCII blanks of the lower-cased text. An item of fewer
 than five words is one shingle of all its words, found where a text has these words in a row; a text shorter than an item is a window as a whole.
 Items without words, null texts and null items match nothing; null ids are ordinary values. Texts and items may be of any length, and a shingle may occur any number
-of times in them. Repeated rows give repeated rows of the result. Empty tables give an empty result.
+of times in them. Of windows that are equally alike the first counts. Repeated rows give repeated rows of the result. Empty tables give an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecatlas.llm.common import attach, documents, semi, stash
@@ -49,14 +47,24 @@ def _shingles(df: DataFrame) -> DataFrame:
     return df.withColumn("sh", F.expr(_rows_of(WORDS))).drop("h")
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """(k1, k2, n_sh, at, s): a row for each shingle. Structs are exploded, not the shingles themselves: for a plain column Spark would add a filter on its size, and work the words out anew for each shingle in it."""
+    return _shingles(df).select("k1", "k2", F.size("sh").alias("n_sh"), F.explode(F.expr("transform(sh, (s, i) -> struct(i as at, s as s))")).alias("p")).select("k1", "k2", "n_sh", "p.*")
+
+
 def _fingerprinted(df: DataFrame, keys: list[str]) -> DataFrame:
     """keys and simhash: bit b is set if more than half of the shingles have it. Two 32-bit counters share a long."""
     rows = df.select(*keys, F.explode("sh").alias("s"))
     sums = [F.sum(F.expr("(x & 1) | shiftleft(x & 2, 31)".replace("x", f"shiftrightunsigned(s, {2 * g})"))).alias(f"c{g}") for g in range(32)]
     counted = rows.groupBy(*keys).agg(F.count("*").alias("n_sh"), *sums)
-    bits = [F.expr(f"if(2 * (shiftrightunsigned(c{b // 2}, {32 * (b % 2)}) & 4294967295L) > n_sh, shiftleft(1L, {b}), 0L)") for b in range(64)]
     # written, so that the long expression is planned and computed once and not once for each block
-    return stash(counted.select(*keys, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("simhash")), "simhash")
+    return stash(counted.select(*keys, _signs(F.col("n_sh"))), "simhash")
+
+
+def _signs(n: Column) -> Column:
+    """simhash from the counters c0 to c31 of n shingles."""
+    bits = [F.when(2 * F.expr(f"shiftrightunsigned(c{b // 2}, {32 * (b % 2)}) & 4294967295L") > n, F.lit(1 << b if b < 63 else -(1 << 63))).otherwise(F.lit(0)) for b in range(64)]
+    return reduce(lambda a, b: a.bitwiseOR(b.cast("bigint")), bits, F.lit(0).cast("bigint")).alias("simhash")
 
 
 def _block(i: int, value: str) -> str:
@@ -75,12 +83,49 @@ def _first_common() -> Column:
     return F.expr("case " + " ".join(f"when ({_block(i, differ)}) = 0 then {i}" for i in range(RADIUS + 1)) + " end")
 
 
-def _sets(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """keys and the multiset sh as a set: the second occurrence of a shingle becomes another value, and so on. Where none recurs nothing is moved."""
-    single = F.size(F.array_distinct("sh")) == F.size("sh")
-    times = df.where(~single).select(*keys, F.explode("sh").alias("s")).groupBy(*keys, "s").count()
-    turns = times.select(*keys, F.explode(F.expr("transform(sequence(1, cast(count as int)), t -> if(t = 1, s, xxhash64(s, t)))")).alias("e"))
-    return df.where(single).select(*keys, F.col("sh").alias(name)).unionByName(turns.groupBy(*keys).agg(F.collect_list("e").alias(name)))
+def _slid(places: DataFrame, windows: DataFrame) -> DataFrame:
+    """k1, k2, start, size and simhash of windows (k1, k2, start, size) over the shingles (k1, k2, at, s) of texts, stored.
+
+    Bit counts run along each text once; a window's are the difference of two running counts, so long windows that overlap cost no more than short ones.
+    """
+    here = [F.expr("(x & 1) | shiftleft(x & 2, 31)".replace("x", f"shiftrightunsigned(s, {2 * g})")) for g in range(32)]
+    so_far = Window.partitionBy("k1", "k2").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = places.select("k1", "k2", "at", *(F.sum(x).over(so_far).alias(f"c{g}") for g, x in enumerate(here)))
+    ends = windows.select("*", F.explode(F.array(F.struct((F.col("start") - 1).alias("at"), F.lit(-1).alias("sign")), F.struct((F.col("start") + F.col("size") - 1).alias("at"), F.lit(1).alias("sign")))).alias("e")).select("k1", "k2", "start", "size", "e.*")
+    counted = ends.join(running, ["k1", "k2", "at"]).groupBy("k1", "k2", "start", "size").agg(*(F.sum(F.col("sign") * F.col(f"c{g}")).alias(f"c{g}") for g in range(32)))
+    return stash(counted.select("k1", "k2", "start", "size", _signs(F.col("size"))), "simhash")
+
+
+def _overlaps(hits: DataFrame, starts: DataFrame) -> DataFrame:
+    """starts (k1, k2, item, start) with common, the size of the multiset overlap of the window with its item.
+
+    hits (k1, k2, item, s, at, times, size) are the places of the item's shingles in the text; the item has a shingle ``times`` times. A place counts for the windows that hold it and fewer than ``times`` places
+    of its shingle before it: for a run of starts. So the overlap is a running sum over ends of runs, and no window is laid out.
+    """
+    placed = hits.groupBy("k1", "k2", "item", "s", "times", "size").agg(F.sort_array(F.collect_list("at")).alias("p"))
+    runs = F.expr("transform(p, (x, i) -> struct(greatest(if(i >= times, p[i - times] + 1, 0), x - size + 1, 0) as low, x + 1 as high))")
+    ends = placed.select("k1", "k2", "item", F.explode(runs).alias("r")).where("r.low < r.high")
+    ends = ends.select("k1", "k2", "item", F.explode(F.array(F.struct(F.col("r.low").alias("start"), F.lit(1).alias("step")), F.struct(F.col("r.high").alias("start"), F.lit(-1).alias("step")))).alias("e")).select("k1", "k2", "item", "e.*")
+    steps = ends.groupBy("k1", "k2", "item", "start").agg(F.sum("step").alias("step")).withColumn("asked", F.lit(0))
+    both = steps.unionByName(starts.select("k1", "k2", "item", "start").withColumn("step", F.lit(0).cast("long")).withColumn("asked", F.lit(1)))
+    so_far = Window.partitionBy("k1", "k2", "item").orderBy("start", "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn("common", F.sum("step").over(so_far)).where("asked = 1").select("k1", "k2", "item", "start", "common")
+
+
+def _filed(items: DataFrame) -> DataFrame:
+    """(item, n, m, s, times, rare) of items of five words and more, stored: their shingles, and whether an item is filed under them."""
+    shingles = items.select("item", "n", F.size("sh").alias("m"), F.explode("sh").alias("s")).groupBy("item", "n", "m", "s").agg(F.count("*").cast("int").alias("times"))
+    shared = shingles.groupBy("s").agg(F.count("*").alias("items"))
+    before = F.sum("times").over(Window.partitionBy("item").orderBy("items", "s").rowsBetween(Window.unboundedPreceding, -1))
+    return stash(shingles.join(shared, "s").withColumn("rare", F.coalesce(before, F.lit(0)) <= F.floor((1 - LIKE) * F.col("m") + 1e-9)), "item-shingles")
+
+
+def _candidates(hashed: DataFrame, shingles: DataFrame) -> DataFrame:
+    """(k1, k2, item), stored: the items that have a shingle they are filed under in common with a text (k1, k2, h)."""
+    rare = shingles.where("rare").select("s", "item")
+    bounded = F.broadcast if rare.count() <= BROADCAST_ROWS else (lambda df: df)
+    seeds = stash(_placed(hashed).select("k1", "k2", "s").join(bounded(rare.select("s").distinct()), "s", "left_semi").distinct(), "seeds")
+    return stash(seeds.join(bounded(rare), "s").select("k1", "k2", "item").distinct(), "candidates")
 
 
 def found(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -88,38 +133,39 @@ def found(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     raw = _words(documents(benchmark, item_col, item_text_col).withColumnRenamed("doc_id", "item_id")).where("size(h) > 0")
     whole = F.when(F.size("h") < WORDS, F.array(F.expr("xxhash64(size(h), h)"))).otherwise(F.expr(_rows_of(WORDS)))
     items = stash(raw.select("item_id", F.size("h").alias("n"), whole.alias("sh"), F.monotonically_increasing_id().alias("item")), "items")
-    wanted = stash(items.select("n", F.explode("sh").alias("s")).distinct(), "item-shingles")
-    bounded = F.broadcast if wanted.count() <= BROADCAST_ROWS else (lambda df: df)
-    short = sorted(r["n"] for r in items.where(F.col("n") < WORDS).select("n").distinct().collect())  # four values at most
+    long, short = items.where(F.col("n") >= WORDS), items.where(F.col("n") < WORDS)
+    shingles = _filed(long)
+    bounded = F.broadcast if shingles.count() <= BROADCAST_ROWS else (lambda df: df)
 
     texts = documents(docs, None, text_col).select("text", *keyed("text"))
     hashed = _words(texts)
-    rows = F.expr("transform(sh, (s, i) -> struct(size(sh) as n_sh, i as at, s as s))")
-    full = _shingles(hashed).select("k1", "k2", F.explode(rows).alias("p")).select("k1", "k2", "p.*").join(bounded(wanted.where(F.col("n") >= WORDS)), "s")
-    seeds = full.select("k1", "k2", "n", F.greatest(F.lit(0), F.least("at", F.col("n_sh") - (F.col("n") - WORDS + 1))).alias("start"), "s")
-    for k in short:  # all windows that are the item are equally alike, so the first is enough
-        some = hashed.select("k1", "k2", F.explode(F.expr(f"if(size(h) < {k}, cast(array() as array<struct<at: int, s: bigint>>), transform(sequence(0, size(h) - {k}), i -> struct(cast(i as int) as at, xxhash64({k}, slice(h, i + 1, {k})) as s)))")).alias("p"))
-        seeds = seeds.union(some.select("k1", "k2", "p.*").join(bounded(wanted.where(F.col("n") == k)), "s").groupBy("k1", "k2", "n", "s").agg(F.min("at").alias("start")).select("k1", "k2", "n", "start", "s"))
-    seeds = stash(seeds.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n", "s")).alias("seeds")), "seeds")
-    held = semi(texts, seeds.select("k1", "k2"), "k1", "k2").groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    windows = F.expr(f"transform(array_distinct(transform(seeds, w -> struct(w.start, w.n))), w -> struct(w.start, w.n, if(w.n < {WORDS}, array(xxhash64(w.n, slice(h, w.start + 1, w.n))), slice(sh, w.start + 1, w.n - {WORDS - 1})) as sh))")
-    cut = _words(held.join(seeds, ["k1", "k2"])).withColumn("sh", F.expr(_rows_of(WORDS))).select("k1", "k2", F.explode(windows).alias("w"))
-    windows = stash(cut.select("k1", "k2", "w.start", "w.n", "w.sh"), "windows")
-
-    key = ["k1", "k2", "start", "n"]
-    seeded = seeds.select("k1", "k2", F.explode("seeds").alias("w")).select("k1", "k2", "w.start", "w.n", "w.s")
-    of_windows = _blocks(_fingerprinted(windows, key)).join(seeded, key)
-    of_items = stash(_blocks(_fingerprinted(items, ["item", "n"]).withColumnRenamed("simhash", "item_simhash").withColumn("simhash", F.col("item_simhash"))).drop("simhash").join(items.select("item", F.explode(F.array_distinct("sh")).alias("s")), "item"), "item-blocks")
-    met = of_windows.join(F.broadcast(of_items) if of_items.count() <= BROADCAST_ROWS else of_items, ["s", "n", "block", "value"])
+    candidates = _candidates(hashed, shingles)
+    own = candidates.select("k1", "k2").distinct()
+    held = semi(texts, stash(own, "held"), "k1", "k2").groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    places = stash(_placed(_words(held)), "places")
+
+    wanted = candidates.join(bounded(shingles.select("item", "n", "m", "s", "times")), "item")
+    hits = stash(wanted.join(places, ["k1", "k2", "s"]).withColumn("size", F.least("m", "n_sh")).select("k1", "k2", "item", "n", "m", "size", "s", "times", "at", "n_sh"), "hits")
+    starts = stash(hits.select("k1", "k2", "item", "n", "m", "size", F.least("at", F.col("n_sh") - F.col("size")).alias("start")).distinct(), "window-starts")
+    prints = _slid(places, starts.select("k1", "k2", "start", "size").distinct())
+    of_windows = _blocks(starts.join(prints, ["k1", "k2", "start", "size"]))
+    of_items = stash(_blocks(_fingerprinted(long, ["item"]).withColumnRenamed("simhash", "item_simhash").withColumn("simhash", F.col("item_simhash"))).drop("simhash"), "item-blocks")
+    met = of_windows.join(bounded(of_items), ["item", "block", "value"])
     near = met.where((F.bit_count(F.col("simhash").bitwiseXOR(F.col("item_simhash"))) <= RADIUS) & (F.col("block") == _first_common()))
-    pairs = stash(near.select(*key, "item").distinct(), "near-windows")
-    item_sets = _sets(items, ["item", "item_id"], "item_set")
-    own = _sets(windows.join(pairs.select(*key).distinct(), key, "left_semi"), key, "own")
-    exact = pairs.join(own, key).join(bounded(item_sets), "item")
-    exact = exact.withColumn("common", F.size(F.array_intersect("own", "item_set")).cast("double"))
-    exact = exact.withColumn("similarity", F.col("common") / (F.size("own") + F.size("item_set") - F.col("common"))).where(F.col("similarity") >= LIKE)
-    best = exact.groupBy("k1", "k2", "item").agg(F.first("item_id").alias("item_id"), F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("best"))
-    return stash(best.select("k1", "k2", "item_id", (-F.col("best.back")).alias("start"), F.col("best.n").alias("words"), "best.similarity"), "leaks")
+    pairs = stash(near.select("k1", "k2", "item", "n", "m", "size", "start"), "near-windows")
+    verified = hits.join(pairs.select("k1", "k2", "item").distinct(), ["k1", "k2", "item"], "left_semi")
+    exact = pairs.join(_overlaps(verified, pairs), ["k1", "k2", "item", "start"])
+    exact = exact.withColumn("similarity", F.col("common") / (F.col("size") + F.col("m") - F.col("common"))).where(F.col("similarity") >= LIKE)
+    best = exact.groupBy("k1", "k2", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n")).alias("best"))
+    out = best.select("k1", "k2", "item", (-F.col("best.back")).alias("start"), F.col("best.n").alias("words"), "best.similarity")
+
+    for k in sorted(r["n"] for r in short.select("n").distinct().collect()):  # four values at most; a window of one shingle is the item or has nothing of it
+        rows = F.expr(f"if(size(h) < {k}, cast(array() as array<struct<at: int, s: bigint>>), transform(sequence(0, size(h) - {k}), i -> struct(cast(i as int) as at, xxhash64({k}, slice(h, i + 1, {k})) as s)))")
+        whole_ones = short.where(F.col("n") == k).select("item", F.col("sh")[0].alias("s"))
+        some = hashed.select("k1", "k2", F.explode(rows).alias("p")).select("k1", "k2", "p.*").join(bounded(whole_ones.select("s").distinct()), "s", "left_semi")
+        first = some.groupBy("k1", "k2", "s").agg(F.min("at").alias("start"))
+        out = out.unionByName(first.join(whole_ones, "s").select("k1", "k2", "item", "start", F.lit(k).alias("words"), F.lit(1.0).alias("similarity")))
+    return stash(out.join(bounded(items.select("item", "item_id")), "item").select("k1", "k2", "item_id", "start", "words", "similarity"), "leaks")
 
 
 def keyed(text_col: str) -> tuple[Column, Column]:
@@ -130,8 +176,9 @@ def keyed(text_col: str) -> tuple[Column, Column]:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, start, words, similarity): for each document and item that it holds, the first of its most similar windows; start counts words."""
-    held = found(docs, benchmark, text_col, item_col, item_text_col)
-    return docs.select(F.col(id_col).alias("doc_id"), *keyed(text_col)).join(held, ["k1", "k2"]).select("doc_id", "item_id", "start", "words", "similarity")
+    one = found(docs, benchmark, text_col, item_col, item_text_col).groupBy("k1", "k2").agg(F.collect_list(F.struct("item_id", "start", "words", "similarity")).alias("held"))
+    rows = attach(docs.select(F.col(id_col).alias("doc_id"), *keyed(text_col)), stash(one, "held-items"), "k1", "k2", how="inner")
+    return rows.select("doc_id", F.explode("held").alias("i")).select("doc_id", "i.*")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
