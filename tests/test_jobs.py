@@ -183,6 +183,20 @@ def test_layouts_and_warm_up(spark, tmp_path):
         assert tuple(box) == pytest.approx((0, 1, 0, 1, 50))
 
 
+def test_revisions_tell_folders_and_half_written_results_are_not_done(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"lib/f{i % 2}", [float(i % 3), float(i % 5), 1.0]) for i in range(12)], "id long, folder string, vec array<double>")
+    moved = rows.withColumn("folder", F.when(F.col("id") == 3, "lib/f9").otherwise(F.col("folder")))
+    of = lambda df, **kw: wj.layout_revision(df, **{**wj.DEFAULTS, **kw})
+    assert of(rows, boost=0.5) != of(moved, boost=0.5) and of(rows) == of(moved) and of(rows, boost=0.5) == of(rows.repartition(3), boost=0.5)
+    path = str(tmp_path / "t")
+    assert wj.stored(spark, path) is None
+    rows.write.parquet(path)  # a job that was cut off before its manifest
+    assert wj.stored(spark, path) is None
+    assert wj.publish(rows, path).count() == 12 and wj.stored(spark, path).count() == 12
+    rows.limit(5).write.mode("overwrite").parquet(path)  # or while it was written anew
+    assert wj.stored(spark, path) is None
+
+
 def test_injected_functions(spark):
     df = spark.createDataFrame([(1, "ab"), (2, "boom"), (3, "c")], "id long, text string")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecatlas.functions.vectors import unit
@@ -95,3 +95,25 @@ def composite_strict(df: DataFrame, used: list[str], weights: dict[str, float])
     for s in used:
         good = good & is_valid(s)
     return composite(df.where(good), sorted(used), share, standard=False), df.where(~good)
+
+
+def required_of(sources: str, pair: tuple[str, ...] = REQUIRED) -> Column:
+    """:func:`required_sources` of an array column, sorted; null for a null or empty one."""
+    several = F.array_intersect(F.sort_array(sources), F.array(*map(F.lit, sorted(pair))))
+    return F.when(F.size(sources) == 1, F.col(sources)).when(F.size(sources) > 1, several)
+
+
+def completed_weights(given: DataFrame, defaults: dict[str, float] = WEIGHTS) -> DataFrame:
+    """(lens, source, weight, given, problem) of weight maps (lens, source, weight): every default source that a lens leaves out comes in with its default.
+
+    problem is null, or for a row "unknown source", "not a weight" (null, NaN, or outside 0 to 1), or, for a lens all of whose weights are 0, "all zero".
+    """
+    base = given.sparkSession.createDataFrame(sorted(defaults.items()), "source string, default double")  # a row per source of the library
+    lenses = given.select("lens").distinct().select("lens", F.explode(F.array(*map(F.lit, sorted(defaults)))).alias("source"))
+    own = given.select("lens", "source", F.col("weight").cast("double").alias("weight"), F.lit(True).alias("given"))
+    both = lenses.join(own, ["lens", "source"], "full").join(F.broadcast(base), "source", "left")
+    both = both.withColumn("weight", F.when(F.col("given"), F.col("weight")).otherwise(F.col("default")))
+    most = F.max("weight").over(Window.partitionBy("lens"))
+    fits = F.coalesce(~F.isnan("weight") & F.col("weight").between(0, 1), F.lit(False))
+    problem = F.when(F.col("default").isNull(), "unknown source").when(~fits, "not a weight").when(most == 0, "all zero")
+    return both.select("lens", "source", "weight", F.coalesce("given", F.lit(False)).alias("given"), problem.alias("problem"))

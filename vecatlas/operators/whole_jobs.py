@@ -19,18 +19,29 @@ from vecatlas.operators.store import signature
 from vecatlas.sources.scratch import stash
 
 
-def revision(rows: DataFrame, parameters: dict) -> str:
-    """Digest of a job's rows (id, vec) and its parameters."""
-    of = signature(rows.select("id", F.sha2(F.concat_ws(",", F.transform("vec", lambda x: x.cast("string"))), 256).alias("v")), ["id", "v"]).first()[0]
+def revision(rows: DataFrame, parameters: dict, columns: tuple[str, ...] = ()) -> str:
+    """Digest of a job's rows (id, vec and the further columns that it reads) and its parameters."""
+    of = signature(rows.select("id", F.sha2(F.concat_ws(",", F.transform("vec", lambda x: x.cast("string"))), 256).alias("v"), *columns), ["id", "v", *columns]).first()[0]
     return hashlib.sha256(f"{of}|{json.dumps(parameters, sort_keys=True)}".encode()).hexdigest()[:32]
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """A table that an earlier job has finished, or None."""
+    """A table that an earlier job has published, or None: its manifest is written after it, and must tell the rows that are there."""
     try:
-        return spark.read.parquet(path)
-    except AnalysisException:  # no such folder, or one whose job was cut off
+        told = spark.read.schema("rows long").parquet(f"{path}.done").first()
+        table = spark.read.parquet(path)
+    except AnalysisException:  # no such folder, or a job that was cut off before its manifest
         return None
+    return table if told is not None and table.count() == told["rows"] else None
+
+
+def publish(df: DataFrame, path: str) -> DataFrame:
+    """Write a table, then its manifest. What a job leaves that is cut off in between is written anew by the next one."""
+    df.write.mode("overwrite").parquet(path)
+    spark = df.sparkSession
+    table = spark.read.parquet(path)
+    table.agg(F.count("*").alias("rows")).coalesce(1).write.mode("overwrite").parquet(f"{path}.done")
+    return table
 
 
 def cluster(rows: DataFrame, out: str, *, dims: int = 16, k: int = 10, resolutions: tuple[float, ...] = (0.5, 1.0, 2.0)) -> tuple[str, DataFrame]:
@@ -46,8 +57,7 @@ def cluster(rows: DataFrame, out: str, *, dims: int = 16, k: int = 10, resolutio
         found = list(side.map(lambda gamma: communities(graph, gamma), resolutions))
     level = lambda gamma, df: df.select(F.lit(float(gamma)).alias("resolution"), F.col("v").alias("id"), "community")
     levels = reduce(DataFrame.unionByName, map(level, resolutions, found))
-    levels.write.mode("overwrite").parquet(path)
-    return name, spark.read.parquet(path)
+    return name, publish(levels, path)
 
 
 def levels_of(levels: DataFrame) -> DataFrame:
@@ -80,14 +90,13 @@ def layout(rows: DataFrame, out: str, *, method: str = "landmark", marks: int =
         placed = place(near, known, landmark_map(near, known))
     placed = stash(placed, "placed")
     turned = placed if reference is None else align(placed, reference)
-    normalise(turned).write.mode("overwrite").parquet(path)
-    return name, spark.read.parquet(path)
+    return name, publish(normalise(turned), path)
 
 
 def layout_revision(rows: DataFrame, *, reference: DataFrame | None = None, **parameters) -> str:
     """The revision that layout stores its result under."""
     met = "" if reference is None else signature(reference.select("id", "x", "y"), ["id", "x", "y"]).first()[0]
-    return revision(rows.select("id", "vec"), {"job": "layout", "reference": met, **parameters})
+    return revision(rows, {"job": "layout", "reference": met, **parameters}, ("folder",) if parameters.get("boost") else ())
 
 
 DEFAULTS = {"method": "landmark", "marks": 64, "dims": 16, "boost": 0.0, "depth_boost": 1.0, "tau": 0.5, "reference": None}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from vecatlas.operators import gather as g
 from vecatlas.operators import search as s
+from vecatlas.operators.listed import knn_listed
 from vecatlas.plans.book import Book, Tables
 
 book = Book()
@@ -85,6 +86,12 @@ def j4_exact_knn(t):
     return s.knn(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 5)
 
 
+@book.query(f"WITH v AS (SELECT vec_id AS id, embedding AS vec FROM embeddings), {KNN_SQL} SELECT id, other, score, rank FROM r WHERE rank <= 5")
+def j4_listed_knn(t):
+    """The same through the inverted index, which opens every list that can matter."""
+    return knn_listed(t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), 5)[0]
+
+
 @book.query(f"WITH v AS (SELECT vec_id AS id, embedding AS vec FROM embeddings), {KNN_SQL} SELECT least(id, other) AS src, greatest(id, other) AS dst, greatest(max(score), 0.0) AS weight FROM r WHERE rank <= 5 GROUP BY 1, 2")
 def j5_knn_edges(t):
     return s.edges(j4_exact_knn(t))
