@@ -88,11 +88,14 @@ def _slid(places: DataFrame, windows: DataFrame) -> DataFrame:
 
     Bit counts run along each text once; a window's are the difference of two running counts, so long windows that overlap cost no more than short ones.
     """
-    here = [F.expr("(x & 1) | shiftleft(x & 2, 31)".replace("x", f"shiftrightunsigned(s, {2 * g})")) for g in range(32)]
-    so_far = Window.partitionBy("k1", "k2").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = places.select("k1", "k2", "at", *(F.sum(x).over(so_far).alias(f"c{g}") for g, x in enumerate(here)))
-    ends = windows.select("*", F.explode(F.array(F.struct((F.col("start") - 1).alias("at"), F.lit(-1).alias("sign")), F.struct((F.col("start") + F.col("size") - 1).alias("at"), F.lit(1).alias("sign")))).alias("e")).select("k1", "k2", "start", "size", "e.*")
-    counted = ends.join(running, ["k1", "k2", "at"]).groupBy("k1", "k2", "start", "size").agg(*(F.sum(F.col("sign") * F.col(f"c{g}")).alias(f"c{g}") for g in range(32)))
+    ends = windows.select("k1", "k2", "start", "size", F.explode(F.array(F.struct((F.col("start") - 1).alias("at"), F.lit(-1).alias("sign")), F.struct((F.col("start") + F.col("size") - 1).alias("at"), F.lit(1).alias("sign")))).alias("e"))
+    both = places.select("k1", "k2", "at", "s").unionByName(ends.where("e.at >= 0").select("k1", "k2", "e.at", "e.sign", "start", "size"), allowMissingColumns=True)
+    # ends stand among the shingles, behind the one of their place; so rows are moved once, before the counters are made, and windows come from where they are
+    rows = both.repartition("k1", "k2").withColumn("end", F.col("sign").isNotNull())
+    here = [F.expr("coalesce((x & 1) | shiftleft(x & 2, 31), 0L)".replace("x", f"shiftrightunsigned(s, {2 * g})")) for g in range(32)]
+    so_far = Window.partitionBy("k1", "k2").orderBy("at", "end").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = rows.select("k1", "k2", "start", "size", "sign", "end", *(F.sum(x).over(so_far).alias(f"c{g}") for g, x in enumerate(here))).where("end")
+    counted = running.groupBy("k1", "k2", "start", "size").agg(*(F.sum(F.col("sign") * F.col(f"c{g}")).alias(f"c{g}") for g in range(32)))
     return stash(counted.select("k1", "k2", "start", "size", _signs(F.col("size"))), "simhash")
 
 
