@@ -36,3 +36,19 @@ def test_few_rows(spark):
     assert listed.knn_listed(grouped(spark).limit(0), 3)[0].collect() == []
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0])], SCHEMA)
     assert {(r["id"], r["rank"]): r["other"] for r in listed.knn_listed(df, 5)[0].collect()} == {(1, 1): 3, (1, 2): 2, (2, 1): 1, (2, 2): 3, (3, 1): 1, (3, 2): 2}
+
+
+def test_a_row_goes_once_to_a_box_however_many_lists_it_opens(spark, monkeypatch):
+    r, asked = np.random.default_rng(5), []
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.normal(size=(400, 24)))], SCHEMA)  # falls into no groups, so nearly all lists are opened
+    met = listed._met
+    monkeypatch.setattr(listed, "_met", lambda *a, **b: asked.append(a[0].count()) or met(*a, **b))
+    got, share = listed.knn_listed(df, 4, lists=20)
+    cols = ["id", "other", "score", "rank"]
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, knn(df, 4).select(cols).collect()))
+    assert share > 0.8 and sum(asked) <= 400 * 6
+
+
+def test_boxes_are_bounded():
+    where = listed.boxes({0: 3, 1: 4, 2: 9, 3: 25, 4: 1}, 10)
+    assert where == {0: [0], 1: [0], 2: [1], 3: [2, 3, 4], 4: [5]}

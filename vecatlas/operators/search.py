@@ -35,47 +35,93 @@ def best_segments(entries: DataFrame, query: list[float], limit: int) -> DataFra
     return best.select("fingerprint", "b.score", "b.pos").orderBy(F.desc_nulls_last("score"), "fingerprint").limit(limit)
 
 
-BLOCK = 8192  # rows of a block
+NUMBERS = 1 << 22  # numbers in the vectors of a block
+ROWS, COLUMNS, FIRST = 256, 1024, 32  # queries, and candidates at most and at first, that are scored at once
+
+
+def dealt(rows: DataFrame, asked: DataFrame, vectors: list[str], blocks: int | None = None) -> DataFrame:
+    """Query rows (side 0) and rows (side 1), each with its vector columns, for every pair (a, b) of a query block and a block; a group of a and b is one task's work.
+
+    A block holds about NUMBERS numbers at most, however many rows there are, and there are as many pairs as shuffle partitions at least.
+    """
+    n, width = rows.agg(F.count("*"), F.max(sum((F.size(c) for c in vectors), F.lit(0)))).first()
+    partitions, whole = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * (width or 0) // NUMBERS)
+    most = blocks or max(1, whole, round(partitions**0.5 / 2))
+    asking = blocks or max(1, whole, -(-partitions // most))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("a", own(asking)).withColumn("b", each(most)).withColumn("side", F.lit(0))
+    return left.unionByName(rows.withColumn("a", each(asking)).withColumn("b", own(most)).withColumn("side", F.lit(1)))
+
+
+def matrix(column) -> np.ndarray:
+    """An Arrow column of equally long lists without nulls as a matrix."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+def best_columns(score, rows: int, columns: int, k: int, barred: list, least: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, column, value) of each row's k greatest scores, rounded to 6 places, ties by the lesser column, for each rule of which pairs don't count.
+
+    score(first, end) is the matrix of those columns, barred are functions of rows and columns. Scores below a row's least are left out. Only what exceeds the k-th score so far is looked at again, so nothing is sorted as a whole.
+    """
+    floor = np.full(rows, -np.inf) if least is None else least - 1e-6
+    found = [(np.full((rows, k), -1), np.repeat(floor[:, None], k, axis=1)) for _ in barred]
+    lo, wide = 0, FIRST if least is None else COLUMNS
+    while lo < columns:
+        s = score(lo, min(columns, lo + wide))
+        low = np.minimum.reduce([value[:, -1:] for _, value in found])
+        i, j = np.divmod(np.flatnonzero(s > low + 4e-7), s.shape[1])  # later columns win no ties
+        v = np.round(s[i, j], 6)
+        for (at, value), no in zip(found, barred, strict=True):
+            better = v > value[i, -1] + 4e-7
+            better[better] = ~no(i[better], lo + j[better])
+            _merge(at, value, i[better], lo + j[better], v[better])
+        lo, wide = lo + wide, min(2 * wide, COLUMNS)
+    out = []
+    for at, value in found:
+        i, place = np.nonzero(at >= 0)
+        out.append((i, at[i, place], value[i, place]))
+    return out
+
+
+def _merge(at: np.ndarray, value: np.ndarray, i: np.ndarray, j: np.ndarray, v: np.ndarray) -> None:
+    """Put columns j with values v among the best so far of their rows i."""
+    k, rows = at.shape[1], np.unique(i)
+    i, j, v = np.concatenate([np.repeat(rows, k), i]), np.concatenate([at[rows].ravel(), j]), np.concatenate([value[rows].ravel(), v])
+    order = np.lexsort((j, -v, i))
+    i, j, v = i[order], j[order], v[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    best = place < k
+    at[i[best], place[best]], value[i[best], place[best]] = j[best], v[best]
 
 
 def knn(df: DataFrame, k: int, *, blocks: int | None = None, label: str | None = None, queries: DataFrame | None = None) -> DataFrame:
     """(id, other, score): the k most alike other rows of each row by cosine of vec; ties by least id. With label only rows of another label count.
 
-    Rows are dealt to blocks by id; a matrix product joins each query block with each block, keeps k per row there, and a ranking joins these:
-    k rows per query and block are shuffled, never all pairs. A block holds about BLOCK rows at most, however many there are. queries are a subset of the rows (all by default).
+    Rows are dealt to blocks by id; matrix products compare each query block with each block, a row's k best there are kept as they come, and a ranking joins these:
+    k rows per query and block are shuffled, never all pairs. queries are a subset of the rows (all by default).
     """
-    spark = df.sparkSession
-    blocks = blocks or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4, -(-df.count() // BLOCK))
     cols = ["id", "vec", *([F.col(label).alias("label")] if label else [F.lit(0).alias("label")])]
-    base = unit(df, "vec", "vec").select(*cols).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    base = unit(df, "vec", "vec").select(*cols)
     asked = base if queries is None else base.join(queries.select("id"), "id", "left_semi")
-    pairs = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = asked.select("id", "vec", "label", F.col("own").alias("a"), pairs.alias("b"), F.lit(0).alias("side"))
-    right = base.select("id", "vec", "label", pairs.alias("a"), F.col("own").alias("b"), F.lit(1).alias("side"))
 
     def nearest(key, table):
         side = np.array(table["side"])
-        ids, labels = np.array(table["id"]), np.array(table["label"])
-        vecs = np.array(table["vec"].to_pylist(), dtype=np.float64).reshape(len(ids), -1)
-        q, d = side == 0, side == 1
-        order = np.argsort(ids[d], kind="stable")
-        di, dl, dv = ids[d][order], labels[d][order], vecs[d][order]
+        q, d = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1)).sort_by("id")
         out = ([], [], [])
-        for lo in range(0, int(q.sum()), 512):
-            qi, ql = ids[q][lo : lo + 512], labels[q][lo : lo + 512]
-            s = np.round(vecs[q][lo : lo + 512] @ dv.T, 6)
-            s[qi[:, None] == di[None, :]] = -np.inf
-            if label:
-                s[ql[:, None] == dl[None, :]] = -np.inf
-            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            for i, row in enumerate(best):
-                for j in row:
-                    if s[i, j] > -np.inf:
-                        for c, v in zip(out, (qi[i], di[j], s[i, j]), strict=True):
-                            c.append(v)
-        return pa.table({"id": pa.array(out[0], pa.int64()), "other": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
-
-    local = left.unionAll(right).groupBy("a", "b").applyInArrow(nearest, "id long, other long, score double")
+        if q.num_rows and d.num_rows:
+            qi, di, ql, dl, qv, dv = *(np.array(t[c]) for c in ("id", "label") for t in (q, d)), matrix(q["vec"]), matrix(d["vec"])
+            for lo in range(0, len(qi), ROWS):
+                x, xi, xl = qv[lo : lo + ROWS], qi[lo : lo + ROWS], ql[lo : lo + ROWS]
+                barred = lambda i, j: (xi[i] == di[j]) | (xl[i] == dl[j]) if label else xi[i] == di[j]  # noqa: E731, B023
+                [(i, j, s)] = best_columns(lambda first, end: x @ dv[first:end].T, len(x), len(di), k, [barred])  # noqa: B023
+                for column, v in zip(out, (xi[i], di[j], s), strict=True):
+                    column.append(v)
+        arrays = [np.concatenate(c) if c else np.zeros(0) for c in out]
+        return pa.table([pa.array(a, t) for a, t in zip(arrays, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["id", "other", "score"])
+
+    local = dealt(base, asked, ["vec"], blocks).groupBy("a", "b").applyInArrow(nearest, "id long, other long, score double")
     w = Window.partitionBy("id").orderBy(F.desc("score"), "other")
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
