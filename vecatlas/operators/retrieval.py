@@ -1,4 +1,4 @@
-"""Retrieval reports of many recipes at once: one kernel keeps the inner products of a pair of blocks by vector column and ranks every recipe, geometry and candidate mode from them."""
+"""Retrieval reports of many recipes at once: a pair of blocks meets once and is ranked in every recipe, geometry and candidate mode."""
 
 from __future__ import annotations
 
@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 
 from vecatlas.functions.vectors import is_valid, scaled, unit
 from vecatlas.operators.layout import pca
-from vecatlas.operators.search import BLOCK
+from vecatlas.operators.search import ROWS, best_columns, dealt, matrix
 from vecatlas.sources.scratch import stash
 
 MODES = ("all", "unrelated")
-CHUNK = 256  # queries that are ranked at once
 
 
 @dataclass(frozen=True)
@@ -40,50 +39,39 @@ def ranked(rows: DataFrame, views: list[View], k: int, *, modes: tuple[str, ...]
     "unrelated" leaves out candidates of the row's own known artist or release; they are masked before ranking, so k candidates remain wherever so many exist. Rows are dealt to blocks; a pair of blocks
     is one task's work and sends k rows per query, view and mode; labels travel along, so nothing is joined afterwards.
     """
-    spark, columns = rows.sparkSession, sorted({c for v in views for c in v.weights})
-    blocks = blocks or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4, -(-rows.count() // BLOCK))
+    columns = sorted({c for v in views for c in v.weights})
     base = rows
     for c in columns:
         base = unit(base, c, c)
-    base = base.select("id", "label", "artist", "release", *columns, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("own"))
-    pairs = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = base.withColumn("a", F.col("own")).withColumn("b", pairs).withColumn("side", F.lit(0))
-    right = base.withColumn("a", pairs).withColumn("b", F.col("own")).withColumn("side", F.lit(1))
+    base = base.select("id", "label", "artist", "release", *columns)
     kind = rows.schema["label"].dataType.simpleString()
 
     def best(key, table):
         side = np.array(table["side"])
         q, d = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1)).sort_by("id")
+        names = [("view", pa.int32()), ("id", pa.int64()), ("other", pa.int64()), ("score", pa.float64()), ("ql", table["label"].type), ("nl", table["label"].type)]
+        parts = [pa.schema(names).empty_table()]
+        if not (q.num_rows and d.num_rows):
+            return parts[0]
         qi, di = np.array(q["id"]), np.array(d["id"])
         (qa, da), (qr, dr) = (_codes(q[c].to_pylist(), d[c].to_pylist()) for c in ("artist", "release"))
-        matrix = lambda t, c: np.array(t[c].to_pylist(), dtype=np.float64).reshape(t.num_rows, -1)
-        grids = {c: (matrix(q, c), matrix(d, c)) for c in columns}
-        out: dict[tuple, list] = {}
-        for lo in range(0, len(qi), CHUNK):
-            part = slice(lo, lo + CHUNK)
-            cosines = {c: x[part] @ y.T for c, (x, y) in grids.items()}
-            own = qi[part][:, None] == di[None, :]
-            kin = own | ((qa[part][:, None] == da[None, :]) & (qa[part] >= 0)[:, None]) | ((qr[part][:, None] == dr[None, :]) & (qr[part] >= 0)[:, None])
-            for v in views:
-                total = sum(v.weights.values())
-                score = np.round(sum(w / total * cosines[c] for c, w in v.weights.items()), 6)
-                for mode in modes:
-                    s = np.where(kin if mode == "unrelated" else own, -np.inf, score)
-                    top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                    value = np.take_along_axis(s, top, axis=1)
-                    i, j = np.nonzero(value > -np.inf)
-                    out.setdefault((v.recipe, v.geometry, mode), []).append((lo + i, top[i, j], value[i, j]))
-        parts = []
-        for (recipe, geometry, mode), found in out.items():
-            i, j, s = (np.concatenate(x) for x in zip(*found, strict=True))
-            same = lambda x, n=len(i): pa.array([x] * n, pa.string())
-            parts.append(pa.table({"recipe": same(recipe), "geometry": same(geometry), "mode": same(mode), "id": pa.array(qi[i], pa.int64()), "other": pa.array(di[j], pa.int64()), "score": pa.array(s, pa.float64()), "ql": q["label"].take(pa.array(i)), "nl": d["label"].take(pa.array(j))}))
-        names = [("recipe", pa.string()), ("geometry", pa.string()), ("mode", pa.string()), ("id", pa.int64()), ("other", pa.int64()), ("score", pa.float64()), ("ql", table["label"].type), ("nl", table["label"].type)]
-        return pa.concat_tables(parts) if parts else pa.schema(names).empty_table()
-
-    local = left.unionByName(right).groupBy("a", "b").applyInArrow(best, f"recipe string, geometry string, mode string, id long, other long, score double, ql {kind}, nl {kind}")
-    w = Window.partitionBy("recipe", "geometry", "mode", "id").orderBy(F.desc("score"), "other")
-    return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("recipe", "geometry", "mode", "id", "other", "score", "rank", "ql", "nl")
+        for n, v in enumerate(views):
+            total = sum(v.weights.values())
+            x, y = (np.hstack([matrix(t[c]) * math.sqrt(w / total) for c, w in v.weights.items()]) for t in (q, d))
+            for lo in range(0, len(qi), ROWS):
+                own = lambda i, j: qi[lo + i] == di[j]  # noqa: E731, B023
+                kin = lambda i, j: own(i, j) | ((qa[lo + i] == da[j]) & (da[j] >= 0)) | ((qr[lo + i] == dr[j]) & (dr[j] >= 0))  # noqa: E731, B023
+                some = x[lo : lo + ROWS]
+                found = best_columns(lambda first, end: some @ y[first:end].T, len(some), len(di), k, [kin if mode == "unrelated" else own for mode in modes])  # noqa: B023
+                for m, (i, j, s) in enumerate(found):
+                    i += lo
+                    parts.append(pa.table([np.full(len(i), n * len(modes) + m, dtype=np.int32), qi[i], di[j], s, q["label"].take(pa.array(i)), d["label"].take(pa.array(j))], pa.schema(names)))
+        return pa.concat_tables(parts)
+
+    local = dealt(base, base, columns, blocks).groupBy("a", "b").applyInArrow(best, f"view int, id long, other long, score double, ql {kind}, nl {kind}")
+    w = Window.partitionBy("view", "id").orderBy(F.desc("score"), "other")
+    told = F.array(*(F.struct(F.lit(v.recipe).alias("recipe"), F.lit(v.geometry).alias("geometry"), F.lit(mode).alias("mode")) for v in views for mode in modes))
+    return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(told[F.col("view")].alias("v"), "*").select("v.*", "id", "other", "score", "rank", "ql", "nl")
 
 
 def report(best: DataFrame, splits: DataFrame) -> DataFrame:
@@ -130,5 +118,5 @@ def compare_recipes(rows: DataFrame, recipes: dict[str, tuple[str, dict[str, flo
             good = good.join(reduced.select("id", F.col("reduced").alias(f"pca_{i}")), "id")
             views.append(View(name, f"pca{pca_dims}", {f"pca_{i}": 1.0}))
         good = stash(good, "cohort-pca")
-    return picked(report(ranked(good, views, k), good), {name: family for name, (family, _) in recipes.items()})
+    return picked(stash(report(ranked(good, views, k), good), "report"), {name: family for name, (family, _) in recipes.items()})
 
