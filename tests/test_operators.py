@@ -168,3 +168,47 @@ def test_rank_correlation_of_distances(spark):
     assert layout.broad_spearman(high, low).first()["rho"] == 1.0
     assert layout.broad_spearman(high, one).first()["rho"] is None and layout.broad_spearman(high.limit(2), low).first()["rho"] is None
     assert layout.broad_spearman(high.limit(0), low).first()["rho"] is None
+
+
+def test_best_columns_against_a_whole_sort():
+    r = np.random.default_rng(2)
+    s = r.integers(0, 40, size=(50, 3000)) / 40  # many ties
+    s[0], s[1, 5] = np.nan, 2.0
+    own = lambda i, j: i == j
+    odd = lambda i, j: (i == j) | (j % 2 == 1)
+    for least in (None, np.full(50, 0.975)):
+        for (i, j, v), no in zip(search.best_columns(lambda a, b: s[:, a:b], 50, 3000, 7, [own, odd], least), (own, odd), strict=True):
+            want = []
+            for x in range(50):
+                ok = [y for y in range(3000) if s[x, y] == s[x, y] and not no(x, y) and (least is None or s[x, y] >= least[x])]
+                want += [(x, y, round(s[x, y], 6)) for y in sorted(ok, key=lambda y: (-s[x, y], y))[:7]]
+            assert list(zip(i.tolist(), j.tolist(), v.tolist(), strict=True)) == want
+
+
+def counted(df):
+    """df and an accumulator of the rows that were made of it."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(run, df.schema), seen
+
+
+def test_moments_read_their_rows_once(spark):
+    df, seen = counted(spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "id long, vec array<double>"))
+    n, s, p = layout.moments(df, ["vec"])
+    assert (n, s.tolist(), p.tolist()) == (20, [190.0, 20.0], [[2470.0, 190.0], [190.0, 20.0]]) and seen.value == 20
+    n, s, p = layout.moments(df.limit(0), ["vec"])
+    assert n == 0 and s.shape == (0,) and p.shape == (0, 0)
+
+
+def test_graph_operators_make_their_edges_once(spark):
+    links = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (4, 5, 1.0)], "src long, dst long, weight double")
+    rows = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(1, 6)], "id long, vec array<double>")
+    for run in (lambda e: graph.bridged(e, rows, most=1), lambda e: graph.communities(e, rounds=2, levels=1), lambda e: graph.modularity(e, rows.select(F.col("id").alias("v"), F.lit(1).alias("community")))):
+        edges, seen = counted(links)
+        run(edges).collect()
+        assert seen.value == 3

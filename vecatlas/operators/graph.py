@@ -43,7 +43,7 @@ def bridged(edges: DataFrame, rows: DataFrame, most: int = 512) -> DataFrame:
     In a round each component takes its strongest pair with any other one (ties: least ids), which at least halves their number; all pairs of rounds together
     are that tree. Beyond ``most`` components the edges stay as they are. A row without an edge is a component.
     """
-    edges, first = edges.select("src", "dst", "weight"), True
+    edges, first = stash(edges.select("src", "dst", "weight"), "edges"), True  # a kNN search may lie behind them
     while True:
         known = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).withColumnRenamed("v", "id")
         parted = stash(rows.select("id", "vec").join(known, "id", "left").select("id", "vec", F.coalesce("label", "id").alias("label")), "parted")
@@ -58,6 +58,7 @@ def bridged(edges: DataFrame, rows: DataFrame, most: int = 512) -> DataFrame:
 
 def modularity(edges: DataFrame, membership: DataFrame, gamma: float = 1.0) -> DataFrame:
     """One row: sum over communities of the inner share of weight minus gamma times the squared share of degree. edges (src, dst, weight) are undirected, membership is (v, community)."""
+    edges = stash(edges.select("src", "dst", "weight"), "edges")
     a, b = membership.toDF("src", "ca"), membership.toDF("dst", "cb")
     e = edges.join(a, "src").join(b, "dst")
     total = edges.agg(F.sum("weight").alias("m")).first()["m"] or 1.0
@@ -74,6 +75,7 @@ def communities(edges: DataFrame, gamma: float = 1.0, rounds: int = 12, levels:
     community), then those of the other parity; so neighbours rarely swap. When nothing moves, communities become the vertices of the
     next level. A community is named by its least member.
     """
+    edges = stash(edges.select("src", "dst", "weight"), "edges")
     total = 2 * (edges.agg(F.sum("weight")).first()[0] or 1.0)
     level = stash(edges.where("weight > 0 AND src <> dst").select("src", "dst", "weight").unionAll(edges.where("weight > 0 AND src <> dst").select(F.col("dst"), F.col("src"), "weight")).toDF("v", "u", "weight"), "graph")
     result = stash(level.select(F.col("v").alias("item"), F.col("v").alias("c")).distinct(), "membership")

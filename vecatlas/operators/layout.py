@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecatlas.operators.search import literal
+from vecatlas.operators.search import literal, matrix
 
 
 def moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -18,17 +20,19 @@ def moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndar
         n, s, p = 0, None, None
         for b in batches:
             if b.num_rows:
-                x = np.array(b.column(0).to_pylist(), dtype=np.float64)
+                x = matrix(b.column(0))
                 n += len(x)
                 s, p = (x.sum(axis=0), x.T @ x) if s is None else (s + x.sum(axis=0), p + x.T @ x)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([s.tolist()], pa.list_(pa.float64())), pa.array([p.ravel().tolist()], pa.list_(pa.float64()))], ["n", "s", "p"])
-
-    parts = both.mapInArrow(add, "n long, s array<double>, p array<double>")
-    total = parts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    grid = lambda c: np.array([r["x"] for r in parts.select(F.posexplode(c).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()])
-    s = grid("s")
-    return total, s, grid("p").reshape(len(s), len(s))
+            yield pa.RecordBatch.from_arrays([pa.array([[float(n), *s, *p.ravel()]], pa.list_(pa.float64()))], ["m"])
+
+    # one job, as what comes before may be costly
+    parts = both.mapInArrow(add, "m array<double>").select(F.posexplode("m").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
+    m = np.array([r["x"] for r in parts.orderBy("i").collect()])
+    if not len(m):
+        return 0, np.zeros(0), np.zeros((0, 0))
+    width = (math.isqrt(4 * len(m) - 3) - 1) // 2  # of 1 + width + width^2 numbers
+    return int(m[0]), m[1 : width + 1], m[width + 1 :].reshape(width, width)
 
 
 def pca(df: DataFrame, dims: int, fit_on: DataFrame | None = None) -> DataFrame:

@@ -40,7 +40,7 @@ def fit(rows: DataFrame, label: str = "class", *, weight: str | None = None, pai
     inner, outer = (p - between) / total, between / total - np.outer(mean, mean)
     if pairs is not None:
         left, right = base.select(F.col("id").alias("a"), F.col("vec").alias("x")), base.select(F.col("id").alias("b"), F.col("vec").alias("y"))
-        apart = pairs.join(left, "a").join(right, "b").select(F.expr("zip_with(x, y, (p, q) -> CAST(p AS DOUBLE) - q)").alias("v"), F.lit(1.0).alias("w"))
+        apart = stash(pairs.join(left, "a").join(right, "b").select(F.expr("zip_with(x, y, (p, q) -> CAST(p AS DOUBLE) - q)").alias("v"), F.lit(1.0).alias("w")), "apart")
         if not apart.isEmpty():
             n, _, q = weighted_moments(apart, "v", "w")
             outer = outer + push * q / n * (np.trace(outer) / max(np.trace(q / n), 1e-12))
