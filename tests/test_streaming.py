@@ -124,3 +124,46 @@ def test_scan_progress_in_chunks(spark, tmp_path):
     counts = spark.read.parquet(str(tmp_path / "p" / "counts" / "v=2"))
     assert {r["scan"]: (r["done"], r["errors"]) for r in counts.collect()} == {"s": (250, 36), "t": (20, 0), "u": (1, 1)}
     assert not watch.drained(counts).first()[0] and watch.drained(counts.where("scan <> 't'")).first()[0] and watch.drained(counts.limit(0)).first()[0]
+
+
+class Kept:
+    """A state and its timers, with the calls that a store would be asked."""
+
+    def __init__(self):
+        self.value, self.timers, self.asked = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+        self.asked += 1
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+        self.asked += 1
+
+
+def test_timers_are_told_once_a_batch():
+    import pandas as pd
+
+    file, kept = watch._Settle(3, 50), Kept()
+    file.init(kept)
+    batch = lambda *seen: [tuple(r) for f in file.handleInputRows(("a",), iter([pd.DataFrame(seen, columns=["ms", "size"])]), None) for r in f.values.tolist()]
+    assert batch(*((100 * i, float(i)) for i in range(40))) == [("a", i, 100 * i + 50, "timer") for i in range(39)]
+    assert kept.timers == {3950} and kept.asked == 1  # 79 before
+    assert batch((3960, None)) == [("a", 39, 3950, "timer")] and not kept.timers and kept.asked == 2
+    assert batch((4000, 7.0), (4010, 7.0)) == [] and kept.timers == {4050}
+    assert batch((4020, 7.0)) == [("a", 7, 4020, "equal")] and not kept.timers

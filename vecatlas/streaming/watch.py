@@ -41,32 +41,34 @@ class _Settle(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         path, out = key[0], []
-        seen = pd.concat(list(rows)).sort_values(["ms", "size"], na_position="first")
-        size, equal, deadline, waits = self.file.get() if self.file.exists() else (None, 0, 0, False)
+        seen = sorted(((ms, None if pd.isna(new) else int(new)) for some in rows for ms, new in zip(some["ms"], some["size"], strict=True)), key=lambda x: (x[0], x[1] is not None, x[1] or 0))
         known = self.file.exists()
-        for ms, new in zip(seen["ms"], seen["size"], strict=True):
+        size, equal, deadline, waits = self.file.get() if known else (None, 0, 0, False)
+        timer = deadline if waits else None
+        for ms, new in seen:
             if waits and ms >= deadline:
                 out.append((path, size, deadline, "timer"))
-                self.handle.deleteTimer(deadline)
                 waits = False
-            if pd.isna(new):  # the file is gone
-                if waits:
-                    self.handle.deleteTimer(deadline)
+            if new is None:  # the file is gone
                 known, waits = False, False
             elif not known or (not waits and new != size):
-                known, waits, size, equal, deadline = True, True, int(new), 1, int(ms) + self.wait
-                self.handle.registerTimer(deadline)
+                known, waits, size, equal, deadline = True, True, new, 1, int(ms) + self.wait
             elif waits:
-                size, equal = int(new), equal + 1 if new == size else 1
+                size, equal = new, equal + 1 if new == size else 1
             if waits and equal >= self.polls:
                 out.append((path, size, int(ms), "equal"))
-                self.handle.deleteTimer(deadline)
                 waits = False
+        # each of these asks the store, and no timer fires within a batch, so only what is left of it is told
+        if timer is not None and not (waits and deadline == timer):
+            self.handle.deleteTimer(timer)
+        if waits and deadline != timer:
+            self.handle.registerTimer(deadline)
         if known:
             self.file.update((size, equal, deadline, waits))
         else:
             self.file.clear()
-        yield pd.DataFrame(out, columns=["path", "size", "seen_ms", "why"])
+        if out:
+            yield pd.DataFrame(out, columns=["path", "size", "seen_ms", "why"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         out = []
