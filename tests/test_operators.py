@@ -212,3 +212,17 @@ def test_graph_operators_make_their_edges_once(spark):
         edges, seen = counted(links)
         run(edges).collect()
         assert seen.value == 3
+
+
+def test_a_batch_is_projected_without_python_numbers():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    x, basis = np.arange(640_000, dtype=np.float64).reshape(10_000, 64), np.eye(64)[:, :3]
+    b = pa.RecordBatch.from_arrays([search.lists(x)], ["vec"])
+    tracemalloc.start()
+    got = layout.projected_batch(b, np.ones(64), basis, "out")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["out"].to_pylist() == (x[:, :3] - 1).tolist() and got["vec"].equals(b["vec"]) and peak < 12e6

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecatlas.operators.search import literal, matrix
+from vecatlas.operators.search import lists, literal, matrix
 
 
 def moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -53,13 +53,17 @@ def project(df: DataFrame, mean: np.ndarray, basis: np.ndarray, out: str) -> Dat
 
     def run(batches):
         for b in batches:
-            x = np.array(b.column(b.schema.get_field_index("vec")).to_pylist(), dtype=np.float64).reshape(b.num_rows, len(mean))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(((x - mean) @ basis).tolist(), pa.list_(pa.float64()))], [*b.schema.names, out])
+            yield projected_batch(b, mean, basis, out)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     return df.mapInArrow(run, f"{fields}, {out} array<double>")
 
 
+def projected_batch(b: pa.RecordBatch, mean: np.ndarray, basis: np.ndarray, out: str) -> pa.RecordBatch:
+    x = matrix(b.column(b.schema.get_field_index("vec"))).reshape(b.num_rows, len(mean))
+    return pa.RecordBatch.from_arrays([*b.columns, lists((x - mean) @ basis)], [*b.schema.names, out])
+
+
 def similarity_transform(a: DataFrame, b: DataFrame, *, least: int = 8, scale: bool = True) -> tuple[np.ndarray, float, np.ndarray, np.ndarray] | None:
     """Rotation or reflection, scale and centroids that carry the shared ids of a onto b; None when too few are shared."""
     both = a.select("id", F.array("x", "y").alias("p")).join(b.select("id", F.array("x", "y").alias("q")), "id")

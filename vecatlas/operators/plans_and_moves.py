@@ -11,6 +11,7 @@ from vecatlas.functions.paths import ancestors, parent, root
 from vecatlas.functions.vectors import dot, norm, unit
 from vecatlas.operators.layout import project
 from vecatlas.operators.scoring import ancestor_centroids
+from vecatlas.operators.search import matrix
 
 # A folder's anchor needs four rows, and inherits above this cosine.
 ANCHOR_ROWS, ANCHOR_COSINE = 4, 0.6
@@ -110,7 +111,7 @@ def reweight(rows: DataFrame, directions: DataFrame, boost: float, depth_boost:
         total = None
         for b in batches:
             if b.num_rows:
-                t = np.array(b.column(1).to_pylist(), dtype=np.float64)
+                t = matrix(b.column(1))
                 part = (t * np.array(b.column(0).to_pylist())[:, None]).T @ t
                 total = part if total is None else total + part
         if total is not None:

@@ -60,6 +60,11 @@ def matrix(column) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
 
 
+def lists(x: np.ndarray) -> pa.ListArray:
+    """A matrix as an Arrow column, without a Python number for each of its own."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel()))
+
+
 def best_columns(score, rows: int, columns: int, k: int, barred: list, least: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row, column, value) of each row's k greatest scores, rounded to 6 places, ties by the lesser column, for each rule of which pairs don't count.
 
