@@ -5,6 +5,7 @@ from collections import Counter
 from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +162,24 @@ def test_held_out_documents_score_above_the_base(spark):
     n = sum(r["n_tokens"] for r in rows)
     assert sum(r["score"] for r in rows) / n > sum(r["base_score"] for r in rows) / n + 0.1
     assert sum(r["score"] > r["base_score"] for r in rows) > 0.9 * len(rows)
+
+
+def test_columns_split_as_tokens_do():
+    odd = [*(f"{chr(i)}A{chr(i)}b{chr(i)}" for i in [*range(1, 65), 127, 133, 160, 8232]), "", " ", "\r\n\t", " \x0b Straße\x1cÉ  x", "ÀB\x00c d" * 50]
+    words, lengths = lm.split(pa.array(odd))
+    own = [lm.tokens(t.encode())[:-1] for t in odd]
+    assert words.to_pylist() == [w for ws in own for w in ws] and lengths.tolist() == [len(ws) for ws in own]
+    words, lengths = lm.split(pa.array(["-", " x ", "y"]).slice(1))
+    assert words.to_pylist() == [b"x", b"y"] and lengths.tolist() == [1, 1]
+
+
+def test_states_are_compared_with_the_classes_many_at_once(monkeypatch):
+    """A long text beside short ones had a call, of all classes, for 16 of its tokens."""
+    calls, plain = [], lm.Gru.log_probs
+    monkeypatch.setattr(lm.Gru, "log_probs", lambda self, h, *a: (calls.append(len(h)), plain(self, h, *a))[1])
+    names = [lm.END, b"a", b"b"]
+    voc = lm.Vocabulary({w: i for i, w in enumerate(names)}, np.array([0, 1, 2, lm.HEAD + lm.GROUPS]), np.array([0, 0, 1, lm.CLASSES + lm.GROUPS]), np.array([0, 1, 0, 0]), np.zeros(3), np.log10([0.1, 0.5, 0.4]), 100, 3, 0, 0.0, 1.0, 0.1)
+    n, known, base, score, rare = lm._scored([b"A b " * 5000, b"", b"z A z y", b"b"], voc, lm.start(voc, np.array([10.0, 50.0, 40.0])))
+    assert n.tolist() == [10001, 1, 5, 2] and known.tolist() == [10001, 1, 2, 2] and sum(calls) == 10009 and len(calls) == 1
+    assert base[2] == pytest.approx(math.log10(0.5) + math.log10(0.1)) and np.isfinite(score).all()
+    assert [{r["word"]: r["times"] for r in rs} for rs in rare.to_pylist()] == [{}, {}, {b"z": 2, b"y": 1}, {}]

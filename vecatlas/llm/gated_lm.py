@@ -7,6 +7,8 @@ of letter-alike head tokens, the groups, the rest); within a class of head token
 the rest a word's share of the counts, or, for a word never seen, an equal share of what Good and Turing leave to the unseen: the number of unseen words is
 Chao's estimate f1 (f1 - 1) / (2 (f2 + 1)) from the words seen once and twice. So the probabilities of all words, seen and unseen, add up to one.
 
+Texts are split and looked up as Arrow columns, without a Python object for a token; each gate has its own contiguous matrix, and scores of classes are made for as many states as stay in a core's cache.
+
 Training: truncated backpropagation over windows, in every task on a stream of all its training texts, each once, CHUNK tokens at a time, starting from the
 same weights; the tasks' weights are averaged. Every training text teaches in one of ROUNDS such rounds, by hash. Words seen once are the rest there, as
 unseen ones are later; for scoring the rest's bias is raised to the share that it has in new text. Scoring is one narrow pass; only rare words are shuffled, to meet
@@ -17,13 +19,13 @@ Null and empty texts have the end as their one token. Without training texts all
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +35,27 @@ END = b"\n"  # no word
 HEAD, CLASSES, MID, GROUPS = 2048, 64, 200_000, 24
 STATE, WINDOW, LANES = 24, 20, 512
 CHUNK, ROUNDS, RATES = 1_000_000, 2, (0.01, 0.004)
+CACHED = 1024  # states whose class scores stay in a core's cache
+TEXTS, STATES = 4000, 16_384  # that are scored together
 
 
 def tokens(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of strings, one text after the other, and how many each has: tokens() without a Python object for each, and without the ends."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, edges = lists.flatten().cast(pa.binary()), lists.offsets.to_numpy()
+    real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # blanks at either end of a text leave an empty one
+    if not real.all():
+        words, edges = words.filter(pa.array(real)), np.concatenate([[0], np.cumsum(real)])[edges]
+    return words, np.diff(edges)
+
+
+_GATES = np.arange(3)[:, None]
+
+
 class Gru:
     """Weights as one float32 vector with named views."""
 
@@ -60,17 +77,22 @@ class Gru:
     def like(self, flat: np.ndarray) -> Gru:
         return Gru(self.sizes["e"][0], self.sizes["wc"][1], flat)
 
-    def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        k = STATE
-        g, s = self.e[x], h @ self.u
-        zr = g[:, : 2 * k] + s[:, : 2 * k]
+    def recurrent(self) -> np.ndarray:
+        """u as one matrix for each gate."""
+        return np.ascontiguousarray(self.u.reshape(STATE, 3, STATE).transpose(1, 0, 2))
+
+    def step(self, h: np.ndarray, x: np.ndarray, u: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """New states, gates and what the gradient needs; u is recurrent(), where there are many steps. Each gate has its own contiguous matrix."""
+        g, s = self.e.reshape(-1, STATE).take(3 * x + _GATES, axis=0), np.matmul(h, self.recurrent() if u is None else u)
+        zr, un = g[:2], s[2]
+        zr += s[:2]
         np.negative(zr, out=zr)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        z, r, un = zr[:, :k], zr[:, k:], s[:, 2 * k :]
+        z, r = zr
         n = r * un
-        n += g[:, 2 * k :]
+        n += g[2]
         np.tanh(n, out=n)
         new = h - n
         new *= z
@@ -79,49 +101,57 @@ class Gru:
 
     def log_probs(self, h: np.ndarray, cls: np.ndarray, word: np.ndarray, grads: Gru | None = None, dh: np.ndarray | None = None) -> np.ndarray:
         """Natural log of P(class) and, for head classes, of P(word in class), for each state; with grads also the gradient of their negative mean."""
-        rows = np.arange(len(h))
-        p = h @ self.wc
-        p += self.bc
-        if not self._small(self.wc, self.bc):
-            p -= p.max(axis=1, keepdims=True)
-        out = p[rows, cls]
-        np.exp(p, out=p)
-        total = p @ np.ones(p.shape[1], dtype=p.dtype)
-        out -= np.log(total)
-        if grads is not None:
-            p /= total[:, None]
-            p[rows, cls] -= 1
-            p /= len(h)
-            grads.wc += h.T @ p
-            grads.bc += p.sum(axis=0)
-            dh += p @ self.wc.T
+        size, k = h.shape
+        one = np.ones((size, k + 1), dtype=h.dtype)  # the biases' input beside the state
+        one[:, :k] = h
+        w, small, out = np.vstack([self.wc, self.bc]), self._small(self.wc, self.bc), np.empty(size, dtype=h.dtype)
+        ones, back, gw = np.ones(w.shape[1], dtype=h.dtype), np.ascontiguousarray(self.wc.T), np.zeros_like(w)
+        room, begins = np.empty((min(size, CACHED), w.shape[1]), dtype=h.dtype), np.arange(min(size, CACHED)) * w.shape[1]
+        for lo in range(0, size, CACHED):
+            x = one[lo : lo + CACHED]
+            p, at = np.matmul(x, w, out=room[: len(x)]), begins[: len(x)] + cls[lo : lo + CACHED]
+            if not small:
+                p -= p.max(axis=1, keepdims=True)
+            flat = p.reshape(-1)
+            picked = flat.take(at)
+            np.exp(p, out=p)
+            total = p @ ones
+            out[lo : lo + CACHED] = picked - np.log(total)
+            if grads is not None:
+                p *= (1 / (total * size))[:, None]
+                flat[at] -= 1 / size
+                gw += x.T @ p
+                dh[lo : lo + CACHED] += p @ back
         head = np.flatnonzero(cls < CLASSES)
         order = head[np.argsort(cls[head].astype(np.int16), kind="stable")]
-        edges, x_all, w_all = np.searchsorted(cls[order], np.arange(CLASSES + 1)), h[order], word[order]
-        gain, back = np.empty(len(order), dtype=h.dtype), np.empty_like(x_all) if grads is not None else None
-        small, ones = self._small(self.wv, self.bv), np.ones(self.wv.shape[2], dtype=h.dtype)
-        for c in np.flatnonzero(np.diff(edges)):
+        edges, x_all, per = np.searchsorted(cls[order], np.arange(CLASSES + 1)), one.take(order, axis=0), self.wv.shape[2]
+        at_all = (np.arange(len(order)) - np.repeat(edges[:-1], np.diff(edges))) * per + word[order]  # in the matrix of its class
+        gain, sums_all = np.empty((2, len(order)), dtype=h.dtype)
+        back_all = np.empty((len(order), k), dtype=h.dtype) if grads is not None else None
+        w, small, ones = np.concatenate([self.wv, self.bv[:, None, :]], axis=1), self._small(self.wv, self.bv), np.ones(per, dtype=h.dtype)
+        room = np.empty((int(np.diff(edges).max()), per), dtype=h.dtype)
+        for c in np.flatnonzero(np.diff(edges)).tolist():
             own = slice(edges[c], edges[c + 1])
-            x, w = x_all[own], w_all[own]
-            q = x @ self.wv[c]
-            q += self.bv[c]
+            x, at = x_all[own], at_all[own]
+            q = np.matmul(x, w[c], out=room[: len(x)])
             if not small:
                 q -= q.max(axis=1, keepdims=True)
-            at = rows[: len(x)]
-            picked = q[at, w]
+            flat = q.reshape(-1)
+            flat.take(at, out=gain[own], mode="clip")
             np.exp(q, out=q)
-            sums = q @ ones
-            gain[own] = picked - np.log(sums)
+            sums = np.matmul(q, ones, out=sums_all[own])
             if grads is not None:
-                q /= sums[:, None]
-                q[at, w] -= 1
-                q /= len(h)
-                grads.wv[c] += x.T @ q
-                grads.bv[c] += q.sum(axis=0)
-                back[own] = q @ self.wv[c].T
-        out[order] += gain
+                q *= (1 / (sums * size))[:, None]
+                flat[at] -= 1 / size
+                g = x.T @ q
+                grads.wv[c] += g[:k]
+                grads.bv[c] += g[k]
+                np.matmul(q, self.wv[c].T, out=back_all[own])
+        out[order] += gain - np.log(sums_all)
         if grads is not None:
-            dh[order] += back
+            grads.wc += gw[:k]
+            grads.bc += gw[k]
+            dh[order] += back_all
         return out
 
     @staticmethod
@@ -151,24 +181,29 @@ def train(model: Gru, texts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]
         cls, word = (np.pad(a, (0, steps * lanes - size)) for a in (cls, word))
         x, cls, word, real = (a.reshape(lanes, steps).T for a in (x, cls, word, np.arange(steps * lanes) < size))
         h = np.zeros((lanes, k), dtype=np.float32)
+        grads = model.like(np.empty_like(model.flat))
+        g, root = np.empty_like(model.flat), np.empty_like(model.flat)
         for s in range(0, steps, WINDOW):
             xs, keep = x[s : s + WINDOW], (x[s : s + WINDOW] != end).astype(np.float32)[:, :, None]
-            n, states, cache = len(xs), [], []
+            n, cache, u = len(xs), [], model.recurrent()
+            states = np.empty((n, lanes, k), dtype=np.float32)
             for i in range(n):
-                states.append(h)
-                new, *rest = model.step(h, xs[i])
+                states[i] = h
+                new, *rest = model.step(h, xs[i], u)
                 cache.append(rest)
                 h = new * keep[i]
-            hs, grads = np.concatenate(states), model.like(np.zeros_like(model.flat))
+            hs = states.reshape(-1, k)
+            grads.flat[:] = 0
             on = np.flatnonzero(real[s : s + n])  # what fills up the last lane teaches nothing
             dh, own = np.zeros_like(hs), np.zeros((len(on), k), dtype=np.float32)
             model.log_probs(hs[on], cls[s : s + n].ravel()[on], word[s : s + n].ravel()[on], grads, own)
             dh[on] = own
             dh, carry = dh.reshape(n, lanes, k), np.zeros((lanes, k), dtype=np.float32)
-            dgs, dus = (np.empty((n, lanes, 3 * k), dtype=np.float32) for _ in range(2))
+            dgs, dus = (np.empty((3, n, lanes, k), dtype=np.float32) for _ in range(2))
+            turned = np.ascontiguousarray(u.transpose(0, 2, 1))
             for i in range(n - 1, -1, -1):
                 z, r, c, un = cache[i]
-                dz, dr, dn = (dgs[i, :, a : a + k] for a in (0, k, 2 * k))
+                dz, dr, dn = dgs[:, i]
                 d = carry * keep[i]
                 rest = 1 - z
                 np.multiply(d, rest, out=dn)
@@ -183,21 +218,32 @@ def train(model: Gru, texts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]
                 dr *= r
                 dr *= un
                 dr *= dn
-                dus[i] = dgs[i]
-                dus[i, :, 2 * k :] *= r
+                dus[:2, i] = dgs[:2, i]
+                np.multiply(dn, r, out=dus[2, i])
                 d *= z
-                d += dus[i] @ model.u.T
+                for part_of in np.matmul(dus[:, i], turned):
+                    d += part_of
                 d += dh[i]
                 carry = d
-            grads.u += hs.T @ dus.reshape(-1, 3 * k)
-            order_x = np.argsort(xs, axis=None, kind="stable")
+            grads.u += np.concatenate([hs.T @ a.reshape(-1, k) for a in dus], axis=1)
+            order_x = np.argsort(xs.astype(np.int16), axis=None, kind="stable")
             kinds, firsts = np.unique(xs.ravel()[order_x], return_index=True)
-            grads.e[kinds] = np.add.reduceat(dgs.reshape(-1, 3 * k)[order_x], firsts, axis=0)
+            by_input = dgs.reshape(-1, k).take(order_x[:, None] + n * lanes * _GATES.T, axis=0).reshape(-1, 3 * k)
+            grads.e[kinds] = np.add.reduceat(by_input, firsts, axis=0)
             t += 1
-            g = np.clip(grads.flat, -1, 1)
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            model.flat -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+            np.clip(grads.flat, -1, 1, out=g)
+            m *= 0.9
+            v *= 0.99
+            m += np.multiply(g, 0.1, out=root)
+            g *= g
+            g *= 0.01
+            v += g
+            np.sqrt(v, out=root)
+            root /= (1 - 0.99**t) ** 0.5
+            root += 1e-6
+            np.divide(m, root, out=g)
+            g *= rate / (1 - 0.9**t)
+            model.flat -= g
 
     part, size, total = [], 0, 0
     for text in texts:
@@ -232,6 +278,20 @@ class Vocabulary:
     def rest(self) -> int:
         return HEAD + GROUPS
 
+    @cached_property
+    def end(self) -> int:
+        """Place of the end, -1 without training texts."""
+        return pc.index(self.words, pa.scalar(END, pa.binary())).as_py()
+
+    @cached_property
+    def words(self) -> pa.Array:
+        """The keys of the index, by place."""
+        return pa.array(sorted(self.index, key=self.index.get), pa.binary())
+
+    def __getstate__(self) -> dict:
+        """Tasks get the words as one array."""
+        return {**self.__dict__, "words": self.words, "index": None}
+
 
 def _groups(words: list[bytes], counts: np.ndarray, groups: int) -> np.ndarray:
     """Letter-alike groups: k-means on the words' shares of bytes and byte pairs."""
@@ -255,15 +315,15 @@ def _groups(words: list[bytes], counts: np.ndarray, groups: int) -> np.ndarray:
 
 def _count(batches):
     for batch in batches:
-        seen: Counter = Counter()
-        for t in batch.column(0).to_pylist():
-            seen.update(tokens(t))
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        found = split(batch.column(0))[0].value_counts()
+        yield pa.RecordBatch.from_arrays([found.field(0), found.field(1)], ["word", "n"])
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([batch.num_rows], pa.int64())], ["word", "n"])
 
 
 def count(docs: DataFrame) -> DataFrame:
     """(word, n), stored."""
-    return stash(docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    return stash(docs.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -295,10 +355,25 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     )
 
 
-def _encoded(text: list[bytes], voc: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places in the vocabulary (-1: the rest), inputs, classes, words in classes; the last entries of the vocabulary's arrays are the rest's."""
-    at = np.fromiter(map(voc.index.get, text, repeat(-1)), dtype=np.int32, count=len(text))
-    return at, voc.symbol[at], voc.cls[at], voc.word[at]
+def _encoded(texts: pa.Array, voc: Vocabulary) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of texts, the places of all tokens in the vocabulary (-1: the rest), and where each text begins among these, with an end more."""
+    words, lengths = split(texts)
+    begin = np.concatenate([[0], np.cumsum(lengths + 1)])
+    at = np.full(begin[-1], voc.end, dtype=np.int32)
+    inner = np.ones(len(at), dtype=bool)
+    inner[begin[1:] - 1] = False
+    at[inner] = pc.fill_null(pc.index_in(words, value_set=voc.words), -1).to_numpy()
+    return words, at, begin
+
+
+def _streamed(batches: Iterable[pa.RecordBatch], voc: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Inputs, classes and words in classes of each text; the last entries of the vocabulary's arrays are the rest's."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 1000):
+            _, at, begin = _encoded(b.column(0).slice(lo, 1000), voc)
+            codes = voc.symbol[at], voc.cls[at], voc.word[at]
+            for first, end in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                yield tuple(c[first:end] for c in codes)
 
 
 def start(voc: Vocabulary, counts_of: np.ndarray) -> Gru:
@@ -328,8 +403,7 @@ def fit(docs: DataFrame, train_on: Column, voc: Vocabulary) -> Gru:
 
         def local(batches, now=now, rate=rate):
             voc = known.value
-            texts = (_encoded(tokens(t), voc)[1:] for b in batches for t in b.column(0).to_pylist())
-            own, n = train(Gru(HEAD + GROUPS + 1, CLASSES + GROUPS + 1, now.value), texts, int(voc.symbol[0]), rate=rate)
+            own, n = train(Gru(HEAD + GROUPS + 1, CLASSES + GROUPS + 1, now.value), _streamed(batches, voc), int(voc.symbol[0]), rate=rate)
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([(own.flat * float(n)).astype(np.float32).tobytes()], pa.binary()), pa.array([float(n)])], ["flat", "weight"])
 
@@ -342,7 +416,7 @@ def fit(docs: DataFrame, train_on: Column, voc: Vocabulary) -> Gru:
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([weight])], ["flat", "weight"])
 
-        parts = drawn.select(F.col("text").cast("binary").alias("text")).mapInArrow(local, "flat binary, weight double").repartition(8).mapInArrow(added, "flat binary, weight double").collect()
+        parts = drawn.select("text").mapInArrow(local, "flat binary, weight double").repartition(8).mapInArrow(added, "flat binary, weight double").collect()
         if parts:
             total = sum(np.frombuffer(p["flat"], dtype=np.float32).astype(np.float64) for p in parts)
             weight = sum(p["weight"] for p in parts)
@@ -354,45 +428,55 @@ def fit(docs: DataFrame, train_on: Column, voc: Vocabulary) -> Gru:
     return model
 
 
-def _scored(texts: list[bytes], voc: Vocabulary, model: Gru) -> tuple[list[int], list[int], np.ndarray, np.ndarray, list[list[bytes]], list[list[int]]]:
+def _scored(texts: pa.Array | list[bytes], voc: Vocabulary, model: Gru) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.ListArray]:
     """n_tokens, known, base and score (log10, without the rest's words), and each text's rare words with their counts."""
-    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    coded, n_tokens, known = [None] * len(texts), [0] * len(texts), [0] * len(texts)
-    base, score = np.zeros(len(texts)), np.zeros(len(texts))
-    rare_words, rare_counts = [[] for _ in texts], [[] for _ in texts]
-    for i in order:
-        words = tokens(texts[i])
-        at, *codes = _encoded(words, voc)
-        coded[i], n_tokens[i] = codes, len(words)
-        seen = at[at >= 0]
-        known[i], base[i], score[i] = len(seen), voc.base[seen].sum() if len(seen) else 0.0, voc.within[seen].sum() if len(seen) else 0.0
-        if len(seen) < len(words):
-            c = Counter([words[j] for j in np.flatnonzero(at < 0)])
-            rare_words[i], rare_counts[i] = list(c), list(c.values())
-    order = sorted(range(len(texts)), key=lambda i: -n_tokens[i])
-    length = np.array([n_tokens[i] for i in order])
-    begin = np.cumsum(length) - length
-    x, cls, word = (np.concatenate([coded[i][j] for i in order]) if order else np.zeros(0, dtype=np.int32) for j in range(3))
-    total, h = np.zeros(len(order)), np.zeros((len(order), STATE), dtype=np.float32)
-    window = 16
-    for s in range(0, int(length[0]) if len(length) else 0, window):
-        live = int(np.searchsorted(-length, -s, side="left"))  # lengths fall
-        h = h[:live]
-        states, places, who = [], [], []
-        for t in range(s, s + window):
-            on = int(np.searchsorted(-length[:live], -t, side="left"))
-            if not on:
-                break
-            at = begin[:on] + t
-            states.append(h[:on])
-            places.append(at)
-            who.append(np.arange(on))
-            new = model.step(h[:on], x[at])[0]
-            h = new if on == len(h) else np.concatenate([new, h[on:]])
-        at, of = np.concatenate(places), np.concatenate(who)
-        total += np.bincount(of, weights=model.log_probs(np.concatenate(states), cls[at], word[at]), minlength=len(order))
-    score[order] += total / np.log(10)
-    return n_tokens, known, base, score, rare_words, rare_counts
+    if isinstance(texts, list):
+        texts = pa.array(texts, pa.string())
+    words, at, begin = _encoded(texts, voc)
+    length, begin = np.diff(begin), begin[:-1]
+    of = np.repeat(np.arange(len(length), dtype=np.int32), length)
+    total = lambda values: np.add.reduceat(values, begin)
+    base, score = (total(np.append(a, 0.0)[at]) for a in (voc.base, voc.within))
+    known, rare = total((at >= 0).astype(np.int64)), np.flatnonzero(at < 0)
+    # a word lies as many places ahead of its token as there are ends before it; an end that is not known is no word
+    ends = np.zeros(len(at), dtype=bool)
+    ends[begin + length - 1] = True
+    word = ~ends[rare]
+    kinds = words.take(pa.array((rare - of[rare])[word])).dictionary_encode()
+    code, kinds = np.full(len(rare), len(kinds.dictionary)), pa.DictionaryArray.from_arrays(kinds.indices, pa.concat_arrays([kinds.dictionary, pa.array([END])]))
+    code[word] = kinds.indices.to_numpy()
+    pair, times = np.unique(of[rare].astype(np.int64) * len(kinds.dictionary) + code, return_counts=True)
+    who, code = np.divmod(pair, len(kinds.dictionary))
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(length)))]).astype(np.int32)
+    rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([kinds.dictionary.take(pa.array(code)), pa.array(times.astype(np.int32))], ["word", "times"]))
+    return length, known, base, score + total(_read(at, of, begin, length, voc, model)) / np.log(10), rare
+
+
+def _read(at: np.ndarray, of: np.ndarray, begin: np.ndarray, length: np.ndarray, voc: Vocabulary, model: Gru) -> np.ndarray:
+    """The natural log of each token's probability by the model, as float64, without what a group or the rest says.
+
+    All texts go forward together, long ones first, so that those still unread stand together; tokens lie by step, and states are gathered until there are many to compare with the classes.
+    """
+    place = np.empty(len(length), dtype=np.int32)
+    place[np.argsort(-length, kind="stable")] = np.arange(len(length))
+    live = np.searchsorted(np.sort(-length), -np.arange(length.max()), side="left")
+    first = np.concatenate([[0], np.cumsum(live)])
+    to = first[np.arange(len(at)) - begin[of]] + place[of]  # where a token of a text lies among those by step
+    by_step = np.empty_like(at)
+    by_step[to] = at
+    x, u = voc.symbol[by_step], model.recurrent()
+    out, h = np.empty(len(at)), np.zeros((len(length), STATE), dtype=np.float32)
+    held, lo = np.empty((STATES + len(length), STATE), dtype=np.float32), 0
+    for t, on in enumerate(live.tolist()):
+        begins, ends = first[t], first[t + 1]
+        h = h[:on]
+        held[begins - lo : ends - lo] = h
+        if ends - lo >= STATES or t + 1 == len(live):
+            own = by_step[lo:ends]
+            out[lo:ends] = model.log_probs(held[: ends - lo], voc.cls[own], voc.word[own])
+            lo = ends
+        h = model.step(h, x[begins:ends], u)[0]
+    return out[to]
 
 
 def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -412,14 +496,12 @@ def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: s
         voc, flat = known.value
         model = Gru(HEAD + GROUPS + 1, CLASSES + GROUPS + 1, flat)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4000):
-                part = batch.slice(lo, 4000)
-                n, k, base, score, words, counts = _scored(part.column(2).to_pylist(), voc, model)
-                offsets = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int32)
-                rare = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array([w for ws in words for w in ws], pa.binary()), pa.array([c for cs in counts for c in cs], pa.int32())], ["word", "times"]))
+            for lo in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(lo, TEXTS)
+                n, k, base, score, rare = _scored(part.column(2), voc, model)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(base), pa.array(score), rare], ["row", "doc_id", "n_tokens", "known", "base", "model", "rare"])
 
-    source = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("text").cast("binary").alias("text"))
+    source = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     scored = stash(source.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, known long, base double, model double, rare array<struct<word: binary, times: int>>"), "scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(counts, "word", "left")
     c = F.coalesce("n", F.lit(0))
