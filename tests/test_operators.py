@@ -185,6 +185,42 @@ def test_best_columns_against_a_whole_sort():
             assert list(zip(i.tolist(), j.tolist(), v.tolist(), strict=True)) == want
 
 
+@pytest.mark.parametrize("tile", [8, 1024])
+def test_two_blocks_meet_once_for_both(monkeypatch, tile):
+    """Against a whole sort: copies, ties, null vectors, NaN, barred pairs, more asked for than there are; tiles that end anywhere."""
+    monkeypatch.setattr(search, "COLUMNS", tile)
+    monkeypatch.setattr(search, "ROWS", min(search.ROWS, tile // 2))
+    r = np.random.default_rng(8)
+    for n, m, d, k in ((61, 83, 8, 5), (40, 90, 2, 7), (5, 30, 3, 10)):
+        x, y = r.normal(size=(n, d)), r.normal(size=(m, d))
+        if d == 2:
+            x, y = np.round(x), np.round(y)
+        x, y = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) for v in (x, y))
+        x[3], y[4, 1] = 0.0, np.nan
+        barred = lambda i, j: (i % 3 == j % 3) | (i == j)
+        mine, theirs = search.meet(x, y, k, barred, both=True)
+        for (i, j, v), a, b, no in ((mine, x, y, barred), (theirs, y, x, lambda i, j: barred(j, i)), (search.meet(x, y, k, barred)[0], x, y, barred)):
+            s, want = np.round(a @ b.T, 6), []
+            for own in range(len(a)):
+                ok = [o for o in range(len(b)) if s[own, o] == s[own, o] and not no(own, o)]
+                want += [(own, o, s[own, o]) for o in sorted(ok, key=lambda o: (-s[own, o], o))[:k]]
+            assert list(zip(i.tolist(), j.tolist(), v.tolist(), strict=True)) == want
+
+
+def test_each_pair_of_rows_is_in_one_group(spark):
+    """It was in two, one for each row."""
+    df = spark.createDataFrame([(i, [1.0, float(i)], 0) for i in range(30)], "id long, vec array<double>, label int")
+    groups = {}
+    for r in search.paired(df, ["vec"], blocks=4).collect():
+        groups.setdefault((r["a"], r["b"]), []).append((r["side"], r["id"]))
+    seen = []
+    for (a, b), rows in groups.items():
+        assert a <= b
+        ids = [[i for s, i in rows if s == side] for side in (0, 1)]
+        seen += [frozenset((i, j)) for i in ids[0] for j in (ids[0] if a == b else ids[1]) if a != b or i < j]
+    assert len(seen) == len(set(seen)) == 30 * 29 // 2
+
+
 def counted(df):
     """df and an accumulator of the rows that were made of it."""
     seen = df.sparkSession.sparkContext.accumulator(0)

@@ -101,32 +101,121 @@ def _merge(at: np.ndarray, value: np.ndarray, i: np.ndarray, j: np.ndarray, v: n
     at[i[best], place[best]], value[i[best], place[best]] = j[best], v[best]
 
 
+class Best:
+    """The k best others of each of some rows, from pairs that come with others in rising order; ties by the lesser other. No row needs what is not above its floor."""
+
+    def __init__(self, rows: int, k: int):
+        self.rows, self.k, self.floor = rows, k, np.full(rows, -np.inf)
+        self.held, self.size, self.sorted = [], 0, 0
+
+    def add(self, own: np.ndarray, other: np.ndarray, value: np.ndarray) -> None:
+        self.held.append((own, other, value))
+        self.size += len(own)
+        if self.size > self.sorted + 2 * self.k * self.rows:
+            self.found()
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(own, other, value) by own and falling value; raises the floors of rows that have k."""
+        own, other, value = (np.concatenate(c) for c in zip((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), *self.held, strict=True))
+        order = np.argsort((own << 22) + np.rint((2 - value) * 1e6).astype(np.int64), kind="stable")
+        own = own[order]
+        counts = np.bincount(own, minlength=self.rows)
+        place = np.arange(len(own)) - (np.cumsum(counts) - counts)[own]
+        order, own, place = (a[place < self.k] for a in (order, own, place))
+        other, value = other[order], value[order]
+        last = place == self.k - 1
+        self.floor[own[last]] = np.maximum(self.floor[own[last]], value[last])
+        self.held, self.size, self.sorted = [(own, other, value)], len(own), len(own)
+        return own, other, value
+
+
+def exceeding(s: np.ndarray, least: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Places (flat) of what exceeds, in rising order; eight are skipped at once. room is for a boolean each, rounded up to eight."""
+    above = room[: -(-s.size // 8) * 8]
+    above[s.size :] = False
+    np.greater(s, least, out=above[: s.size].reshape(s.shape))
+    some = np.flatnonzero(above.view(np.uint64))
+    at, bit = np.nonzero(above.reshape(-1, 8)[some])
+    return 8 * some[at] + bit
+
+
+def meet(x: np.ndarray, y: np.ndarray, k: int, barred, both: bool = False) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, other, value): the k greatest products of each row of x with rows of y, and, with both, of each row of y with rows of x. Values are rounded to 6 places, ties go to the lesser other.
+
+    Rows are of length 1 at most; barred(i, j) says which pairs don't count. A pair is multiplied once for both sides, in 32 bits; only what these cannot rule out is multiplied in 64.
+    """
+    near, far = x.astype(np.float32), y.astype(np.float32)
+    error = (x.shape[1] + 8) * 2.0**-24  # of a 32-bit product
+    theirs, out = Best(len(y), k), []
+    room, flags = np.empty(COLUMNS * COLUMNS, dtype=np.float32), np.empty(COLUMNS * COLUMNS, dtype=bool)
+    for lo in range(0, len(x), COLUMNS):
+        ours = Best(min(COLUMNS, len(x) - lo), k)
+        for at in range(0, len(y), COLUMNS):
+            a, b = near[lo : lo + COLUMNS], far[at : at + COLUMNS]
+            s, exact = np.matmul(a, b.T, out=room[: len(a) * len(b)].reshape(len(a), len(b))), None
+            for side, best in enumerate((ours, theirs)[: 1 + both]):
+                floor = best.floor if side == 0 else best.floor[at : at + COLUMNS]  # a view
+                along = (slice(None), None) if side == 0 else (None, slice(None))
+                if s.shape[1 - side] >= k and np.isneginf(floor).any():
+                    some = s[:, : max(k, ROWS)] if side == 0 else s[: max(k, ROWS)]
+                    no = barred(np.arange(lo, lo + some.shape[0])[:, None], np.arange(at, at + some.shape[1])[None, :])
+                    some = np.where(no | np.isnan(some), np.float32(-np.inf), some)
+                    kth = np.partition(some if side == 0 else np.ascontiguousarray(some.T), -k, axis=1)[:, -k]
+                    np.maximum(floor, kth - (error + 2e-6), out=floor)
+                least = np.nextafter((floor + (4e-7 - error)).astype(np.float32), np.float32(-np.inf))  # later ones win no ties
+                hits = exceeding(s, least[along], flags)
+                many = len(hits) > s.size // 16  # as of copies, that only the exact product leaves behind
+                if many:
+                    exact = x[lo : lo + COLUMNS] @ y[at : at + COLUMNS].T if exact is None else exact
+                    hits = exceeding(exact, (floor + 4e-7)[along], flags)
+                i, j = np.divmod(hits, s.shape[1])
+                free = ~barred(i + lo, j + at)
+                i, j = i[free], j[free]
+                v = np.round(exact[i, j] if many else np.einsum("ij,ij->i", x.take(i + lo, axis=0), y.take(j + at, axis=0)), 6)
+                better = v > floor[i if side == 0 else j] + 4e-7
+                i, j, v = i[better], j[better], v[better]
+                best.add(*((i, j + at) if side == 0 else (j + at, i + lo)), v)
+        own, other, v = ours.found()
+        out.append((own + lo, other, v))
+    mine = tuple(np.concatenate(c) for c in zip(*out, strict=True))
+    return [mine, theirs.found()] if both else [mine]
+
+
+def paired(rows: DataFrame, vectors: list[str], blocks: int | None = None) -> DataFrame:
+    """Rows for every unordered pair (a, b) of blocks, a <= b: those of block a are side 0, those of another block b side 1. A group is one task's work; blocks are as in dealt()."""
+    n, width = rows.agg(F.count("*"), F.max(sum((F.size(c) for c in vectors), F.lit(0)))).first()
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = blocks or max(1, -(-n * (width or 0) // NUMBERS), round(partitions**0.5))
+    each = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(many)).cast("int")).withColumn("met", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
+    return each.select(*rows.columns, F.least("own", "met").alias("a"), F.greatest("own", "met").alias("b"), (F.col("own") > F.col("met")).cast("int").alias("side"))
+
+
 def knn(df: DataFrame, k: int, *, blocks: int | None = None, label: str | None = None, queries: DataFrame | None = None) -> DataFrame:
     """(id, other, score): the k most alike other rows of each row by cosine of vec; ties by least id. With label only rows of another label count.
 
-    Rows are dealt to blocks by id; matrix products compare each query block with each block, a row's k best there are kept as they come, and a ranking joins these:
-    k rows per query and block are shuffled, never all pairs. queries are a subset of the rows (all by default).
+    Rows are dealt to blocks by id; two blocks meet once, for the rows of both, a row's k best there are kept as they come, and a ranking joins these:
+    k rows per row and block are shuffled, never all pairs. queries are a subset of the rows (all by default); their blocks meet each block.
     """
     cols = ["id", "vec", *([F.col(label).alias("label")] if label else [F.lit(0).alias("label")])]
     base = unit(df, "vec", "vec").select(*cols)
-    asked = base if queries is None else base.join(queries.select("id"), "id", "left_semi")
+    both = queries is None
+    groups = paired(base, ["vec"], blocks) if both else dealt(base, base.join(queries.select("id"), "id", "left_semi"), ["vec"], blocks)
 
     def nearest(key, table):
         side = np.array(table["side"])
-        q, d = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1)).sort_by("id")
-        out = ([], [], [])
+        q, d = (table.filter(pa.array(side == s)).sort_by("id") for s in (0, 1))
+        inner = both and key[0].as_py() == key[1].as_py()
+        d = q if inner else d
+        parts = []
         if q.num_rows and d.num_rows:
-            qi, di, ql, dl, qv, dv = *(np.array(t[c]) for c in ("id", "label") for t in (q, d)), matrix(q["vec"]), matrix(d["vec"])
-            for lo in range(0, len(qi), ROWS):
-                x, xi, xl = qv[lo : lo + ROWS], qi[lo : lo + ROWS], ql[lo : lo + ROWS]
-                barred = lambda i, j: (xi[i] == di[j]) | (xl[i] == dl[j]) if label else xi[i] == di[j]  # noqa: E731, B023
-                [(i, j, s)] = best_columns(lambda first, end: x @ dv[first:end].T, len(x), len(di), k, [barred])  # noqa: B023
-                for column, v in zip(out, (xi[i], di[j], s), strict=True):
-                    column.append(v)
-        arrays = [np.concatenate(c) if c else np.zeros(0) for c in out]
+            qi, di, ql, dl = (np.array(t[c]) for c in ("id", "label") for t in (q, d))
+            barred = lambda i, j: (qi[i] == di[j]) | (ql[i] == dl[j]) if label else qi[i] == di[j]
+            found = meet(matrix(q["vec"]), matrix(d["vec"]), k, barred, both and not inner)
+            parts = [(own[i], other[j], s) for (own, other), (i, j, s) in zip(((qi, di), (di, qi)), found, strict=False)]
+        arrays = [np.concatenate(c) for c in zip(*parts, strict=True)] or [np.zeros(0)] * 3
         return pa.table([pa.array(a, t) for a, t in zip(arrays, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["id", "other", "score"])
 
-    local = dealt(base, asked, ["vec"], blocks).groupBy("a", "b").applyInArrow(nearest, "id long, other long, score double")
+    local = groups.groupBy("a", "b").applyInArrow(nearest, "id long, other long, score double")
     w = Window.partitionBy("id").orderBy(F.desc("score"), "other")
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
