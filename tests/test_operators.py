@@ -159,6 +159,24 @@ def test_bridges_are_a_maximum_spanning_tree(spark):
     assert graph.bridged(edges, rows, most=6).count() == len(inner)
 
 
+def test_more_than_512_components_are_bridged_too(spark):
+    """They were left apart. Three copies of each row are a component, with ties between copies; a row without a cosine stays alone."""
+    v = np.random.default_rng(5).normal(size=(530, 4))
+    rows = spark.createDataFrame([(3 * i + c, x.tolist()) for i, x in enumerate(v) for c in range(3)] + [(1590, [float("nan")] * 4)], "id long, vec array<double>")
+    inner = [(3 * i, 3 * i + c, 1.0) for i in range(530) for c in (1, 2)]
+    edges = spark.createDataFrame(inner, "src long, dst long, weight double")
+    got = {(r["src"], r["dst"]): r["weight"] for r in graph.bridged(edges, rows).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s, at, tree = np.round(u @ u.T, 6), np.triu_indices(530, 1), {}
+    of = np.arange(530)
+    for place in np.lexsort((at[1], at[0], -s[at])):
+        i, j = int(at[0][place]), int(at[1][place])
+        if of[i] != of[j]:
+            tree[3 * i, 3 * j] = max(0.0, float(s[i, j]))
+            of[of == of[i]] = of[j]
+    assert {k: w for k, w in got.items() if k not in {(a, b) for a, b, _ in inner}} == pytest.approx(tree) and len(tree) == 529 and len(got) == 1060 + 529
+
+
 def test_rank_correlation_of_distances(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(40, 2))

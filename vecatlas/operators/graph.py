@@ -37,23 +37,42 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def bridged(edges: DataFrame, rows: DataFrame, most: int = 512) -> DataFrame:
+def bridged(edges: DataFrame, rows: DataFrame, most: int | None = None) -> DataFrame:
     """edges (src, dst, weight) with bridges that make the graph of rows (id, vec) one: the links of a maximum spanning tree over its components, by cosine (as weight at least 0).
 
-    In a round each component takes its strongest pair with any other one (ties: least ids), which at least halves their number; all pairs of rounds together
-    are that tree. Beyond ``most`` components the edges stay as they are. A row without an edge is a component.
+    In a round each component but that of most rows takes its strongest pair with any other one (ties: least ids), which about halves their number; all pairs
+    of rounds together are that tree. What a row has found stays its best until it has joined the row's component, and its score bounds what the row can find then;
+    so only rows that may have their component's strongest pair are searched again. A row without an edge is a component; one without a cosine stays apart.
+    Only a caller that gives ``most`` has the edges as they are beyond so many components.
     """
-    edges, first = stash(edges.select("src", "dst", "weight"), "edges"), True  # a kNN search may lie behind them
+    edges = stash(edges.select("src", "dst", "weight"), "edges")  # a kNN search may lie behind them
+    known = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).withColumnRenamed("v", "id")
+    whole = stash(rows.select("id", "vec").join(known, "id", "left").select("id", "vec", F.coalesce("label", "id").alias("label")), "parted")
+    if most is not None and whole.select("label").distinct().count() > most:
+        return edges
+    parted = stash(whole.groupBy("label", "vec").agg(F.min("id").alias("id")), "parted")  # a component's equal vectors tie, so the least id stands for them
+    near = parted.select("id", F.lit(None).cast("long").alias("other"), F.lit(None).cast("double").alias("score")).where("false")
     while True:
-        known = components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))).withColumnRenamed("v", "id")
-        parted = stash(rows.select("id", "vec").join(known, "id", "left").select("id", "vec", F.coalesce("label", "id").alias("label")), "parted")
-        parts = parted.select("label").distinct().count()
-        if parts < 2 or (first and parts > most):
+        labels = parted.select("id", "label")
+        theirs = labels.toDF("other", "theirs")
+        sizes = labels.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").take(2)
+        if len(sizes) < 2:
             return edges
-        near = knn(parted, 1, label="label").join(parted.select("id", "label"), "id")
-        pair = F.struct("score", (-F.least("id", "other")).alias("src"), (-F.greatest("id", "other")).alias("dst"))
-        best = near.groupBy("label").agg(F.max(pair).alias("p")).select((-F.col("p.src")).alias("src"), (-F.col("p.dst")).alias("dst"), F.greatest("p.score", F.lit(0.0)).alias("weight"))
-        edges, first = stash(edges.unionByName(best.distinct()), "bridged"), False
+        told = labels.where(F.col("label") != sizes[0]["label"]).join(near, "id", "left").join(theirs, "other", "left")
+        told = stash(told.select("id", "other", "score", "label", F.coalesce(F.col("label") != F.col("theirs"), F.lit(False)).alias("live")), "told")
+        least = told.where("live").groupBy("label").agg(F.max("score").alias("least"))
+        asked = stash(told.where("NOT live").join(least, "label", "left").where("score IS NULL OR least IS NULL OR score >= least").select("id"), "asked")
+        near = told.join(asked, "id", "left_anti").select("id", "other", "score")
+        if not asked.isEmpty():
+            near = stash(near.unionByName(knn(parted, 1, label="label", queries=asked).select("id", "other", "score")), "near")
+        pair = F.struct("score", (-F.least("id", "other")).alias("src"), (-F.greatest("id", "other")).alias("dst"), "theirs")
+        best = near.join(labels, "id").join(theirs, "other").where("label <> theirs").groupBy("label").agg(F.max(pair).alias("p"))
+        best = stash(best.select((-F.col("p.src")).alias("src"), (-F.col("p.dst")).alias("dst"), F.greatest("p.score", F.lit(0.0)).alias("weight"), "label", "p.theirs"), "bridges")
+        if best.isEmpty():
+            return edges
+        edges = edges.unionByName(best.groupBy("src", "dst").agg(F.max("weight").alias("weight")))
+        into = components(best.select(F.col("label").alias("a"), F.col("theirs").alias("b"))).toDF("label", "into")
+        parted = stash(parted.join(into, "label", "left").select("vec", "id", F.coalesce("into", "label").alias("label")), "parted")
 
 
 def modularity(edges: DataFrame, membership: DataFrame, gamma: float = 1.0) -> DataFrame:
