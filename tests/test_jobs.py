@@ -170,6 +170,17 @@ def test_clustering_job_is_done_once(spark, tmp_path, monkeypatch):
     assert wj.cluster(rows.repartition(3), str(tmp_path), dims=3, k=5, resolutions=(0.5, 1.0))[0] == name
 
 
+def test_clusters_reach_over_more_than_512_components(spark, tmp_path):
+    """Each of 520 groups of copies was a community of its own; what was stored then has another revision."""
+    r = random.Random(10)
+    groups = [[r.gauss(0, 1) for _ in range(4)] for _ in range(520)]
+    rows = spark.createDataFrame([(3 * i + c, x) for i, x in enumerate(groups) for c in range(3)], "id long, vec array<double>").coalesce(2)
+    name, levels = wj.cluster(rows, str(tmp_path), dims=4, k=2, resolutions=(0.5,))
+    of = wj.levels_of(levels).first()
+    assert levels.count() == 1560 and of["communities"] < 260 and of["greatest"] > 3
+    assert name != wj.revision(rows, {"job": "cluster", "dims": 4, "k": 2, "resolutions": (0.5,)})
+
+
 def test_layouts_and_warm_up(spark, tmp_path):
     r = random.Random(8)
     rows = spark.createDataFrame([(i, f"lib/f{i % 3}", [4.0 * (i % 3), 2.0 * (i % 2), r.random(), r.random()]) for i in range(50)], "id long, folder string, vec array<double>")

@@ -47,7 +47,7 @@ def publish(df: DataFrame, path: str) -> DataFrame:
 def cluster(rows: DataFrame, out: str, *, dims: int = 16, k: int = 10, resolutions: tuple[float, ...] = (0.5, 1.0, 2.0)) -> tuple[str, DataFrame]:
     """(revision, (resolution, id, community)): communities of the kNN graph of the reduced rows (id, vec), made one by bridges, at each resolution."""
     spark = rows.sparkSession
-    name = revision(rows, {"job": "cluster", "dims": dims, "k": k, "resolutions": resolutions})
+    name = revision(rows, {"job": "cluster", "dims": dims, "k": k, "resolutions": resolutions, "bridges": "all"})
     path = f"{out}/{name}"
     if (done := stored(spark, path)) is not None:
         return name, done
