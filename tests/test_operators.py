@@ -188,6 +188,13 @@ def test_rank_correlation_of_distances(spark):
     assert layout.broad_spearman(high.limit(0), low).first()["rho"] is None
 
 
+def test_levels_go_on_until_nothing_merges(spark):
+    """Four levels left a long chain in pieces; how many there must be depends on the graph's size."""
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(60)], "src long, dst long, weight double").coalesce(1)
+    some, every = (graph.communities(chain, gamma=0.0, rounds=2, levels=n).groupBy("community").agg(F.min("v"), F.max("v"), F.count("*")).collect() for n in (4, None))
+    assert 2 * len(every) <= len(some) and all(hi - lo + 1 == n and lo == c for c, lo, hi, n in every) and sum(r[3] for r in every) == 61
+
+
 def test_best_columns_against_a_whole_sort():
     r = np.random.default_rng(2)
     s = r.integers(0, 40, size=(50, 3000)) / 40  # many ties

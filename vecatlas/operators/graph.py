@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,18 +89,19 @@ def modularity(edges: DataFrame, membership: DataFrame, gamma: float = 1.0) -> D
     return parts.agg(F.round(F.sum(F.col("inner") / total - gamma * F.pow(F.col("degree") / (2 * total), 2)), 6).alias("modularity"))
 
 
-def communities(edges: DataFrame, gamma: float = 1.0, rounds: int = 12, levels: int = 4) -> DataFrame:
+def communities(edges: DataFrame, gamma: float = 1.0, rounds: int = 12, levels: int | None = 4) -> DataFrame:
     """(v, community) by local moving and aggregation, as joins.
 
     In a round the vertices of one hash parity each go to the neighbouring community of greatest positive gain w_in - gamma k S / 2m (ties: least
-    community), then those of the other parity; so neighbours rarely swap. When nothing moves, communities become the vertices of the
-    next level. A community is named by its least member.
+    community), then those of the other parity; so neighbours rarely swap. When nothing moves, or after so many rounds, communities become the vertices of the
+    next level. With None for levels this goes on until a level merges nothing, and parities are dealt anew every two rounds, so that no pair swaps for good.
+    A community is named by its least member.
     """
     edges = stash(edges.select("src", "dst", "weight"), "edges")
     total = 2 * (edges.agg(F.sum("weight")).first()[0] or 1.0)
     level = stash(edges.where("weight > 0 AND src <> dst").select("src", "dst", "weight").unionAll(edges.where("weight > 0 AND src <> dst").select(F.col("dst"), F.col("src"), "weight")).toDF("v", "u", "weight"), "graph")
     result = stash(level.select(F.col("v").alias("item"), F.col("v").alias("c")).distinct(), "membership")
-    for _ in range(levels):
+    for n in count() if levels is None else range(levels):
         degree = stash(level.groupBy("v").agg(F.sum("weight").alias("k")), "degree")
         own = stash(degree.select("v", F.col("v").alias("c")), "communities")
         moved_any = False
@@ -109,13 +112,13 @@ def communities(edges: DataFrame, gamma: float = 1.0, rounds: int = 12, levels:
             here = home.join(near, (home["v"] == near["v"]) & (home["h"] == near["c"]), "left").select(home["v"], "h", "k", F.coalesce("w", F.lit(0.0)).alias("wh")).join(sums.toDF("h", "sh"), "h")
             gains = near.join(here, "v").where("c <> h").join(sums, "c").withColumn("gain", F.round(F.col("w") - F.col("wh") - gamma * F.col("k") * (F.col("s") - F.col("sh") + F.col("k")) / total, 9))
             best = gains.where("gain > 0").groupBy("v").agg(F.max(F.struct("gain", (-F.col("c")).alias("back"))).alias("b")).select("v", (-F.col("b.back")).alias("to"))
-            turn = F.pmod(F.xxhash64("v"), F.lit(2)) == step % 2
+            turn = F.pmod(F.xxhash64("v", *([F.lit(n * rounds + step // 2)] if levels is None else [])), F.lit(2)) == step % 2
             new = stash(own.join(best, "v", "left").select("v", F.when(turn & F.col("to").isNotNull(), F.col("to")).otherwise(F.col("c")).alias("c"), (turn & F.col("to").isNotNull()).alias("moved")), "communities")
             moved = not new.where("moved").isEmpty()
             own, moved_any = new.select("v", "c"), moved_any or moved
             if not moved and step % 2:
                 break
-        if not moved_any:
+        if not moved_any or own.select("c").distinct().count() == own.count():  # swaps merge nothing, and the next level would do the same
             break
         names = own.groupBy("c").agg(F.min("v").alias("name"))
         own = stash(own.join(names, "c").select("v", F.col("name").alias("c")), "communities")

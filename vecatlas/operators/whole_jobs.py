@@ -47,14 +47,14 @@ def publish(df: DataFrame, path: str) -> DataFrame:
 def cluster(rows: DataFrame, out: str, *, dims: int = 16, k: int = 10, resolutions: tuple[float, ...] = (0.5, 1.0, 2.0)) -> tuple[str, DataFrame]:
     """(revision, (resolution, id, community)): communities of the kNN graph of the reduced rows (id, vec), made one by bridges, at each resolution."""
     spark = rows.sparkSession
-    name = revision(rows, {"job": "cluster", "dims": dims, "k": k, "resolutions": resolutions, "bridges": "all"})
+    name = revision(rows, {"job": "cluster", "dims": dims, "k": k, "resolutions": resolutions, "bridges": "all", "levels": "all"})
     path = f"{out}/{name}"
     if (done := stored(spark, path)) is not None:
         return name, done
     reduced = stash(pca(rows.select("id", "vec"), dims).select("id", F.col("reduced").alias("vec")), "reduced")
     graph = stash(bridged(edges(knn(reduced, k)), reduced), "graph")
     with ThreadPoolExecutor(len(resolutions)) as side:  # independent chains of jobs, so one's small rounds don't wait for another's
-        found = list(side.map(lambda gamma: communities(graph, gamma), resolutions))
+        found = list(side.map(lambda gamma: communities(graph, gamma, levels=None), resolutions))
     level = lambda gamma, df: df.select(F.lit(float(gamma)).alias("resolution"), F.col("v").alias("id"), "community")
     levels = reduce(DataFrame.unionByName, map(level, resolutions, found))
     return name, publish(levels, path)
